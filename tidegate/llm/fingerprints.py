@@ -5,8 +5,7 @@ put into one cell of each of three tables: a count, a sum of digests under
 exclusive or, and one of check digests. Sketches of two versions subtract cell by
 cell; what they share vanishes, and peeling cells that hold a single digest
 recovers the differing ones. Where peeling gets stuck, the pair is sketched again
-larger: the digests are dealt to more groups, a sketch each. DataFrame operations
-only; a text is never shuffled with more than its own neighbour.
+larger. DataFrame operations only; a text meets none but its neighbour.
 """
 
 from __future__ import annotations
@@ -19,9 +18,9 @@ TABLES, CELLS = 3, 12
 UNIT = 200
 CELL = "struct<n:int,k:bigint,h:bigint>"
 #: Peeling rounds; each takes all single digests at once, so chains are short.
-ROUNDS = 12
-#: Digests a group should hold when a pair is sketched again.
-GROUP = 8
+ROUNDS = 8
+#: Cells per digest and table when a pair is sketched again.
+LARGER = 16
 #: Buckets in which documents are put in order to find each one's neighbour.
 BUCKETS = 200
 
@@ -104,22 +103,54 @@ def peel(difference: Column) -> Column:
 
 
 def peel_larger(a: Column, b: Column) -> Column:
-    """How many digests differ, from sketches of groups: of about GROUP digests each, then of half as many."""
-
-    def tried(size: int) -> Column:
-        groups = F.ceil((F.size(a) + F.size(b)) / size).cast("int")
-        counts = F.transform(
-            F.sequence(F.lit(0), groups - 1),
-            lambda g: peel(
-                subtract(
-                    cells(F.filter(a, lambda d: F.pmod(F.xxhash64(d, F.lit(size)), groups) == g)),
-                    cells(F.filter(b, lambda d: F.pmod(F.xxhash64(d, F.lit(size)), groups) == g)),
-                )
-            ),
+    """How many digests differ, from larger sketches: LARGER cells per digest and table, then LARGER squared.
+
+    With so many cells nearly every differing digest is alone in one of its
+    three, so one round of peeling does; that nothing was missed shows in the
+    sums of counts, digests and checks. Only filled cells are formed, by
+    summing digests in order of their cell.
+    """
+    both = F.size(a) + F.size(b)
+    nothing = F.array().cast("array<struct<k:bigint,n:int>>")
+    xor_all = lambda x, of: F.aggregate(x, F.lit(0).cast("long"), lambda s, d: s.bitwiseXOR(of(d)))
+
+    def closed(s: Column) -> Column:
+        """The list with the current cell, if that holds a single digest."""
+        single = (F.abs(s["n"]) == 1) & (s["h"] == check(s["k"]))
+        return F.when(single, F.concat(s["done"], F.array(F.struct(s["k"].alias("k"), s["n"].alias("n"))))).otherwise(s["done"])
+
+    def add(s: Column, e: Column) -> Column:
+        same = s["p"] == e["p"]
+        fresh = F.struct(closed(s).alias("done"), e["p"].alias("p"), e["n"].alias("n"), e["k"].alias("k"), check(e["k"]).alias("h"))
+        more = F.struct(
+            s["done"].alias("done"), s["p"].alias("p"), (s["n"] + e["n"]).alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"), s["h"].bitwiseXOR(check(e["k"])).alias("h")
         )
-        return F.aggregate(counts, F.lit(0), lambda s, n: s + n)
+        return F.when(same, more).otherwise(fresh)
+
+    def singles(t: int, factor: int) -> Column:
+        def entry(sign: int):
+            return lambda d: F.struct(F.pmod(F.xxhash64(d, F.lit(t)), both * factor).alias("p"), d.alias("k"), F.lit(sign).alias("n"))
+
+        entries = F.array_sort(F.concat(F.transform(a, entry(1)), F.transform(b, entry(-1))))
+        zero = F.lit(0).cast("long")
+        start = F.struct(nothing.alias("done"), F.lit(-1).cast("long").alias("p"), F.lit(0).alias("n"), zero.alias("k"), zero.alias("h"))
+        return F.aggregate(entries, start, add, closed)
+
+    def tried(factor: int) -> Column:
+        found = F.array_distinct(F.concat(*[singles(t + TABLES * (factor > LARGER), factor) for t in range(TABLES)]))
+
+        def whole(f: Column) -> Column:
+            key = lambda d: d["k"]
+            none_missed = (
+                (F.aggregate(f, F.lit(0), lambda s, d: s + d["n"]) == F.size(a) - F.size(b))
+                & (xor_all(f, key) == xor_all(a, lambda d: d).bitwiseXOR(xor_all(b, lambda d: d)))
+                & (xor_all(f, lambda d: check(d["k"])) == xor_all(a, check).bitwiseXOR(xor_all(b, check)))
+            )
+            return F.when(none_missed, F.size(f))
+
+        return F.transform(F.array(found), whole)[0]
 
-    return F.coalesce(tried(GROUP), tried(GROUP // 2), F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+    return F.coalesce(tried(LARGER), tried(LARGER * LARGER), F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
 
 
 def likeness(a: Column, b: Column, fa: Column, fb: Column) -> Column:

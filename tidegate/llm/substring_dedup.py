@@ -149,11 +149,10 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, carry: tuple[str, ...]
     carry = ["doc_id", *(c for c in carry if c not in ("doc_id", "n_words", "n_removed", "kept_text"))]
     docs = docs.select(*carry, *(["text"] if "text" not in carry else []))
     kinds = dict(docs.dtypes)
-    anchors = stage(
-        docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors(min_words), f"doc_id {kinds['doc_id']}, anchor long"),
-        "anchors",
-    )
-    twice = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+    # read and hashed twice rather than kept: that costs less than the disk it would take
+    anchors = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors(min_words), f"doc_id {kinds['doc_id']}, anchor long")
+    # a table of its own, so that the join below can split a hot anchor
+    twice = stage(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
     digests = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("digest"))
     originals = digests.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1")
     copies = digests.join(originals, "digest").where("doc_id > original").select("doc_id").distinct().withColumn("is_copy", F.lit(True))
