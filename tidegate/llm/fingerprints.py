@@ -14,24 +14,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TABLES, CELLS = 3, 12
-UNIT = 200
+TABLES, CELLS = 3, 16
+#: Code points of a unit at most.
+UNIT = 120
 CELL = "struct<n:int,k:bigint,h:bigint>"
 #: Peeling rounds; each takes all single digests at once, so chains are short.
 ROUNDS = 8
 #: Cells per digest and table when a pair is sketched again.
-LARGER = 16
+LARGER = 64
 #: Buckets in which documents are put in order to find each one's neighbour.
 BUCKETS = 200
 
 
 def unit_digests(text: Column) -> Column:
-    """Digests of a text's units, in order. Units met before in the text differ by their number, so the text is a set."""
+    """Digests of a text's units, sorted. Of equal ones each gets a digest of its number, so they form a set."""
     units = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{UNIT}}}"), 0)
-    plain = F.transform(units, lambda u: F.xxhash64(u))
-    ranked = F.array_sort(plain)
-    # the n-th of equal digests, by its distance to the first in sorted order
-    return F.transform(ranked, lambda d, i: F.when(F.coalesce(F.get(ranked, i - 1) == d, F.lit(False)), F.xxhash64(d, i - F.array_position(ranked, d))).otherwise(d))
+    ranked = F.array_sort(F.transform(units, lambda u: F.xxhash64(u)))
+
+    def numbered(r: Column) -> Column:
+        return F.transform(r, lambda d, i: F.when((i > 0) & (F.get(r, i - 1) == d), F.xxhash64(d, i - F.array_position(r, d))).otherwise(d))
+
+    # an array of one, so that the sorted digests are made once and not for each of them
+    return F.transform(F.array(ranked), numbered)[0]
 
 
 def check(d: Column) -> Column:
@@ -106,45 +110,39 @@ def peel_larger(a: Column, b: Column) -> Column:
     """How many digests differ, from larger sketches: LARGER cells per digest and table, then LARGER squared.
 
     With so many cells nearly every differing digest is alone in one of its
-    three, so one round of peeling does; that nothing was missed shows in the
-    sums of counts, digests and checks. Only filled cells are formed, by
+    cells of two tables, so one round of peeling does; that none was missed
+    shows in the sums of digests and checks. Only filled cells are formed, by
     summing digests in order of their cell.
     """
     both = F.size(a) + F.size(b)
-    nothing = F.array().cast("array<struct<k:bigint,n:int>>")
-    xor_all = lambda x, of: F.aggregate(x, F.lit(0).cast("long"), lambda s, d: s.bitwiseXOR(of(d)))
+    zero = F.lit(0).cast("long")
+    xor_all = lambda x, of: F.aggregate(x, zero, lambda s, d: s.bitwiseXOR(of(d)))
 
     def closed(s: Column) -> Column:
-        """The list with the current cell, if that holds a single digest."""
-        single = (F.abs(s["n"]) == 1) & (s["h"] == check(s["k"]))
-        return F.when(single, F.concat(s["done"], F.array(F.struct(s["k"].alias("k"), s["n"].alias("n"))))).otherwise(s["done"])
+        """The list with the current cell's digest, if it holds a single one."""
+        return F.when((F.abs(s["n"]) == 1) & (s["h"] == check(s["k"])), F.concat(s["done"], F.array(s["k"]))).otherwise(s["done"])
 
     def add(s: Column, e: Column) -> Column:
-        same = s["p"] == e["p"]
         fresh = F.struct(closed(s).alias("done"), e["p"].alias("p"), e["n"].alias("n"), e["k"].alias("k"), check(e["k"]).alias("h"))
         more = F.struct(
             s["done"].alias("done"), s["p"].alias("p"), (s["n"] + e["n"]).alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"), s["h"].bitwiseXOR(check(e["k"])).alias("h")
         )
-        return F.when(same, more).otherwise(fresh)
+        return F.when(s["p"] == e["p"], more).otherwise(fresh)
 
     def singles(t: int, factor: int) -> Column:
         def entry(sign: int):
             return lambda d: F.struct(F.pmod(F.xxhash64(d, F.lit(t)), both * factor).alias("p"), d.alias("k"), F.lit(sign).alias("n"))
 
         entries = F.array_sort(F.concat(F.transform(a, entry(1)), F.transform(b, entry(-1))))
-        zero = F.lit(0).cast("long")
-        start = F.struct(nothing.alias("done"), F.lit(-1).cast("long").alias("p"), F.lit(0).alias("n"), zero.alias("k"), zero.alias("h"))
+        start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(-1).cast("long").alias("p"), F.lit(0).alias("n"), zero.alias("k"), zero.alias("h"))
         return F.aggregate(entries, start, add, closed)
 
     def tried(factor: int) -> Column:
-        found = F.array_distinct(F.concat(*[singles(t + TABLES * (factor > LARGER), factor) for t in range(TABLES)]))
+        found = F.array_distinct(F.concat(singles(factor, factor), singles(factor + 1, factor)))
 
         def whole(f: Column) -> Column:
-            key = lambda d: d["k"]
-            none_missed = (
-                (F.aggregate(f, F.lit(0), lambda s, d: s + d["n"]) == F.size(a) - F.size(b))
-                & (xor_all(f, key) == xor_all(a, lambda d: d).bitwiseXOR(xor_all(b, lambda d: d)))
-                & (xor_all(f, lambda d: check(d["k"])) == xor_all(a, check).bitwiseXOR(xor_all(b, check)))
+            none_missed = (xor_all(f, lambda d: d) == xor_all(a, lambda d: d).bitwiseXOR(xor_all(b, lambda d: d))) & (
+                xor_all(f, check) == xor_all(a, check).bitwiseXOR(xor_all(b, check))
             )
             return F.when(none_missed, F.size(f))
 
