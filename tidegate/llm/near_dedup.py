@@ -9,8 +9,9 @@ one point. Two sketches agree on a register with their probability Jaccard.
 Registers are joined in bands. Copies of a text count once. In a band's bucket
 every text is linked to the bucket's least only; links are verified on the
 texts themselves, and components formed. Where a bucket still holds several
-components, the texts outside its largest are compared with all texts of other
-components, so no link within a bucket is lost and no bucket emits all pairs.
+components, the texts outside its largest meet all texts of other components;
+the sketches and the share of shingles that no other text has rule out nearly all
+of those before a pair is made. So no link within a bucket is lost.
 """
 
 from __future__ import annotations
@@ -90,9 +91,17 @@ def _sketches(batches):
         band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
         keys = np.stack([mix(rolling_band(registers[:, i * ROWS : (i + 1) * ROWS]) ^ band[i]) for i in range(BANDS)], 1)
         ids = batch.column("doc_id").take(pa.array(has))
+        size = np.bincount(np.searchsorted(has, row), minlength=len(has))
+        total = np.bincount(np.searchsorted(has, row), weight, len(has))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
         low = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * REGISTERS, pa.int32()), pa.array((registers & np.uint64(0x7F)).astype(np.int8).reshape(-1)))
-        yield pa.RecordBatch.from_arrays([ids, lists, low], ["doc_id", "bands", "registers"])
+        yield pa.RecordBatch.from_arrays([ids, lists, low, pa.array(size.astype(np.int32)), pa.array(total.astype(np.int32))], ["doc_id", "bands", "registers", "size", "total"])
+
+
+def _tokens(batches):
+    for batch in text_slices(batches, "text", 1 << 20):
+        row, shingle, weight = weighted_shingles(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(shingle.view(np.int64)), pa.array(weight.astype(np.int32))], ["doc_id", "shingle", "weight"])
 
 
 def rolling_band(registers: np.ndarray) -> np.ndarray:
@@ -155,7 +164,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
     digests = known.select("doc_id", F.md5("text").alias("digest"))
     originals = digests.groupBy("digest").agg(F.min("doc_id").alias("original"))
     copies = stage(digests.join(originals, "digest").where("doc_id > original").groupBy("doc_id").agg(F.min("original").alias("original")), "copies")
-    sketches = stage(known.mapInArrow(_sketches, f"doc_id {kind}, bands array<long>, registers array<tinyint>"), "sketches")
+    sketches = stage(known.mapInArrow(_sketches, f"doc_id {kind}, bands array<long>, registers array<tinyint>, size int, total int"), "sketches")
     unique = sketches.join(copies, "doc_id", "left_anti")
 
     entries = unique.select("doc_id", F.explode("bands").alias("bucket"))
@@ -172,19 +181,40 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
     )
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
-    open_ = stage(placed.join(mixed, "bucket").join(unique.select("doc_id", "registers"), "doc_id"), "open")
+    open_ = stage(placed.join(mixed, "bucket"), "open")
+    # what of a text no other text in question has: it bounds the likeness from above
+    alone = (
+        known.join(open_.select("doc_id").distinct(), "doc_id")
+        .mapInArrow(_tokens, f"doc_id {kind}, shingle long, weight int")
+        .groupBy("shingle")
+        .agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id"), F.max("weight").alias("weight"))
+        .where("n = 1")
+        .groupBy("doc_id")
+        .agg(F.sum("weight").alias("alone"))
+    )
+    facts = unique.select("doc_id", "registers", "size", "total").join(alone, "doc_id", "left")
+    shared = (F.col("total") - F.coalesce("alone", F.lit(0))).alias("shared")
+    open_ = stage(open_.join(facts, "doc_id").select("bucket", "doc_id", "part", "main", "registers", "size", "total", shared).where(F.col("shared") >= threshold * F.col("total")), "open")
     least = int(np.ceil(REGISTERS * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS))))
     alike = F.aggregate(F.zip_with("ra", "rb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= least
-    outer = open_.where("part <> main").select("bucket", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("registers").alias("ra"))
-    inner = open_.select("bucket", F.col("doc_id").alias("y"), F.col("part").alias("py"), F.col("registers").alias("rb"), (F.col("part") == F.col("main")).alias("in_main"))
+    outer = open_.where("part <> main").select("bucket", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("registers").alias("ra"), F.col("size").alias("nx"), F.col("total").alias("tx"), F.col("shared").alias("sx"))
+    inner = open_.select(
+        "bucket", F.col("doc_id").alias("y"), F.col("part").alias("py"), F.col("registers").alias("rb"), F.col("size").alias("ny"), F.col("total").alias("ty"), F.col("shared").alias("sy"),
+        (F.col("part") == F.col("main")).alias("in_main"),
+    )
+    # with every weight 1 the likeness is overlap by union, so the overlap needed follows from the sizes
+    needed = threshold / (1 + threshold) * (F.col("nx") + F.col("ny"))
+    weighted = (F.col("nx") < F.col("tx")) | (F.col("ny") < F.col("ty"))
+    possible = weighted | (F.least("sx", "sy") >= needed)
+    meet = (outer["bucket"] == inner["bucket"]) & (F.col("px") != F.col("py")) & (F.col("in_main") | (F.col("x") < F.col("y")))
     rest = (
-        outer.join(inner, (outer["bucket"] == inner["bucket"]) & (F.col("px") != F.col("py")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & alike)
+        outer.join(inner, meet & possible & alike)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = _checked(rest, known, threshold, kind)
-    whole = connected_components(links.unionAll(more), "a", "b")
+    more = stage(_checked(rest, known, threshold, kind), "more")
+    whole = parts if more.isEmpty() else connected_components(links.unionAll(more), "a", "b")
     members = docs.where("doc_id is not null").select("doc_id").distinct().join(copies, "doc_id", "left").withColumn("original", F.coalesce("original", "doc_id"))
     classed = members.join(whole.withColumnRenamed("node", "original"), "original", "left").select("doc_id", F.coalesce("component", "original").alias("class_id"))
     nulls = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
