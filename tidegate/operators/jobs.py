@@ -126,7 +126,7 @@ class _Unpacker:
 
             source = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data))
         else:
-            source = {"gzip": gzip.GzipFile, "bzip2": bz2.BZ2File, "xz": lzma.LZMAFile}[kind](io.BytesIO(data))
+            source = {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[kind](io.BytesIO(data))
         limit = min(self.policy.max_entry_bytes, self.policy.max_total_bytes, self.policy.max_probe_bytes)
         body = source.read(limit + 1)
         inner = name.rsplit(".", 1)[0] if "." in name else name
