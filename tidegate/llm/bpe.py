@@ -25,8 +25,12 @@ from tidegate.llm.text_arrays import text_slices
 
 #: Fixed value: the published pre-token pattern of this vocabulary.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Pre-tokens a worker remembers; beyond it, it forgets all and starts anew.
-REMEMBERED = 300_000
+#: Pre-tokens a worker remembers at most, half of them met lately.
+REMEMBERED = 600_000
+#: Fragments longer than this are merged with a queue.
+SHORT = 48
+_ID = (1 << 20) - 1
+_NONE = 1 << 60
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,71 +53,92 @@ class Vocabulary:
         self.tokens = {i: t for t, i in self.ids.items()}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t.encode() for t, i in self.specials.items()}
-        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(raw(a), raw(b)): r for r, (a, b) in enumerate(merges)}
+        self.bytes = [self.ids[bytes([b])] for b in range(256)]
+        #: of two neighbouring ids: their merge's rank, and the merged id in the low bits
+        self.pairs: dict[int, int] = {}
+        for rank, m in enumerate(model["merges"]):
+            left, right = (raw(x) for x in (m if isinstance(m, list) else m.split(" ")))
+            self.pairs.setdefault(self.ids[left] << 20 | self.ids[right], rank << 20 | self.ids[left + right])
         joined = np.zeros((256, 256), bool)
         for token in self.ids:
             b = np.frombuffer(token, np.uint8)
             joined[b[:-1], b[1:]] = True
-        #: forced[a, b]: no token has byte b behind byte a
-        self.forced = ~joined
+        #: forced[a << 8 | b] is 1 where no token has byte b behind byte a
+        self.forced = (~joined).astype(np.uint8).tobytes()
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def fragments(self, token: bytes) -> list[bytes]:
         """`token` cut at its forced boundaries."""
-        if len(token) < 2:
+        forced = self.forced
+        cuts = [i for i, (a, b) in enumerate(zip(token, token[1:]), 1) if forced[a << 8 | b]]
+        if not cuts:
             return [token]
-        b = np.frombuffer(token, np.uint8)
-        cuts = np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1
-        edges = [0, *cuts.tolist(), len(token)]
+        edges = [0, *cuts, len(token)]
         return [token[a:z] for a, z in zip(edges, edges[1:])]
 
     def merge(self, fragment: bytes) -> list[int]:
-        """The ids of one fragment: the pair of lowest rank is joined until none has one.
-
-        Neighbours are linked and candidate pairs queued, so a long fragment
-        takes n log n steps.
-        """
-        if fragment in self.ids and len(fragment) == 1:
-            return [self.ids[fragment]]
-        parts: list[bytes | None] = [fragment[i : i + 1] for i in range(len(fragment))]
+        """The ids of one fragment: the pair of lowest rank, the first of equal ones, is joined until none has a rank."""
+        if len(fragment) > SHORT:
+            return self._merge_long(fragment)
+        get, of = self.pairs.get, self.bytes
+        parts = [of[b] for b in fragment]
+        found = [get(a << 20 | b, _NONE) for a, b in zip(parts, parts[1:])]
+        while found:
+            best = min(found)
+            if best == _NONE:
+                break
+            i = found.index(best)
+            parts[i] = new = best & _ID
+            del parts[i + 1], found[i]
+            if i:
+                found[i - 1] = get(parts[i - 1] << 20 | new, _NONE)
+            if i < len(found):
+                found[i] = get(new << 20 | parts[i + 1], _NONE)
+        return parts
+
+    def _merge_long(self, fragment: bytes) -> list[int]:
+        """As `merge`, in n log n steps: neighbours are linked and candidate pairs queued."""
+        get = self.pairs.get
+        parts = [self.bytes[b] for b in fragment]
         right = [*range(1, len(parts)), -1]
         left = [*range(-1, len(parts) - 1)]
-        queue = [(r, i, p) for i in range(len(parts) - 1) if (r := self.ranks.get(p := (parts[i], parts[i + 1]))) is not None]
+        queue = [(m, i, parts[i], parts[i + 1]) for i in range(len(parts) - 1) if (m := get(parts[i] << 20 | parts[i + 1])) is not None]
         heapify(queue)
         while queue:
-            _, i, pair = heappop(queue)
+            m, i, a, b = heappop(queue)
             j = right[i]
-            if parts[i] is None or j < 0 or (parts[i], parts[j]) != pair:
+            if j < 0 or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], parts[j] = pair[0] + pair[1], None
+            parts[i], parts[j] = m & _ID, -1
             right[i] = k = right[j]
             if k >= 0:
                 left[k] = i
-                if (r := self.ranks.get(p := (parts[i], parts[k]))) is not None:
-                    heappush(queue, (r, i, p))
-            if (h := left[i]) >= 0 and (r := self.ranks.get(p := (parts[h], parts[i]))) is not None:
-                heappush(queue, (r, h, p))
-        return [self.ids[p] for p in parts if p is not None]
+                if (m := get(parts[i] << 20 | parts[k])) is not None:
+                    heappush(queue, (m, i, parts[i], parts[k]))
+            if (h := left[i]) >= 0 and (m := get(parts[h] << 20 | parts[i])) is not None:
+                heappush(queue, (m, h, parts[h], parts[i]))
+        return [p for p in parts if p >= 0]
 
     def _learn(self, pretoken: str) -> tuple[int, ...]:
-        ids = tuple(i for f in self.fragments(pretoken.encode()) for i in self.merge(f))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        ids = self.older.get(pretoken)
+        if ids is None:
+            ids = tuple(i for f in self.fragments(pretoken.encode()) for i in self.merge(f))
+        if len(self.known) >= REMEMBERED // 2:
+            self.known, self.older = {}, self.known
         if len(pretoken) <= 64:
             self.known[pretoken] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        known = self.known
         for i, part in enumerate(self.special.split(text) if self.special else [text]):
             if i % 2:
                 out.append(self.specials[part])
                 continue
             for pretoken in PRETOKEN.findall(part):
-                out += known.get(pretoken) or self._learn(pretoken)
+                out += self.known.get(pretoken) or self._learn(pretoken)
         return out
 
     def decode(self, ids) -> str:
