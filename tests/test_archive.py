@@ -18,7 +18,7 @@ def zipped(entries):
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body, *mode in entries:
             info = zipfile.ZipInfo(name)
-            info.create_system = 3
+            info.create_system, info.compress_type = 3, zipfile.ZIP_DEFLATED
             info.external_attr = (mode[0] if mode else stat.S_IFREG | 0o644) << 16
             z.writestr(info, body)
     return out.getvalue()
