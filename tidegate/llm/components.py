@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import stage, unstage
@@ -33,17 +33,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             moved = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         return moved.where("u <> v").distinct()
 
-    def mark(links: DataFrame):
-        return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def kept(links: DataFrame):
+        """The staged links with their number and a sum of their digests, both taken while they are written."""
+        seen = Observation()
+        out = stage(links.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")), "links")
+        return out, (seen.get["n"], seen.get["digest"])
 
-    links = stage(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct(),
-        "links",
-    )
-    before = mark(links)
+    links, before = kept(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct())
     while before[0]:
-        now = stage(star(star(links, True), False), "links")
-        after = mark(now)
+        now, after = kept(star(star(links, True), False))
         unstage(links)
         links = now
         if after == before:

@@ -7,7 +7,7 @@ its arrivals come later than every register's, so each costs little more than
 one point. Two sketches agree on a register with their probability Jaccard.
 
 Registers are joined in bands. Copies of a text count once. In a band's bucket
-every text is linked to the bucket's least only; links are verified on the
+every text is linked to one centre only; links are verified on the
 texts themselves, and components formed. Where a bucket still holds several
 components, the texts outside its largest meet all texts of other components;
 the sketches and the share of shingles that no other text has rule out nearly all
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import stage
@@ -28,6 +28,8 @@ from tidegate.llm.text_arrays import NOT_SPACE, Words, mix, rolling, text_slices
 SHINGLE = 5
 ROWS, BANDS = 5, 24
 REGISTERS = ROWS * BANDS
+#: Registers are compared by their low byte, eight in a long.
+PACKED = REGISTERS // 8
 #: Registers that must agree before two texts of one bucket are compared: the
 #: expected share at the threshold, less five standard deviations.
 SLACK = 5.0
@@ -94,7 +96,8 @@ def _sketches(batches):
         size = np.bincount(np.searchsorted(has, row), minlength=len(has))
         total = np.bincount(np.searchsorted(has, row), weight, len(has))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-        low = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * REGISTERS, pa.int32()), pa.array((registers & np.uint64(0x7F)).astype(np.int8).reshape(-1)))
+        packed = np.ascontiguousarray((registers & np.uint64(0xFF)).astype(np.uint8)).view(np.int64)
+        low = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * PACKED, pa.int32()), pa.array(packed.reshape(-1)))
         yield pa.RecordBatch.from_arrays([ids, lists, low, pa.array(size.astype(np.int32)), pa.array(total.astype(np.int32))], ["doc_id", "bands", "registers", "size", "total"])
 
 
@@ -141,6 +144,17 @@ def _verified(threshold: float):
     return run
 
 
+def agreeing(a: Column, b: Column) -> Column:
+    """How many of the packed registers are equal: bytes of the exclusive or that are zero."""
+    low_bits, out = F.lit(0x0101010101010101), F.lit(REGISTERS)
+    for i in range(PACKED):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for n in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+        out = out - F.bit_count(x.bitwiseAND(low_bits))
+    return out
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, threshold: float, kind: str) -> DataFrame:
     """The (a, b) pairs whose texts are alike."""
     first = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -164,21 +178,21 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
     digests = known.select("doc_id", F.md5("text").alias("digest"))
     originals = digests.groupBy("digest").agg(F.min("doc_id").alias("original"))
     copies = stage(digests.join(originals, "digest").where("doc_id > original").groupBy("doc_id").agg(F.min("original").alias("original")), "copies")
-    sketches = stage(known.mapInArrow(_sketches, f"doc_id {kind}, bands array<long>, registers array<tinyint>, size int, total int"), "sketches")
+    sketches = stage(known.mapInArrow(_sketches, f"doc_id {kind}, bands array<long>, registers array<long>, size int, total int"), "sketches")
     unique = sketches.join(copies, "doc_id", "left_anti")
 
     entries = unique.select("doc_id", F.explode("bands").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = entries.join(heads, "bucket").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    full = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    entries = stage(entries.join(full, "bucket"), "entries")
+    # the centre of a bucket is the text that meets most others in all its buckets: of near copies, the least changed
+    met = entries.groupBy("doc_id").agg(F.sum("n").alias("met"))
+    centres = entries.join(met, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("met", "doc_id")).alias("centre"))
+    stars = entries.join(centres, "bucket").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     links = stage(_checked(stars, known, threshold, kind), "verified")
     parts = stage(connected_components(links, "a", "b"), "parts")
 
     # buckets that hold several components still
-    placed = (
-        entries.join(heads.select("bucket"), "bucket", "left_semi")
-        .join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    )
+    placed = entries.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
     open_ = stage(placed.join(mixed, "bucket"), "open")
@@ -196,7 +210,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
     shared = (F.col("total") - F.coalesce("alone", F.lit(0))).alias("shared")
     open_ = stage(open_.join(facts, "doc_id").select("bucket", "doc_id", "part", "main", "registers", "size", "total", shared).where(F.col("shared") >= threshold * F.col("total")), "open")
     least = int(np.ceil(REGISTERS * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS))))
-    alike = F.aggregate(F.zip_with("ra", "rb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= least
+    alike = agreeing(F.col("ra"), F.col("rb")) >= least
     outer = open_.where("part <> main").select("bucket", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("registers").alias("ra"), F.col("size").alias("nx"), F.col("total").alias("tx"), F.col("shared").alias("sx"))
     inner = open_.select(
         "bucket", F.col("doc_id").alias("y"), F.col("part").alias("py"), F.col("registers").alias("rb"), F.col("size").alias("ny"), F.col("total").alias("ty"), F.col("shared").alias("sy"),
