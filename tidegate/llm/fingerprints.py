@@ -22,8 +22,8 @@ CELL = "struct<n:int,k:bigint,h:bigint>"
 ROUNDS = 8
 #: Cells per digest and table when a pair is sketched again.
 LARGER = 64
-#: Buckets in which documents are put in order to find each one's neighbour.
-BUCKETS = 200
+#: Buckets in which documents are put in order to find each one's neighbour, at least and at most.
+BUCKETS, MOST_BUCKETS = 200, 4096
 
 
 def unit_digests(text: Column) -> Column:
@@ -163,32 +163,47 @@ def fingerprint(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda c: F.when((c["n"] == 0) & (c["k"] == 0), "-").otherwise(F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["h"])))), " ")
 
 
+def _longs(values: list[int]) -> Column:
+    return F.expr("array(" + ", ".join(f"{v}L" for v in values) + ")") if values else F.array().cast("array<bigint>")
+
+
+def _bucket(key: Column, borders: list[int]) -> Column:
+    """How many borders are not above the key, found by a coarse step and a fine one."""
+    step = max(1, int(len(borders) ** 0.5))
+    below = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    parts = [borders[i + 1 : i + step] for i in range(0, len(borders), step)]
+    fine = F.array(*[_longs(p) for p in [[], *parts]])
+    return F.transform(F.array(below(_longs(borders[::step]))), lambda i: F.when(i == 0, 0).otherwise((i - 1) * step + 1 + below(F.get(fine, i))))[0]
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with `next_<column>` of the next one by descending doc_id; the last one's next is the first.
 
     Documents are dealt to buckets of consecutive ids, and the last of each
     bucket also to the bucket that follows it, so neighbours meet without putting
-    all rows in one task. Only bucket borders (BUCKETS numbers) reach the driver.
-    Rows of equal doc_id follow each other by text; null ids count as lowest.
+    all rows in one task. There are BUCKETS, or twice the session's shuffle
+    partitions up to MOST_BUCKETS; only their borders and last ids reach the
+    driver and are broadcast. Rows of equal doc_id follow each other by text;
+    null ids count as lowest.
     """
+    spark = docs.sparkSession
+    n = min(MOST_BUCKETS, max(BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
     ids = docs.select(key.alias("key"))
-    borders = sorted(set(map(int, ids.approxQuantile("key", [i / BUCKETS for i in range(1, BUCKETS)], 0.002) or [])))
     # a border is a plain number; ids that share one are in one bucket
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in borders]).cast("array<bigint>"), lambda b: b <= key)) if borders else F.lit(0)
-    tops = sorted(((r["bucket"], r["top"]) for r in docs.select(bucket.alias("bucket"), key.alias("key")).groupBy("bucket").agg(F.max("key").alias("top")).collect()))
-    follows = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)} if tops else {}
+    borders = sorted(set(map(int, ids.approxQuantile("key", [i / n for i in range(1, n)], 0.25 / n) or [])))
+    placed = docs.select(*columns, key.alias("key"), _bucket(key, borders).alias("bucket"))
+    tops = sorted(tuple(r) for r in placed.groupBy("bucket").agg(F.max("key").alias("top")).collect())
     wraps = tops[-1][1] if tops else None
-    guest = F.coalesce(*[F.when(key == top, F.lit(to)) for top, to in follows.items()]) if follows else F.lit(None).cast("int")
-    dealt = docs.select(
-        *columns,
-        key.alias("key"),
-        F.explode(F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("bucket"), F.lit(1).alias("guest")))))).alias("place"),
+    follows = ", ".join(f"named_struct('top', {top}L, 'to', {tops[(i + 1) % len(tops)][0]})" for i, (_, top) in enumerate(tops))
+    guests = spark.range(1).select(F.inline(F.expr(f"array({follows})" if follows else "cast(array() as array<struct<top:bigint,to:int>>)")))
+    dealt = placed.join(F.broadcast(guests), F.col("key") == F.col("top"), "left").withColumn(
+        "place", F.explode(F.array_compact(F.array(F.struct("bucket", F.lit(False).alias("guest")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("guest"))))))
     )
-    # ascending: the row before is the next by descending id; a guest comes from the bucket below or, wrapped, stands first
-    low = F.when((F.col("place.guest") == 1) & (F.col("key") == F.lit(wraps)), F.lit(0)).otherwise(F.lit(1)) if wraps is not None else F.lit(1)
-    order = Window.partitionBy("place.bucket").orderBy(F.when(F.col("place.guest") == 1, F.lit(0)).otherwise(F.lit(1)), low, "key", "doc_id", "text")
-    return dealt.withColumns({f"next_{c}": F.lag(c).over(order) for c in columns}).where("place.guest = 0").drop("key", "place")
+    # ascending: the row before is the next by descending id; guests come first, the wrapped one before all
+    wrapped = F.col("place.guest") & (F.col("key") == F.lit(wraps)) if wraps is not None else F.lit(False)
+    order = Window.partitionBy("place.bucket").orderBy(F.desc("place.guest"), F.desc(wrapped), "key", *columns)
+    return dealt.select(*columns, "place", *[F.lag(c).over(order).alias(f"next_{c}") for c in columns]).where("not place.guest").drop("place")
 
 
 def compare_versions(docs: DataFrame) -> DataFrame:
