@@ -100,8 +100,9 @@ def _wide(listed, policy: Policy) -> list[str]:
 
 def expected_types(ext: Column, policy: Policy = Policy()) -> Column:
     """The MIME types an extension may have, from a constant map; null if it is unknown."""
-    entries = [x for e, mimes in file_types().items() for x in (F.lit(e), F.array(*[F.lit(m) for m in _wide(mimes, policy)]))]
-    return F.try_element_at(F.create_map(*entries), ext)
+    listed = lambda values: ", ".join(f"'{v}'" for v in values)
+    entries = ", ".join(f"'{e}', array({listed(_wide(mimes, policy))})" for e, mimes in file_types().items())
+    return F.try_element_at(F.expr(f"map({entries})"), ext)
 
 
 def extension_agrees(name: Column, declared: Column, detected: Column, policy: Policy = Policy()) -> Column:
