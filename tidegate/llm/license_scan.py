@@ -25,8 +25,8 @@ from tidegate.llm.text_arrays import text_slices
 WORD = r"[0-9a-z\x80-\xff]"
 GAP = r"[^0-9a-z\x80-\xff]+"
 
-#: Phrases whose places always count: words in a row, label.
-BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
+#: Phrases whose places always count: words in a row, label, and the keyword that gates them.
+BASE = (("cc by", "cc-by", "cc"), ("general public license", "gpl", "license"), ("all rights reserved", "reserved", "reserved"))
 
 # family: (label, names as words, versions)
 _FAMILIES = (
@@ -116,19 +116,19 @@ def rules() -> list[Rule]:
 
 @lru_cache(1)
 def _base():
-    return [(label, phrase.split()[0].encode(), regex.compile(rf"(?<!{WORD}){_spelled(phrase)}(?!{WORD})".encode("latin-1")).finditer) for phrase, label in BASE]
+    return [(label, regex.compile(rf"(?<!{WORD}){_spelled(phrase)}(?!{WORD})".encode("latin-1")).finditer) for phrase, label, _ in BASE]
 
 
 @lru_cache(1)
 def _keywords():
     """The automaton of all keywords, and for each keyword the rules that need it."""
-    words = sorted({k for r in rules() for k in r.keywords} | {p.split()[-1].encode() for p, _ in BASE})
+    words = sorted({k for r in rules() for k in r.keywords} | {k.encode() for _, _, k in BASE})
     automaton = ahocorasick.Automaton()
     for i, word in enumerate(words):
         automaton.add_word(word.decode(), i)
     automaton.make_automaton()
     place = {w: i for i, w in enumerate(words)}
-    return automaton, [(r, frozenset(place[k] for k in r.keywords)) for r in rules()], [place[p.split()[-1].encode()] for p, _ in BASE]
+    return automaton, [(r, frozenset(place[k] for k in r.keywords)) for r in rules()], [place[k.encode()] for _, _, k in BASE]
 
 
 _IS_WORD = np.array([48 <= i <= 57 or 97 <= i <= 122 or i >= 0x80 for i in range(256)])
@@ -155,7 +155,7 @@ def scan_text(text: str):
     if not have:
         return n_words, [], []
     found = [(r.priority, m.start(), m.end(), r.label) for r, needed in gated if needed <= have for m in r.find(low)]
-    places = [(m.start(), label) for key, (label, _, find) in zip(base_keys, _base()) if key in have for m in find(low)]
+    places = [(m.start(), label) for key, (label, find) in zip(base_keys, _base()) if key in have for m in find(low)]
     if places:
         starts = np.flatnonzero(first)
         places = sorted((int(np.searchsorted(starts, at)), label) for at, label in places)
