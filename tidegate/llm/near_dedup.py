@@ -10,8 +10,9 @@ Registers are joined in bands. Copies of a text count once. In a band's bucket
 every text is linked to one centre only; links are verified on the
 texts themselves, and components formed. Where a bucket still holds several
 components, the texts outside its largest meet all texts of other components;
-the sketches and the share of shingles that no other text has rule out nearly all
-of those before a pair is made. So no link within a bucket is lost.
+the sketches, the share of shingles that no other text has, and the overlap of
+shingles rule out nearly all of those before a pair is made. So no link within a
+bucket is lost.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def sketch(rows: int, row: np.ndarray, shingle: np.ndarray, weight: np.ndarray)
 
 
 def _sketches(batches):
-    for batch in text_slices(batches, "text", 1 << 20):
+    for batch in text_slices(batches, "text", 1 << 19):
         row, shingle, weight = weighted_shingles(batch.column("text"))
         has = np.unique(row)
         if not len(has):
@@ -101,10 +102,14 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([ids, lists, low, pa.array(size.astype(np.int32)), pa.array(total.astype(np.int32))], ["doc_id", "bands", "registers", "size", "total"])
 
 
-def _tokens(batches):
-    for batch in text_slices(batches, "text", 1 << 20):
-        row, shingle, weight = weighted_shingles(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(shingle.view(np.int64)), pa.array(weight.astype(np.int32))], ["doc_id", "shingle", "weight"])
+def _sets(batches):
+    """Each text's shingles by 32 bits, each once."""
+    for batch in text_slices(batches, "text", 1 << 19):
+        row, shingle, _ = weighted_shingles(batch.column("text"))
+        key = np.unique((row.astype(np.uint64) << np.uint64(32)) | (shingle & np.uint64(0xFFFFFFFF)))
+        edges = np.searchsorted(key >> np.uint64(32), np.arange(batch.num_rows + 1).astype(np.uint64)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edges), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "shingles"])
 
 
 def rolling_band(registers: np.ndarray) -> np.ndarray:
@@ -196,33 +201,38 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
     open_ = stage(placed.join(mixed, "bucket"), "open")
+    sets = stage(known.join(open_.select("doc_id").distinct(), "doc_id").mapInArrow(_sets, f"doc_id {kind}, shingles array<int>"), "sets")
     # what of a text no other text in question has: it bounds the likeness from above
     alone = (
-        known.join(open_.select("doc_id").distinct(), "doc_id")
-        .mapInArrow(_tokens, f"doc_id {kind}, shingle long, weight int")
+        sets.select("doc_id", F.explode("shingles").alias("shingle"))
         .groupBy("shingle")
-        .agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id"), F.max("weight").alias("weight"))
+        .agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id"))
         .where("n = 1")
         .groupBy("doc_id")
-        .agg(F.sum("weight").alias("alone"))
+        .agg(F.count("*").alias("alone"))
     )
-    facts = unique.select("doc_id", "registers", "size", "total").join(alone, "doc_id", "left")
+    facts = unique.select("doc_id", "registers", "size", "total").join(sets, "doc_id").join(alone, "doc_id", "left")
     shared = (F.col("total") - F.coalesce("alone", F.lit(0))).alias("shared")
-    open_ = stage(open_.join(facts, "doc_id").select("bucket", "doc_id", "part", "main", "registers", "size", "total", shared).where(F.col("shared") >= threshold * F.col("total")), "open")
+    open_ = open_.join(facts, "doc_id").select("bucket", "doc_id", "part", "main", "registers", "size", "total", "shingles", shared)
+    open_ = stage(open_.where(F.col("shared") >= threshold * F.col("total")), "open")
     least = int(np.ceil(REGISTERS * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS))))
     alike = agreeing(F.col("ra"), F.col("rb")) >= least
-    outer = open_.where("part <> main").select("bucket", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("registers").alias("ra"), F.col("size").alias("nx"), F.col("total").alias("tx"), F.col("shared").alias("sx"))
+    outer = open_.where("part <> main").select(
+        "bucket", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("registers").alias("ra"), F.col("size").alias("nx"), F.col("total").alias("tx"), F.col("shared").alias("sx"), F.col("shingles").alias("kx")
+    )
     inner = open_.select(
-        "bucket", F.col("doc_id").alias("y"), F.col("part").alias("py"), F.col("registers").alias("rb"), F.col("size").alias("ny"), F.col("total").alias("ty"), F.col("shared").alias("sy"),
+        "bucket", F.col("doc_id").alias("y"), F.col("part").alias("py"), F.col("registers").alias("rb"), F.col("size").alias("ny"), F.col("total").alias("ty"), F.col("shared").alias("sy"), F.col("shingles").alias("ky"),
         (F.col("part") == F.col("main")).alias("in_main"),
     )
-    # with every weight 1 the likeness is overlap by union, so the overlap needed follows from the sizes
+    # with every weight 1 the likeness is overlap by union, so the overlap needed follows from the sizes;
+    # two more are granted for shingles that 32 bits do not tell apart, and other weights are left to the check
     needed = threshold / (1 + threshold) * (F.col("nx") + F.col("ny"))
     weighted = (F.col("nx") < F.col("tx")) | (F.col("ny") < F.col("ty"))
     possible = weighted | (F.least("sx", "sy") >= needed)
+    overlap = weighted | (F.size(F.array_intersect("kx", "ky")) + 2 >= needed)
     meet = (outer["bucket"] == inner["bucket"]) & (F.col("px") != F.col("py")) & (F.col("in_main") | (F.col("x") < F.col("y")))
     rest = (
-        outer.join(inner, meet & possible & alike)
+        outer.join(inner, meet & possible & alike & overlap)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
