@@ -26,7 +26,7 @@ from tidegate.llm.text_arrays import text_slices
 #: Fixed value: the published pre-token pattern of this vocabulary.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pre-tokens a worker remembers at most, half of them met lately.
-REMEMBERED = 600_000
+REMEMBERED = 240_000
 #: Fragments longer than this are merged with a queue.
 SHORT = 48
 _ID = (1 << 20) - 1

@@ -238,7 +238,7 @@ def identify(docs: DataFrame, trained, keep_columns: bool = True) -> DataFrame:
 
     def run(batches):
         trained = shared.value
-        for batch in text_slices(batches, "text", 1 << 20):
+        for batch in text_slices(batches, "text", 1 << 18):
             size = batch.num_rows
             pred, score, ok = [UNKNOWN] * size, np.zeros(size), np.zeros(size, bool)
             if trained:
