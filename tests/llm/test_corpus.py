@@ -123,6 +123,32 @@ def test_decontamination(frame, spark):
     assert decontamination.contaminated(frame(EDGES), bench).count() == 0
 
 
+def test_decontamination_stretch_in_a_wider_one(frame, spark):
+    """A stretch that qualifies counts, also where a wider one of a higher sum does not."""
+    item = [f"q{i}" for i in range(80)]
+    rows, want = [], {}
+    for i, runs in enumerate([(15, 7, 15, 7, 15), (13, 6, 13, 6, 13), (20, 9, 20, 9, 20)]):
+        kept = [k % 2 == 0 for k, n in enumerate(runs) for _ in range(n)]
+        rows.append((i, " ".join(w if k else f"n{w}" for w, k in zip(item, kept))))
+        want[i] = 2 * runs[0]  # two runs and what lies between still qualify, three do not
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id: r.n_words for r in decontamination.contaminated(frame(rows), bench).collect()} == want
+
+
+def plain_overlap(same, least):
+    sizes = [(sum(same[a:b]), b - a) for a in range(len(same)) for b in range(a + 1, len(same) + 1)]
+    return max([n for n, length in sizes if n >= least and 5 * n >= 4 * length], default=0)
+
+
+def test_overlap_is_that_of_all_stretches():
+    rng = np.random.default_rng(4)
+    for share in (0.6, 0.75, 0.85, 0.95):
+        for _ in range(60):
+            same = rng.random(rng.integers(16, 60)) < share
+            item = np.arange(len(same))
+            assert decontamination.overlap(item, np.where(same, item, -1), 0) == plain_overlap(same.tolist(), 13)
+
+
 def test_language_id(spark, data):
     docs = read(spark, data.replace("0.001", "0.01"), "documents")
     rows = queries.op9_language_id(spark, data.replace("0.001", "0.01")).join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -24,7 +24,7 @@ from tidegate.llm.text_arrays import ALNUM, Words, mix, text_slices, utf8
 #: Fixed masks: eight words of eleven or twelve count.
 MASKS = ("110110011011", "111001011101", "11101101011")
 MIN_WORDS = 5
-MIN_AGREE, MIN_SHARE = 13, 0.8
+MIN_AGREE = 13
 #: Bound of the filter in bits (8 MB).
 MAX_BITS = 1 << 26
 
@@ -121,20 +121,22 @@ def _hits(shared, bits: int, masks: list[str]):
     return run
 
 
-def overlap(item: np.ndarray, words: np.ndarray, shift: int) -> tuple[int, int]:
-    """(words that agree, length) of the best stretch of `item` laid over `words` from `shift` on.
+def overlap(item: np.ndarray, words: np.ndarray, shift: int) -> int:
+    """Most words that agree in a stretch of `item` laid over `words` from `shift` on that counts as an overlap; 0 if none does.
 
-    A word that agrees counts 1 and one that differs -2; the stretch of highest
-    sum is taken, and -1 for a tie's longer one does not matter to the outcome.
+    A word that agrees counts 1 and one that differs -4, so that a stretch whose
+    sum is 0 or more has a share of 0.8 or more. For each end the first start of no
+    higher sum holds the most words.
     """
     lo, hi = max(0, -shift), min(len(item), len(words) - shift)
     if hi <= lo:
-        return 0, 0
+        return 0
     same = item[lo:hi] == words[lo + shift : hi + shift]
-    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    end = int(np.argmax(sums - np.minimum.accumulate(sums)))
-    start = int(np.argmin(sums[: end + 1]))
-    return int(same[start:end].sum()), end - start
+    agree = np.concatenate([[0], np.cumsum(same)])
+    sums = 5 * agree - 4 * np.arange(len(agree))
+    start = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    most = int((agree - agree[start]).max())
+    return most if most >= min(MIN_AGREE, len(item)) else 0
 
 
 def _overlaps(batches):
@@ -143,13 +145,12 @@ def _overlaps(batches):
         columns = [batch.column(c) for c in ("item_words", "words", "shift")]
         for i in range(batch.num_rows):
             item, words = columns[0][i].values.to_numpy(), columns[1][i].values.to_numpy()
-            agree, length = overlap(item, words, columns[2][i].as_py())
-            out.append(agree if agree >= min(MIN_AGREE, len(item)) and agree >= MIN_SHARE * length else 0)
+            out.append(overlap(item, words, columns[2][i].as_py()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(out, pa.int32())], ["doc_id", "item_id", "agree"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_words): documents with the benchmark items they overlap and how many words agree.
+    """(doc_id, item_id, n_words): documents with the benchmark items they overlap and how many words agree at most.
 
     Words are lower-cased runs of letters and digits. An overlap needs 13 agreeing
     words (all of a shorter item) and at most a fifth substituted. Items of under
