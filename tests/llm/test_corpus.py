@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -149,6 +150,34 @@ def test_overlap_is_that_of_all_stretches():
             assert decontamination.overlap(item, np.where(same, item, -1), 0) == plain_overlap(same.tolist(), 13)
 
 
+def missed(masks, length, bent):
+    """Placements of `bent` substitutions in `length` words that no mask avoids."""
+    holes = np.array([sum(1 << i for i in c) for c in combinations(range(length), bent)])
+    hit = np.zeros(len(holes), bool)
+    for m in masks:
+        for i in range(length - len(m) + 1):
+            hit |= holes & (int(m[::-1], 2) << i) == 0
+    return int((~hit).sum())
+
+
+def test_seeds_hit_every_overlap():
+    for length, bent in ((13, 0), (14, 1), (15, 2), (16, 3), (17, 3), (18, 3), (19, 3), (20, 4), (21, 4), (25, 5)):
+        assert missed(decontamination.MASKS, length, bent) == 0
+    for length in range(decontamination.MIN_WORDS, 16):
+        assert missed(decontamination._masks_for(length), length, length // 5) == 0
+
+
+def test_decontamination_of_bent_and_short_items(frame, spark):
+    places = {5: (2,), 9: (4,), 10: (3, 6), 12: (4, 8), 15: (3, 7, 11), 16: (1, 3, 5), 17: (4, 8, 12), 20: (4, 8, 11, 15), 21: (4, 8, 12, 16)}
+    items = {n: [f"q{n}x{i}" for i in range(n)] for n in places}
+    bent = {n: ["other" if i in at else w for i, w in enumerate(items[n])] for n, at in places.items()}
+    over = {n + 100: ["other" if i in (0, n // 3, n // 2, n - 1, *places[n]) else w for i, w in enumerate(items[n])] for n in places}
+    rows = [(n, "before it " + " ".join(w) + " behind it") for n, w in (bent | over).items()]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_words for r in decontamination.contaminated(frame(rows), bench).collect()}
+    assert got == {(n, n): n - len(at) for n, at in places.items()}
+
+
 def test_language_id(spark, data):
     docs = read(spark, data.replace("0.001", "0.01"), "documents")
     rows = queries.op9_language_id(spark, data.replace("0.001", "0.01")).join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -13,6 +13,9 @@ through, never less.
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,14 +24,19 @@ from pyspark.sql import functions as F
 from tidegate.llm.common import stage
 from tidegate.llm.text_arrays import ALNUM, Words, mix, text_slices, utf8
 
-#: Fixed masks: eight words of eleven or twelve count.
-MASKS = ("110110011011", "111001011101", "11101101011")
+#: Fixed masks of seven words: together they hit every overlap of 13 agreeing words with a fifth substituted.
+MASKS = ("111011011", "111000010111", "11000010010111", "1101010100011", "110011001011", "1000000111111")
 MIN_WORDS = 5
 MIN_AGREE = 13
 #: Bound of the filter in bits (8 MB).
 MAX_BITS = 1 << 26
 
 
+def least(length: int) -> int:
+    """Words of an item that must agree: an item too short for 13 may miss a fifth too."""
+    return min(MIN_AGREE, -(-4 * length // 5))
+
+
 def seeds(digests: np.ndarray, row_ends: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place) of each place where `mask` fits into the row."""
     n = len(digests) - len(mask) + 1
@@ -49,10 +57,22 @@ def _benchmark_words(batches):
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), lists], ["item_id", "words"])
 
 
-def _masks_for(length: int) -> list[str]:
-    """An item shorter than the masks is its own seed."""
-    fit = [m for m in MASKS if len(m) <= length]
-    return fit or ["1" * length]
+@cache
+def _masks_for(length: int) -> tuple[str, ...]:
+    """Masks for items of `length` words; for one too short for MASKS, a set that hits wherever enough of its words agree."""
+    bent = length - least(length)
+    if least(length) == MIN_AGREE:
+        return MASKS
+    weight = length - 1 if bent == 1 else min(7, length - 4)
+    holes = np.array([sum(1 << i for i in c) for c in combinations(range(length), bent)])
+    masks = [sum(1 << i for i in (0, *c)) for c in combinations(range(1, length), weight - 1)]
+    fits = np.array([np.any([holes & (m << i) == 0 for i in range(length - m.bit_length() + 1)], axis=0) for m in masks])
+    chosen, left = [], np.ones(len(holes), bool)
+    while left.any():
+        best = int(np.argmax(fits[:, left].sum(axis=1)))
+        chosen.append(f"{masks[best]:b}"[::-1])
+        left &= ~fits[best]
+    return tuple(chosen)
 
 
 def _benchmark_seeds(batches):
@@ -136,7 +156,7 @@ def overlap(item: np.ndarray, words: np.ndarray, shift: int) -> int:
     sums = 5 * agree - 4 * np.arange(len(agree))
     start = np.searchsorted(-np.minimum.accumulate(sums), -sums)
     most = int((agree - agree[start]).max())
-    return most if most >= min(MIN_AGREE, len(item)) else 0
+    return most if most >= least(len(item)) else 0
 
 
 def _overlaps(batches):
@@ -153,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words): documents with the benchmark items they overlap and how many words agree at most.
 
     Words are lower-cased runs of letters and digits. An overlap needs 13 agreeing
-    words (all of a shorter item) and at most a fifth substituted. Items of under
+    words (four fifths of an item of under 16) and at most a fifth substituted. Items of under
     five words and null texts match nothing; rows with a null doc_id are left out,
     rows that repeat a doc_id or item_id are judged together. An empty side gives
     an empty result. Other columns are left aside.
@@ -163,8 +183,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     items = stage(benchmark.where("item_id is not null and text is not null").select("item_id", "text").mapInArrow(_benchmark_words, f"item_id {item_kind}, words array<long>"), "items")
     wanted = stage(items.mapInArrow(_benchmark_seeds, f"seed long, item_id {item_kind}, place int").distinct(), "seeds")
-    lengths = [r[0] for r in items.where(F.size("words").between(MIN_WORDS, min(map(len, MASKS)) - 1)).select(F.size("words")).distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(lengths))]
+    lengths = [r[0] for r in items.where(F.size("words").between(MIN_WORDS, 15)).select(F.size("words")).distinct().collect()]
+    masks = sorted({*MASKS, *(m for n in lengths for m in _masks_for(n))})
     bits = min(MAX_BITS, max(1 << 16, 1 << int(wanted.count() * 64).bit_length()))
     table = np.zeros(bits // 8, np.uint8)
     filled = wanted.select("seed").mapInArrow(_filter(bits), "byte int, bits short").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
