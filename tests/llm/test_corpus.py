@@ -282,6 +282,28 @@ def test_url_filter(spark):
     assert url_filters.judge(df.where("page_id > 99")).count() == 0
 
 
+def test_url_filter_resolves_links(spark):
+    """Aliases named by relative addresses, or with &amp; in them."""
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "http://x.com/old", refresh.format("/de/1")),
+        (2, "https://x.com/a/old", '<link rel="canonical" href="//x.com/de/2">'),
+        (3, "http://x.com/a/b/old?q=/z", "<link rel=canonical href=../../de/./3>"),
+        (4, "http://x.com", '<link rel="canonical" href="de/4#top">'),
+        (5, "http://x.com/old5", '<link rel="canonical" href="/p?a=1&amp;b=2">'),
+        (6, "http://y.com/q", refresh.format("http://x.com/p?a=1&amp;b=2")),
+        (7, "http://x.com/p?a=1&b=2", refresh.format("HTTP://X.com/de/7")),
+        (8, "http://x.com/de", '<link rel="canonical" href="?page=2">'),
+        (9, "http://x.com/de?page=2", '<link rel="canonical" href="/de/9">'),
+        (10, "http://x.com/other", '<link rel="canonical" href="#top"><link rel="canonical" href="mailto:a@x.com"><link rel="canonical" href="">'),
+        (12, "no scheme", '<link rel="canonical" href="/de/1">'),
+    ]
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 9}
+    assert got[1].component == "x.com/de/1" and got[5].component == got[6].component == got[7].component
+    assert got[10].component is None and got[12].component is None
+
+
 def test_chat_parts(spark):
     rows = [
         (1, 1, "assistant", [("text", "see <|im_end|> \\ <\\|", None, None, None, None, None), ("image", None, "a.png", 56, 29, None, None)]),

@@ -54,11 +54,41 @@ def address(url: Column) -> Column:
     return F.concat(url_host(url), F.regexp_replace(rest, "/+$", ""))
 
 
-def link_targets(html: Column) -> Column:
-    """Absolute targets of canonical links and refresh redirects in a page."""
+def resolved(link: Column, base: Column) -> Column:
+    """`link` as an absolute address, seen from the page at `base`; empty if it names no page of a host.
+
+    Takes //host/path, /path, ?query and relative paths; `.` and `..` steps are worked off
+    in these. A fragment alone and schemes without `//` name none.
+    """
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = url_path(base)
+    stem = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, "(?s)^(.*/)", 1))
+    tail = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    way = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+    steps = F.split(F.when(way.startswith("/"), way).otherwise(F.concat(stem, way)), "/")
+    # a last `.` or `..` names a folder
+    steps = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+    kept = F.aggregate(
+        F.slice(steps, 2, F.size(steps)),
+        F.array().cast("array<string>"),
+        lambda have, x: F.when(x == ".", have).when(x == "..", F.slice(have, 1, F.greatest(F.size(have) - 1, F.lit(0)))).otherwise(F.concat(have, F.array(x))),
+    )
+    return (
+        F.when(link.rlike("(?i)^[a-z][a-z0-9+.-]*://"), link)
+        .when((link == "") | link.startswith("#") | link.rlike("(?i)^[a-z][a-z0-9+.-]*:"), "")
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("?"), F.concat(origin, path, link))
+        .otherwise(F.concat(origin, F.lit("/"), F.array_join(kept, "/"), tail))
+    )
+
+
+def link_targets(html: Column, base: Column) -> Column:
+    """Targets of canonical links and refresh redirects in the page at `base`, made absolute."""
     # only tags that say so are looked at; an attribute may stand before or behind
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>"), 0)
-    target = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)(?:\bhref\s*=\s*[\"']?|\burl\s*=\s*[\"']?)([a-z][a-z0-9+.-]*://[^\s\"'>]+)", 1))
+    target = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)\b(?:href|url)\s*=\s*[\"']?\s*([^\s\"'>]+)", 1))
+    target = F.transform(target, lambda t: resolved(F.regexp_replace(t, "(?i)&(?:amp|#38|#x26);", "&"), base))
     return F.filter(target, lambda t: t != "")
 
 
@@ -68,7 +98,8 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     Takes `page_id`, `url` and `html`. The verdict is the rule's; else `block` if
     an alias is blocked and none is explicitly allowed; else `default`. A null
     url or one without `://` has an empty host and path, fits no rule and has no
-    alias. Null html has no links. Repeated rows are judged each. Other columns
+    alias. Null html has no links; links without scheme or host are resolved from
+    the page's url (a `base` tag is not regarded). Repeated rows are judged each. Other columns
     are left aside.
     """
     seen = pages.select("page_id", "url", "html").withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
@@ -76,7 +107,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     links = (
         judged.where("node is not null and html is not null")
         .where(F.col("html").rlike("(?i)canonical|refresh"))
-        .select("node", F.explode(link_targets(F.col("html"))).alias("link"))
+        .select("node", F.explode(link_targets(F.col("html"), F.col("url"))).alias("link"))
         .select("node", address(F.col("link")).alias("alias"))
     )
     parts = connected_components(links, "node", "alias")
