@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +53,22 @@ def test_quota(spark, tmp_path):
     assert [(r.upload_key, r.active, r.code) for r in got] == [("k0", 1, None), ("k1", 2, None), ("k2", 2, "too_many_upload_keys"), ("k9", 2, None)]
 
 
+def test_keys_of_many_rows_are_sorted_in_parts(monkeypatch):
+    """No frame is as large as the key, and the order is that of one sort, nulls last."""
+    monkeypatch.setattr(L, "HELD", 50)
+    monkeypatch.setattr(L, "PART", 10)
+    monkeypatch.setattr(L, "FAN", 3)
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 49, 50, 51, 700, 2000):
+        rows = pd.DataFrame({"ts": pd.Timestamp(T0) + pd.to_timedelta(rng.integers(0, 50, n), unit="s"), "seq": rng.permutation(n), "action": [f"a{i}" for i in range(n)], "bytes": rng.random(n), "owner": [None if i < 90 else "o" for i in range(n)]})
+        rows.loc[rows.index[::97], "ts"] = None
+        frames = list(L.in_order((rows[i : i + 23] for i in range(0, n, 23)), ["ts", "seq"]))
+        assert all(len(f) <= 50 for f in frames)
+        want = rows.sort_values(["ts", "seq"], ignore_index=True)
+        if n:
+            pd.testing.assert_frame_equal(pd.concat(frames, ignore_index=True), want, check_dtype=False)
+
+
 def test_progress_agrees_with_batch(spark, tmp_path):
     rows = [("a", "progress", "o", b, 100, at(b), b) for b in (10, 50, 100)] + [("b", "complete", "o", 100, 100, at(1), 1)]
     got = {r.upload_key: r.shown for r in streamed(spark, tmp_path, [rows], L.progress, "update")}

@@ -7,9 +7,11 @@ has been quiet beyond its deadline; a watermark on `ts` bounds lateness.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -35,6 +37,89 @@ MOVES = {
 }
 
 
+#: Rows of a key that are held at once, rows of a part of a sorted run, and runs that are merged at once.
+HELD, PART, FAN = 50_000, 5_000, 16
+
+
+def _spill(frames: Iterable[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    """Write sorted frames to a file in parts; gives them back one by one."""
+    writer = None
+    with pa.OSFile(path, "wb") as sink:
+        for frame in frames:
+            batch = pa.Table.from_pandas(frame, schema=writer and schema, preserve_index=False)
+            if writer is None:
+                # a column that is null so far is one of strings
+                schema = pa.schema([f.with_type(pa.string()) if pa.types.is_null(f.type) else f for f in batch.schema])
+                batch = batch.cast(schema)
+                writer = pa.ipc.new_file(sink, schema)
+            writer.write_table(batch, PART)
+        writer.close()
+
+    def parts():
+        with pa.memory_map(path) as source, pa.ipc.open_file(source) as reader:
+            for i in range(reader.num_record_batches):
+                yield reader.get_batch(i).to_pandas()
+
+    return parts()
+
+
+def _merged(runs: list[Iterator[pd.DataFrame]], by: list[str]) -> Iterator[pd.DataFrame]:
+    """One sorted run out of several, with one part of each in memory."""
+    heads: dict[int, pd.DataFrame] = {}
+    open_runs = dict(enumerate(runs))
+    while True:
+        for i in list(open_runs):
+            if i not in heads:
+                part = next(open_runs[i], None)
+                if part is None:
+                    del open_runs[i]
+                else:
+                    heads[i] = part
+        if not heads:
+            return
+        order = pd.concat([heads[i].assign(_run=i) for i in sorted(heads)]).sort_values(by, kind="stable", ignore_index=True)
+        # what stands behind the first part's end may be overtaken by that run's next part
+        ends = [order.index[order["_run"] == i][-1] for i in heads if i in open_runs]
+        cut = min(ends, default=len(order) - 1) + 1
+        rest = order[cut:]
+        heads = {i: part.drop(columns="_run") for i, part in rest.groupby("_run")}
+        yield order[:cut].drop(columns="_run")
+
+
+def in_order(batches: Iterable[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of all batches by `by`, frame by frame: a key with more than HELD rows is sorted on disk, as runs that are merged."""
+    with tempfile.TemporaryDirectory() as folder:
+        levels: list[list[Iterator[pd.DataFrame]]] = [[]]
+        held, n, made = [], 0, 0
+
+        def keep(frames, level: int) -> None:
+            nonlocal made
+            made += 1
+            if level == len(levels):
+                levels.append([])
+            levels[level].append(_spill(frames, f"{folder}/{made}"))
+            if len(levels[level]) == FAN:
+                runs, levels[level] = levels[level], []
+                keep(_merged(runs, by), level + 1)
+
+        for batch in batches:
+            for lo in range(0, len(batch), PART):
+                held.append(batch[lo : lo + PART])
+                n += len(held[-1])
+                if n >= HELD:
+                    keep([pd.concat(held).sort_values(by, kind="stable")], 0)
+                    held, n = [], 0
+        last = [iter([pd.concat(held).sort_values(by, kind="stable")])] if held else []
+        runs = [run for level in reversed(levels) for run in level] + last
+        if len(runs) == 1:
+            yield from runs[0]
+            return
+        while len(runs) > FAN:
+            made += 1
+            runs = [_spill(_merged(runs[:FAN], by), f"{folder}/{made}"), *runs[FAN:]]
+        yield from _merged(runs, by)
+
+
 def _step(status, action: str):
     """(new status, error) of an action on a status."""
     allowed, target = MOVES.get(action, ((), None))
@@ -56,23 +141,27 @@ def upload_state(events: DataFrame, policy: Policy = Policy(), watermark: str =
 
     def fold(key, batches, state: GroupState):
         status, created, uploaded, size, owner = state.get if state.exists else (None, None, 0, None, None)
-        rows = []
+        columns = ["upload_key", "status", "uploaded_bytes", "size_bytes", "ts", "error"]
         if state.hasTimedOut:
+            rows = []
             if status not in TERMINAL:
                 rows.append((key[0], "expired", uploaded, size, pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms"), None))
             state.remove()
-        else:
-            for x in pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
+            yield pd.DataFrame(rows, columns=columns)
+            return
+        for frame in in_order(batches, ["ts", "seq"]):
+            rows = []
+            for x in frame.itertuples(index=False):
                 status, error = _step(status, x.action)
                 if error is None and x.action == "create":
                     created, owner, size = x.ts.timestamp(), x.owner, None if pd.isna(x.size) else int(x.size)
                 if error is None and not pd.isna(x.bytes):
                     uploaded = max(uploaded, int(x.bytes))
                 rows.append((key[0], status, uploaded, size, x.ts, error))
-            state.update((status, created, uploaded, size, owner))
-            late = (created or rows[-1][4].timestamp()) + (start if status == "key_created" else finish)
-            state.setTimeoutTimestamp(max(int(late * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["upload_key", "status", "uploaded_bytes", "size_bytes", "ts", "error"])
+            yield pd.DataFrame(rows, columns=columns)
+        state.update((status, created, uploaded, size, owner))
+        late = (created or rows[-1][4].timestamp()) + (start if status == "key_created" else finish)
+        state.setTimeoutTimestamp(max(int(late * 1000), state.getCurrentWatermarkMs() + 1))
 
     rows = events.select("upload_key", "action", "owner", F.col("bytes").cast("double"), F.col("size").cast("double"), F.col("ts").cast("timestamp"), "seq")
     return rows.withWatermark("ts", watermark).groupBy("upload_key").applyInPandasWithState(fold, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -91,17 +180,18 @@ def quota_stream(events: DataFrame, limit: int, watermark: str = "1 minute") ->
 
     def fold(key, batches, state: GroupState):
         active = set(state.get[0]) if state.exists else set()
-        rows = []
-        for x in pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable").itertuples(index=False):
-            if x.action == "create":
-                refused = bool(key[0]) and len(active) >= limit
-                if not refused:
-                    active.add(x.upload_key)
-                rows.append((key[0], x.upload_key, len(active), x.ts, "too_many_upload_keys" if refused else None))
-            elif x.action in ("complete", "fail", "cancel"):
-                active.discard(x.upload_key)
+        for frame in in_order(batches, ["ts", "seq"]):
+            rows = []
+            for x in frame.itertuples(index=False):
+                if x.action == "create":
+                    refused = bool(key[0]) and len(active) >= limit
+                    if not refused:
+                        active.add(x.upload_key)
+                    rows.append((key[0], x.upload_key, len(active), x.ts, "too_many_upload_keys" if refused else None))
+                elif x.action in ("complete", "fail", "cancel"):
+                    active.discard(x.upload_key)
+            yield pd.DataFrame(rows, columns=["owner", "upload_key", "active", "ts", "code"])
         state.update((sorted(active),))
-        yield pd.DataFrame(rows, columns=["owner", "upload_key", "active", "ts", "code"])
 
     rows = events.select("owner", "upload_key", "action", F.col("ts").cast("timestamp"), "seq")
     return rows.withWatermark("ts", watermark).groupBy("owner").applyInPandasWithState(
