@@ -100,6 +100,19 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent}
 
 
+def test_bound_of_exact_ties(spark):
+    """Where 0.8 is met exactly, the bounds rule out no pair or text."""
+    ties = spark.range(1, 223).select((F.col("id") * 4).alias("both"), (F.col("id") * 5).alias("all"))
+    pair = near_dedup.reaches(F.col("both"), near_dedup.overlap_needed(0.8, F.col("both"), F.col("all")))
+    alone = near_dedup.reaches(F.col("both"), 0.8 * F.col("all"))
+    assert ties.where(~pair | ~alone).count() == 0
+    assert ties.where(near_dedup.reaches(F.col("both") - 1, 0.8 * F.col("all"))).count() == 0
+    # 31 and 32 shingles, 28 of them common: the verification says yes too
+    one = np.ones(1, np.int64)
+    a, b = np.arange(31, dtype=np.int64), np.arange(3, 35, dtype=np.int64)
+    assert near_dedup.probability_jaccard(a, np.repeat(one, 31), b, np.repeat(one, 32)) >= 0.8
+
+
 def test_decontamination(frame, spark):
     rng = np.random.default_rng(9)
     item = [f"q{x}" for x in rng.integers(0, 999, 40)]

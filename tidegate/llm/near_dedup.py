@@ -163,6 +163,16 @@ def _checked(pairs: DataFrame, docs: DataFrame, threshold: float, kind: str) ->
     return joined.mapInArrow(_verified(threshold), f"a {kind}, b {kind}")
 
 
+def overlap_needed(threshold: float, x: Column, y: Column) -> Column:
+    """Common members that sets of sizes x and y need for a likeness of `threshold`."""
+    return threshold / (1 + threshold) * (x + y)
+
+
+def reaches(count: Column, needed: Column) -> Column:
+    """Whether a count may be as high as needed; a bound that rounding put just above a whole number is let through, for the verification to decide."""
+    return count >= needed - 1e-6
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id): each document with the least doc_id of its class.
 
@@ -208,7 +218,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
     )
     facts = unique.select("doc_id", "registers", "size", "total").join(alone, "doc_id", "left")
     shared = (F.col("total") - F.coalesce("alone", F.lit(0))).alias("shared")
-    open_ = stage(open_.join(facts, "doc_id").select("bucket", "doc_id", "part", "main", "registers", "size", "total", shared).where(F.col("shared") >= threshold * F.col("total")), "open")
+    open_ = stage(open_.join(facts, "doc_id").select("bucket", "doc_id", "part", "main", "registers", "size", "total", shared).where(reaches(F.col("shared"), threshold * F.col("total"))), "open")
     least = int(np.ceil(REGISTERS * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS))))
     alike = agreeing(F.col("ra"), F.col("rb")) >= least
     outer = open_.where("part <> main").select("bucket", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("registers").alias("ra"), F.col("size").alias("nx"), F.col("total").alias("tx"), F.col("shared").alias("sx"))
@@ -217,9 +227,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
         (F.col("part") == F.col("main")).alias("in_main"),
     )
     # with every weight 1 the likeness is overlap by union, so the overlap needed follows from the sizes
-    needed = threshold / (1 + threshold) * (F.col("nx") + F.col("ny"))
+    needed = overlap_needed(threshold, F.col("nx"), F.col("ny"))
     weighted = (F.col("nx") < F.col("tx")) | (F.col("ny") < F.col("ty"))
-    possible = weighted | (F.least("sx", "sy") >= needed)
+    possible = weighted | (reaches(F.least("sx", "sy"), needed))
     meet = (outer["bucket"] == inner["bucket"]) & (F.col("px") != F.col("py")) & (F.col("in_main") | (F.col("x") < F.col("y")))
     rest = (
         outer.join(inner, meet & possible & alike)
