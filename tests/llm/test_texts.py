@@ -123,6 +123,24 @@ def test_license_containment():
     assert len(license_scan.rules()) > 300
 
 
+def test_license_rules_pass_their_own_gates():
+    samples = [
+        ("copyright", "see (c) 2020 Jane Doe"), ("copyright", "see \u00a9 2020 Jane Doe"), ("copyright", "\u00a9 2019-2020"), ("copyright", "Copyright 2020 Jane"), ("copyright", "Copyright (C) 2020 Jane"),
+        ("spdx", "SPDX-License-Identifier: MIT"), ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+        ("isc", "permission to use, copy, modify, and distribute this software for any purpose"), ("bsd", "Redistribution and use in source and binary forms, with or without modification"),
+        ("bsd", "neither the name of X nor the names of its contributors"), ("zlib", "this software is provided 'as-is', without any express or implied warranty"),
+        ("disclaimer", 'the software is provided "as is", without warranty of any kind'), ("public-domain", "released into the public domain"), ("proprietary", "confidential and proprietary"),
+        ("proprietary", "unauthorised copying"), ("gpl", "either version 2 of the license, or (at your option) any later version"), ("reserved", "All rights reserved"),
+        ("cc-by", "creativecommons.org/licenses/by/4.0"), ("cc-by-sa", "creativecommons.org/licenses/by-sa/4.0"), ("cc-by-nc", "creativecommons.org/licenses/by-nc/4.0"),
+        ("cc0", "creativecommons.org/publicdomain/zero/1.0"), ("gpl", "gnu.org/licenses/gpl-3.0"), ("apache", "apache.org/licenses/license-2.0"), ("mpl", "mozilla.org/mpl/2.0"),
+    ]
+    assert {label for label, _, _, _ in license_scan._OTHERS} == {label for label, _ in samples}
+    for label, text in samples:
+        found = license_scan.scan_text(text)[2]
+        assert label in {x[3] for x in found}, text
+        assert len(found) == len(set(found))
+
+
 def test_license_table(edges, frame):
     rows = {r.doc_id: r for r in license_scan.scan(edges).collect()}
     assert rows[1].n_words == 0 and rows[1].score == 0 and rows[7].n_words == 30_000

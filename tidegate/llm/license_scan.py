@@ -61,10 +61,11 @@ _FAMILIES = (
 )
 # how a grant names a license: lead words, and a priority above the bare name's
 _LEADS = (("licensed under", 30), ("released under", 30), ("distributed under", 30), ("available under", 25), ("subject to", 25), ("under the terms of", 30))
-# free wording: label, priority, regular expression, keywords
+_COPYRIGHT = r"(?:copyright|\xc2\xa9|\(c\))[ \t]*(?:\(c\)|\xc2\xa9)?[ \t]*(?:19|20)[0-9]{2}(?:[ \t]*[-,][ \t]*(?:19|20)[0-9]{2})*[^\n]{0,80}"
+# free wording: label, priority, regular expression, keywords that must all be there; alternatives are rules of their own
 _OTHERS = (
     ("spdx", 40, r"spdx-license-identifier:[ \t]*[a-z0-9.+-]+(?:[ \t]+(?:or|and|with)[ \t]+[a-z0-9.+-]+)*", ("spdx-license-identifier",)),
-    ("copyright", 10, r"(?:copyright|\xc2\xa9|\(c\))[ \t]*(?:\(c\)|\xc2\xa9)?[ \t]*(?:19|20)[0-9]{2}(?:[ \t]*[-,][ \t]*(?:19|20)[0-9]{2})*[^\n]{0,80}", ("copyright",)),
+    *(("copyright", 10, _COPYRIGHT, (k,)) for k in ("copyright", "(c)", "\u00a9")),
     ("mit", 35, r"permission is hereby granted, free of charge, to any person obtaining a copy", ("permission is hereby granted",)),
     ("isc", 35, r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", ("permission to use",)),
     ("bsd", 35, r"redistribution and use in source and binary forms, with or without modification", ("redistribution and use",)),
