@@ -49,12 +49,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later step reads."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of tables that `stage` returned and no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
