@@ -101,18 +101,79 @@ def test_components(spark):
 
 
 def test_bound_of_exact_ties(spark):
-    """Where 0.8 is met exactly, the bounds rule out no pair or text."""
+    """Where 0.8 is met exactly, the bound rules out no pair."""
     ties = spark.range(1, 223).select((F.col("id") * 4).alias("both"), (F.col("id") * 5).alias("all"))
-    pair = near_dedup.reaches(F.col("both"), near_dedup.overlap_needed(0.8, F.col("both"), F.col("all")))
-    alone = near_dedup.reaches(F.col("both"), 0.8 * F.col("all"))
-    assert ties.where(~pair | ~alone).count() == 0
-    assert ties.where(near_dedup.reaches(F.col("both") - 1, 0.8 * F.col("all"))).count() == 0
+    reach = near_dedup.may_reach(0.8, F.col("both"), F.col("both"), F.col("all"), F.col("all"), F.col("all") - F.col("both"))
+    assert ties.where(~reach).count() == 0
+    less = near_dedup.may_reach(0.8, F.col("both") - 1, F.col("both") - 1, F.col("all"), F.col("all"), F.col("all") - F.col("both") + 1)
+    assert ties.where(less).count() == 0
     # 31 and 32 shingles, 28 of them common: the verification says yes too
     one = np.ones(1, np.int64)
     a, b = np.arange(31, dtype=np.int64), np.arange(3, 35, dtype=np.int64)
     assert near_dedup.probability_jaccard(a, np.repeat(one, 31), b, np.repeat(one, 32)) >= 0.8
 
 
+def test_bound_is_above_the_likeness(spark):
+    """Of random weighted sets: the pairs that are alike pass, by the parity maps' count of what differs too."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(600):
+        n, heavy = rng.integers(2, 300), rng.choice([1, 2, 9])
+        pool = rng.choice(1 << 40, n + 80, replace=False)
+        a = np.sort(pool[:n])
+        b = np.sort(np.concatenate([pool[rng.integers(0, max(1, n // 4)) : n], pool[n : n + rng.integers(0, 1 + n // 4)]]))
+        wa, wb = rng.integers(1, heavy + 1, len(a)), rng.integers(1, heavy + 1, len(b))
+        wb[np.isin(b, a)] = wa[np.isin(a, b)] if rng.random() < 0.7 else wb[np.isin(b, a)]
+        maps = near_dedup.parity_maps(2, np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]).astype(np.uint64))
+        apart = int(np.bitwise_count(maps[0] ^ maps[1]).sum())
+        assert apart <= len(np.setxor1d(a, b))
+        rows.append((len(a), int(wa.sum()), len(b), int(wb.sum()), apart, near_dedup.probability_jaccard(a, wa, b, wb)))
+    df = spark.createDataFrame(rows, "nx int, tx int, ny int, ty int, apart int, likeness double")
+    for t in (0.5, 0.8):
+        judged = df.select("likeness", near_dedup.may_reach(t, *(F.col(c) for c in ("nx", "tx", "ny", "ty", "apart"))).alias("may")).collect()
+        assert all(r.may for r in judged if r.likeness >= t) and sum(r.likeness >= t for r in judged) > 50
+        assert t < 0.8 or not all(r.may for r in judged)
+
+
+def test_near_dedup_recall(spark, data):
+    """Against all pairs' exact likeness of weighted shingles, over a table of thousands of rows."""
+    docs = read(spark, data.replace("0.001", "0.01"), "documents").select("doc_id", "text")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").lower().split()
+        if w:
+            sets[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    index, shared = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for g in s:
+            index[g].append(i)
+    for ids in index.values():
+        if len(ids) < 60:
+            shared.update(combinations(ids, 2))
+    links = lost = 0
+    for (a, b), n in shared.items():
+        if n >= 0.6 * min(len(sets[a]), len(sets[b])):
+            x, y, total = sets[a], sets[b], 0.0
+            grams = x.keys() | y.keys()
+            for d in x.keys() & y.keys():
+                total += 1 / sum(max(x[e] / x[d], y[e] / y[d]) for e in grams)
+            if total >= 0.8:
+                links += 1
+                lost += got[a] != got[b]
+    assert links > 50 and lost == 0
+
+
+def test_near_dedup_repeated_ids(frame):
+    """An id of several texts ties their classes; no text is left out because another of its id is a copy."""
+    rng = np.random.default_rng(3)
+    u, v, w = ([f"{c}{x}" for x in rng.integers(0, 9999, 100)] for c in "uvw")
+    rows = [(1, " ".join(u)), (6, " ".join(u)), (6, " ".join(v)), (9, " ".join([*v, "one"])), (20, " ".join(w)), (21, " ".join(w)), (21, " ".join(w)), (22, " ".join(w[:-1]))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(frame(rows)).collect()}
+    assert got == {1: 1, 6: 1, 9: 1, 20: 20, 21: 20, 22: 20}
+
+
 def test_decontamination(frame, spark):
     rng = np.random.default_rng(9)
     item = [f"q{x}" for x in rng.integers(0, 999, 40)]

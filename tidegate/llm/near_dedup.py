@@ -7,11 +7,14 @@ its arrivals come later than every register's, so each costs little more than
 one point. Two sketches agree on a register with their probability Jaccard.
 
 Registers are joined in bands. Copies of a text count once. In a band's bucket
-every text is linked to one centre only; links are verified on the
-texts themselves, and components formed. Where a bucket still holds several
-components, the texts outside its largest meet all texts of other components;
-the sketches and the share of shingles that no other text has rule out nearly all
-of those before a pair is made. So no link within a bucket is lost.
+every text is linked to one centre only; links are verified on the texts
+themselves, and components formed. Where a bucket still holds several
+components, the texts outside its largest meet all texts of other components.
+Before any pair is made, two tests rule out nearly all that are not alike: the
+registers that agree, and a bound from parity maps. A parity map has a bit for
+each hash value, set if an odd number of shingles have it; bits in which two maps
+differ are shingles that one text has alone, so the bound is exact and no link
+within a bucket is lost.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegate.llm.common import stage
+from tidegate.llm.common import stage, unstage
 from tidegate.llm.components import connected_components
+from tidegate.llm.screens import screen, screened
 from tidegate.llm.text_arrays import NOT_SPACE, Words, mix, rolling, text_slices, utf8
 
 SHINGLE = 5
@@ -30,6 +34,8 @@ ROWS, BANDS = 5, 24
 REGISTERS = ROWS * BANDS
 #: Registers are compared by their low byte, eight in a long.
 PACKED = REGISTERS // 8
+#: Longs of a parity map.
+PARITY = 16
 #: Registers that must agree before two texts of one bucket are compared: the
 #: expected share at the threshold, less five standard deviations.
 SLACK = 5.0
@@ -83,28 +89,34 @@ def sketch(rows: int, row: np.ndarray, shingle: np.ndarray, weight: np.ndarray)
     return mix(winner).reshape(rows, REGISTERS)
 
 
+def parity_maps(rows: int, row: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """rows x PARITY longs; each shingle turns one bit over."""
+    bit = mix(shingle ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - 6 - PARITY.bit_length() + 1)
+    out = np.zeros(rows * PARITY, np.uint64)
+    np.bitwise_xor.at(out, row * PARITY + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(rows, PARITY)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    rows, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(values).reshape(-1).view(np.int64)))
+
+
 def _sketches(batches):
     for batch in text_slices(batches, "text", 1 << 19):
         row, shingle, weight = weighted_shingles(batch.column("text"))
         has = np.unique(row)
         if not len(has):
             continue
-        registers = sketch(len(has), np.searchsorted(has, row), shingle, weight)
+        own = np.searchsorted(has, row)
+        registers = sketch(len(has), own, shingle, weight)
         band = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
         keys = np.stack([mix(rolling_band(registers[:, i * ROWS : (i + 1) * ROWS]) ^ band[i]) for i in range(BANDS)], 1)
-        ids = batch.column("doc_id").take(pa.array(has))
-        size = np.bincount(np.searchsorted(has, row), minlength=len(has))
-        total = np.bincount(np.searchsorted(has, row), weight, len(has))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
         packed = np.ascontiguousarray((registers & np.uint64(0xFF)).astype(np.uint8)).view(np.int64)
-        low = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * PACKED, pa.int32()), pa.array(packed.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([ids, lists, low, pa.array(size.astype(np.int32)), pa.array(total.astype(np.int32))], ["doc_id", "bands", "registers", "size", "total"])
-
-
-def _tokens(batches):
-    for batch in text_slices(batches, "text", 1 << 19):
-        row, shingle, weight = weighted_shingles(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(shingle.view(np.int64)), pa.array(weight.astype(np.int32))], ["doc_id", "shingle", "weight"])
+        size, total = np.bincount(own, minlength=len(has)), np.bincount(own, weight, len(has))
+        out = [batch.column(c).take(pa.array(has)) for c in ("doc_id", "digest")]
+        out += [_lists(keys), _lists(packed), _lists(parity_maps(len(has), own, shingle)), pa.array(size.astype(np.int32)), pa.array(total.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "digest", "bands", "registers", "parity", "size", "total"])
 
 
 def rolling_band(registers: np.ndarray) -> np.ndarray:
@@ -155,22 +167,40 @@ def agreeing(a: Column, b: Column) -> Column:
     return out
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """The (a, b) pairs whose texts are alike."""
-    first = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    second = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_verified(threshold), f"a {kind}, b {kind}")
+def differing(a: Column, b: Column) -> Column:
+    """Bits in which two parity maps differ: no more than there are shingles that one text has alone."""
+    out = F.lit(0)
+    for i in range(PARITY):
+        out = out + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return out
+
+
+def may_reach(threshold: float, nx: Column, tx: Column, ny: Column, ty: Column, apart: Column) -> Column:
+    """Whether two texts of nx and ny shingles of weights tx and ty, of which at least `apart` are not shared, may be `threshold` alike.
+
+    At most o = (nx + ny - apart) / 2 shingles are shared, and each other one weighs 1 at least, so
+    P = (tx - nx + o) / tx of one text's weight and Q of the other's. The probability Jaccard is at most
+    1 / (1 / P + 1 / Q - 1), which is the plain Jaccard where every weight is 1. What rounding leaves open is let through.
+    """
+    both = F.least(nx, ny, F.floor((nx + ny - apart) / 2)).cast("double")
+    p, q = tx - nx + both, ty - ny + both
+    return (both > 0) & (tx * q + ty * p <= (1 + 1 / threshold + 1e-9) * p * q)
 
 
-def overlap_needed(threshold: float, x: Column, y: Column) -> Column:
-    """Common members that sets of sizes x and y need for a likeness of `threshold`."""
-    return threshold / (1 + threshold) * (x + y)
+def _alike(threshold: float, x: str, y: str) -> Column:
+    """Both tests on the facts of two texts, in struct columns."""
+    least = int(np.ceil(REGISTERS * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS))))
+    of = lambda name: (F.col(f"{x}.{name}"), F.col(f"{y}.{name}"))
+    (nx, ny), (tx, ty) = of("size"), of("total")
+    return (agreeing(*of("registers")) >= least) & may_reach(threshold, nx, tx, ny, ty, differing(*of("parity")))
 
 
-def reaches(count: Column, needed: Column) -> Column:
-    """Whether a count may be as high as needed; a bound that rounding put just above a whole number is let through, for the verification to decide."""
-    return count >= needed - 1e-6
+def _checked(pairs: DataFrame, docs: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """The (a, b) pairs whose texts are alike. Texts in no pair are screened out where they lie."""
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct().select(F.xxhash64("id").alias("key"))
+    texts = screened(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")), screen(ids, 2 * pairs.count()), "key", f"doc_id {kind}, text string")
+    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verified(threshold), f"a {kind}, b {kind}")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -180,66 +210,51 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
     Takes `doc_id` and `text`; words are lower-cased runs of other than white
     space. Equal texts are always one class, except texts without a word and
     null texts: these stay alone, as do rows with a null doc_id, whose class is
-    null. Rows that repeat a doc_id give one row. Other columns are left aside.
+    null. Rows that repeat a doc_id give one row, of a class that holds all their
+    texts. Other columns are left aside.
     """
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    digests = known.select("doc_id", F.md5("text").alias("digest"))
-    originals = digests.groupBy("digest").agg(F.min("doc_id").alias("original"))
-    copies = stage(digests.join(originals, "digest").where("doc_id > original").groupBy("doc_id").agg(F.min("original").alias("original")), "copies")
-    sketches = stage(known.mapInArrow(_sketches, f"doc_id {kind}, bands array<long>, registers array<long>, size int, total int"), "sketches")
-    unique = sketches.join(copies, "doc_id", "left_anti")
-
-    entries = unique.select("doc_id", F.explode("bands").alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    schema = f"doc_id {kind}, digest binary, bands array<long>, registers array<long>, parity array<long>, size int, total int"
+    sketches = stage(known.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(_sketches, schema), "sketches")
+
+    # tables of their own, so that joins on them can split a hot text or bucket
+    shared = stage(sketches.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original"), "shared")
+    copies = stage(sketches.select("doc_id", "digest").join(shared, "digest").where("doc_id <> original").select("doc_id", "original"), "copies")
+    several = sketches.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    tied = stage(copies.join(several, "doc_id").select(F.col("original").alias("a"), F.col("doc_id").alias("b")), "tied")
+
+    first = sketches.join(shared, "digest", "left").where("original is null or original = doc_id")
+    entries = first.select("doc_id", F.explode("bands").alias("bucket"))
+    full = stage(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("bucket", "n"), "full")
     entries = stage(entries.join(full, "bucket"), "entries")
+    facts = stage(sketches.join(entries.select("doc_id").distinct(), "doc_id").select("doc_id", F.struct("registers", "parity", "size", "total").alias("facts")), "facts")
+    unstage(sketches, shared, full)
     # the centre of a bucket is the text that meets most others in all its buckets: of near copies, the least changed
     met = entries.groupBy("doc_id").agg(F.sum("n").alias("met"))
-    centres = entries.join(met, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("met", "doc_id")).alias("centre"))
+    centres = stage(entries.join(met, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("met", "doc_id")).alias("centre")), "centres")
     stars = entries.join(centres, "bucket").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    links = stage(_checked(stars, known, threshold, kind), "verified")
+    of = lambda name, id_: facts.select(F.col("doc_id").alias(id_), F.col("facts").alias(name))
+    stars = stage(stars.join(of("x", "a"), "a").join(of("y", "b"), "b").where(_alike(threshold, "x", "y")).select("a", "b").distinct(), "stars")
+    links = stage(_checked(stars, known, threshold, kind).unionAll(tied), "verified")
     parts = stage(connected_components(links, "a", "b"), "parts")
 
     # buckets that hold several components still
-    placed = entries.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    placed = stage(entries.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")), "placed")
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
-    open_ = stage(placed.join(mixed, "bucket"), "open")
-    # what of a text no other text in question has: it bounds the likeness from above
-    alone = (
-        known.join(open_.select("doc_id").distinct(), "doc_id")
-        .mapInArrow(_tokens, f"doc_id {kind}, shingle long, weight int")
-        .groupBy("shingle")
-        .agg(F.count("*").alias("n"), F.max("doc_id").alias("doc_id"), F.max("weight").alias("weight"))
-        .where("n = 1")
-        .groupBy("doc_id")
-        .agg(F.sum("weight").alias("alone"))
-    )
-    facts = unique.select("doc_id", "registers", "size", "total").join(alone, "doc_id", "left")
-    shared = (F.col("total") - F.coalesce("alone", F.lit(0))).alias("shared")
-    open_ = stage(open_.join(facts, "doc_id").select("bucket", "doc_id", "part", "main", "registers", "size", "total", shared).where(reaches(F.col("shared"), threshold * F.col("total"))), "open")
-    least = int(np.ceil(REGISTERS * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS))))
-    alike = agreeing(F.col("ra"), F.col("rb")) >= least
-    outer = open_.where("part <> main").select("bucket", F.col("doc_id").alias("x"), F.col("part").alias("px"), F.col("registers").alias("ra"), F.col("size").alias("nx"), F.col("total").alias("tx"), F.col("shared").alias("sx"))
-    inner = open_.select(
-        "bucket", F.col("doc_id").alias("y"), F.col("part").alias("py"), F.col("registers").alias("rb"), F.col("size").alias("ny"), F.col("total").alias("ty"), F.col("shared").alias("sy"),
-        (F.col("part") == F.col("main")).alias("in_main"),
-    )
-    # with every weight 1 the likeness is overlap by union, so the overlap needed follows from the sizes
-    needed = overlap_needed(threshold, F.col("nx"), F.col("ny"))
-    weighted = (F.col("nx") < F.col("tx")) | (F.col("ny") < F.col("ty"))
-    possible = weighted | (reaches(F.least("sx", "sy"), needed))
-    meet = (outer["bucket"] == inner["bucket"]) & (F.col("px") != F.col("py")) & (F.col("in_main") | (F.col("x") < F.col("y")))
-    rest = (
-        outer.join(inner, meet & possible & alike)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    mixed = stage(sizes.groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main"), "mixed")
+    unstage(entries, centres)
+    open_ = placed.join(mixed, "bucket").join(facts, "doc_id")
+    outer = open_.where("part <> main").select("bucket", F.col("doc_id").alias("a"), F.col("part").alias("pa"), F.col("facts").alias("x"))
+    inner = open_.select("bucket", F.col("doc_id").alias("b"), F.col("part").alias("pb"), F.col("facts").alias("y"), (F.col("part") == F.col("main")).alias("in_main"))
+    meet = (outer["bucket"] == inner["bucket"]) & (F.col("pa") != F.col("pb")) & (F.col("in_main") | (F.col("a") < F.col("b")))
+    rest = outer.join(inner, meet & _alike(threshold, "x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = stage(rest, "rest")
+    unstage(placed, mixed, stars, facts)
     more = stage(_checked(rest, known, threshold, kind), "more")
     whole = parts if more.isEmpty() else connected_components(links.unionAll(more), "a", "b")
-    members = docs.where("doc_id is not null").select("doc_id").distinct().join(copies, "doc_id", "left").withColumn("original", F.coalesce("original", "doc_id"))
+    members = docs.where("doc_id is not null").select("doc_id").distinct().join(copies.groupBy("doc_id").agg(F.min("original").alias("original")), "doc_id", "left").withColumn("original", F.coalesce("original", "doc_id"))
     classed = members.join(whole.withColumnRenamed("node", "original"), "original", "left").select("doc_id", F.coalesce("component", "original").alias("class_id"))
     nulls = docs.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return classed.unionAll(nulls)
