@@ -100,20 +100,18 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent}
 
 
-def test_bound_of_exact_ties(spark):
+def test_bound_of_exact_ties():
     """Where 0.8 is met exactly, the bound rules out no pair."""
-    ties = spark.range(1, 223).select((F.col("id") * 4).alias("both"), (F.col("id") * 5).alias("all"))
-    reach = near_dedup.may_reach(0.8, F.col("both"), F.col("both"), F.col("all"), F.col("all"), F.col("all") - F.col("both"))
-    assert ties.where(~reach).count() == 0
-    less = near_dedup.may_reach(0.8, F.col("both") - 1, F.col("both") - 1, F.col("all"), F.col("all"), F.col("all") - F.col("both") + 1)
-    assert ties.where(less).count() == 0
+    both, whole = 4 * np.arange(1, 223), 5 * np.arange(1, 223)
+    assert near_dedup.may_reach(0.8, both, both, whole, whole, whole - both).all()
+    assert not near_dedup.may_reach(0.8, both - 1, both - 1, whole, whole, whole - both + 1).any()
     # 31 and 32 shingles, 28 of them common: the verification says yes too
     one = np.ones(1, np.int64)
     a, b = np.arange(31, dtype=np.int64), np.arange(3, 35, dtype=np.int64)
     assert near_dedup.probability_jaccard(a, np.repeat(one, 31), b, np.repeat(one, 32)) >= 0.8
 
 
-def test_bound_is_above_the_likeness(spark):
+def test_bound_is_above_the_likeness():
     """Of random weighted sets: the pairs that are alike pass, by the parity maps' count of what differs too."""
     rng = np.random.default_rng(8)
     rows = []
@@ -128,11 +126,19 @@ def test_bound_is_above_the_likeness(spark):
         apart = int(np.bitwise_count(maps[0] ^ maps[1]).sum())
         assert apart <= len(np.setxor1d(a, b))
         rows.append((len(a), int(wa.sum()), len(b), int(wb.sum()), apart, near_dedup.probability_jaccard(a, wa, b, wb)))
-    df = spark.createDataFrame(rows, "nx int, tx int, ny int, ty int, apart int, likeness double")
+    *facts, likeness = map(np.array, zip(*rows))
     for t in (0.5, 0.8):
-        judged = df.select("likeness", near_dedup.may_reach(t, *(F.col(c) for c in ("nx", "tx", "ny", "ty", "apart"))).alias("may")).collect()
-        assert all(r.may for r in judged if r.likeness >= t) and sum(r.likeness >= t for r in judged) > 50
-        assert t < 0.8 or not all(r.may for r in judged)
+        may = near_dedup.may_reach(t, *facts)
+        assert may[likeness >= t].all() and (likeness >= t).sum() > 50
+        assert t < 0.8 or not may.all()
+
+
+def test_near_dedup_in_small_blocks(frame, monkeypatch):
+    """The same classes where a bucket's texts meet in many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    rows = variants()
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(frame(rows)).collect()}
+    assert got == classes_of(rows)
 
 
 def test_near_dedup_recall(spark, data):

@@ -9,9 +9,9 @@ one point. Two sketches agree on a register with their probability Jaccard.
 Registers are joined in bands. Copies of a text count once. In a band's bucket
 every text is linked to one centre only; links are verified on the texts
 themselves, and components formed. Where a bucket still holds several
-components, the texts outside its largest meet all texts of other components.
-Before any pair is made, two tests rule out nearly all that are not alike: the
-registers that agree, and a bound from parity maps. A parity map has a bit for
+components, its texts meet those of other components.
+They do so in blocks of bounded size, where two tests rule out nearly all that are not
+alike before any pair is put out: the registers that agree, and a bound from parity maps. A parity map has a bit for
 each hash value, set if an odd number of shingles have it; bits in which two maps
 differ are shingles that one text has alone, so the bound is exact and no link
 within a bucket is lost.
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import stage, unstage
@@ -36,6 +36,8 @@ REGISTERS = ROWS * BANDS
 PACKED = REGISTERS // 8
 #: Longs of a parity map.
 PARITY = 16
+#: Texts of a bucket that meet in one go, about.
+BLOCK = 4096
 #: Registers that must agree before two texts of one bucket are compared: the
 #: expected share at the threshold, less five standard deviations.
 SLACK = 5.0
@@ -156,43 +158,93 @@ def _verified(threshold: float):
     return run
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    """How many of the packed registers are equal: bytes of the exclusive or that are zero."""
-    low_bits, out = F.lit(0x0101010101010101), F.lit(REGISTERS)
-    for i in range(PACKED):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        for n in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
-        out = out - F.bit_count(x.bitwiseAND(low_bits))
-    return out
-
-
-def differing(a: Column, b: Column) -> Column:
-    """Bits in which two parity maps differ: no more than there are shingles that one text has alone."""
-    out = F.lit(0)
-    for i in range(PARITY):
-        out = out + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
-    return out
-
-
-def may_reach(threshold: float, nx: Column, tx: Column, ny: Column, ty: Column, apart: Column) -> Column:
+def may_reach(threshold: float, nx, tx, ny, ty, apart) -> np.ndarray:
     """Whether two texts of nx and ny shingles of weights tx and ty, of which at least `apart` are not shared, may be `threshold` alike.
 
     At most o = (nx + ny - apart) / 2 shingles are shared, and each other one weighs 1 at least, so
     P = (tx - nx + o) / tx of one text's weight and Q of the other's. The probability Jaccard is at most
     1 / (1 / P + 1 / Q - 1), which is the plain Jaccard where every weight is 1. What rounding leaves open is let through.
     """
-    both = F.least(nx, ny, F.floor((nx + ny - apart) / 2)).cast("double")
-    p, q = tx - nx + both, ty - ny + both
+    both = np.minimum(np.minimum(nx, ny), (nx + ny - apart) // 2)
+    p, q = (tx - nx + both).astype(float), (ty - ny + both).astype(float)
     return (both > 0) & (tx * q + ty * p <= (1 + 1 / threshold + 1e-9) * p * q)
 
 
-def _alike(threshold: float, x: str, y: str) -> Column:
-    """Both tests on the facts of two texts, in struct columns."""
-    least = int(np.ceil(REGISTERS * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS))))
-    of = lambda name: (F.col(f"{x}.{name}"), F.col(f"{y}.{name}"))
-    (nx, ny), (tx, ty) = of("size"), of("total")
-    return (agreeing(*of("registers")) >= least) & may_reach(threshold, nx, tx, ny, ty, differing(*of("parity")))
+class Facts:
+    """Sketch facts of a batch's rows as arrays, from a struct column of registers, parity, size and total."""
+
+    def __init__(self, column: pa.Array):
+        parts = dict(zip([f.name for f in column.type], column.flatten()))
+        longs = lambda name, width: parts[name].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
+        self.registers, self.parity = longs("registers", PACKED), longs("parity", PARITY)
+        self.size, self.total = (parts[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("size", "total"))
+
+
+def _alike(x: Facts, i, y: Facts, j, threshold: float) -> np.ndarray:
+    """Both tests on the pairs (i, j), arrays of places that numpy can spread over each other: first the bound, then the registers of what is left."""
+    apart = np.zeros(np.broadcast(i, j).shape, np.int64)
+    for lane in range(PARITY):
+        apart += np.bitwise_count(x.parity[i, lane] ^ y.parity[j, lane])
+    may = may_reach(threshold, x.size[i], x.total[i], y.size[j], y.total[j], apart)
+    i, j = (np.broadcast_to(k, may.shape)[may] for k in (i, j))
+    least = REGISTERS * (threshold - SLACK * np.sqrt(threshold * (1 - threshold) / REGISTERS))
+    same = (x.registers[i].view(np.uint8) == y.registers[j].view(np.uint8)).sum(1)
+    may[may] = same >= least
+    return may
+
+
+def _possible(threshold: float):
+    def run(batches):
+        for batch in batches:
+            x, y = Facts(batch.column("x")), Facts(batch.column("y"))
+            at = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(_alike(x, at, y, at, threshold)))
+
+    return run
+
+
+def _meetings(threshold: float):
+    """Of rows sorted by group: the pairs of a group that are of different parts and pass both tests.
+
+    A group is one block of a bucket (i = j), or two, which meet each other. Blocks are of bounded size.
+    """
+
+    def pairs(group: pa.RecordBatch):
+        facts = Facts(group.column("facts"))
+        part, block = (group.column(c).to_numpy(zero_copy_only=False) for c in ("part", "block"))
+        left = np.flatnonzero(block == block.min())
+        right = np.flatnonzero(block == block.max())
+        one = block.min() == block.max()
+        if one and group.column("i")[0] != group.column("j")[0]:
+            return
+        step = max(1, (1 << 19) // len(right))
+        for k in range(0, len(left), step):
+            i, j = left[k : k + step, None], right[None, :]
+            may = part[i] != part[j]
+            if one:
+                may &= i < j
+            at = np.nonzero(may)
+            ok = _alike(facts, i[at[0], 0], facts, j[0, at[1]], threshold)
+            if ok.any():
+                ids = group.column("doc_id")
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[at[0], 0][ok])), ids.take(pa.array(j[0, at[1]][ok]))], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bucket", "i", "j")], 1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            bounds = [0, *edges.tolist()]
+            for lo, hi in zip(bounds, bounds[1:]):
+                if hi - lo > 1:
+                    yield from pairs(batch.slice(lo, hi - lo))
+            held = batch.slice(bounds[-1])
+        if held is not None and held.num_rows > 1:
+            yield from pairs(held)
+
+    return run
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, threshold: float, kind: str) -> DataFrame:
@@ -236,20 +288,24 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
     centres = stage(entries.join(met, "doc_id").groupBy("bucket").agg(F.max_by("doc_id", F.struct("met", "doc_id")).alias("centre")), "centres")
     stars = entries.join(centres, "bucket").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     of = lambda name, id_: facts.select(F.col("doc_id").alias(id_), F.col("facts").alias(name))
-    stars = stage(stars.join(of("x", "a"), "a").join(of("y", "b"), "b").where(_alike(threshold, "x", "y")).select("a", "b").distinct(), "stars")
+    met = stars.join(of("x", "a"), "a").join(of("y", "b"), "b").select("a", "b", "x", "y")
+    stars = stage(met.mapInArrow(_possible(threshold), f"a {kind}, b {kind}").distinct(), "stars")
     links = stage(_checked(stars, known, threshold, kind).unionAll(tied), "verified")
     parts = stage(connected_components(links, "a", "b"), "parts")
 
     # buckets that hold several components still
     placed = stage(entries.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")), "placed")
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-    mixed = stage(sizes.groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main"), "mixed")
+    mixed = sizes.groupBy("bucket").agg(F.sum("size").alias("n"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = stage(mixed, "mixed")
     unstage(entries, centres)
-    open_ = placed.join(mixed, "bucket").join(facts, "doc_id")
-    outer = open_.where("part <> main").select("bucket", F.col("doc_id").alias("a"), F.col("part").alias("pa"), F.col("facts").alias("x"))
-    inner = open_.select("bucket", F.col("doc_id").alias("b"), F.col("part").alias("pb"), F.col("facts").alias("y"), (F.col("part") == F.col("main")).alias("in_main"))
-    meet = (outer["bucket"] == inner["bucket"]) & (F.col("pa") != F.col("pb")) & (F.col("in_main") | (F.col("a") < F.col("b")))
-    rest = outer.join(inner, meet & _alike(threshold, "x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    # a text of block k meets its own block and all others: groups (i, j) with i <= j
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    open_ = placed.join(mixed, "bucket").select("bucket", "doc_id", F.xxhash64("part").alias("part"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    open_ = open_.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "part").join(facts, "doc_id")
+    groups = open_.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "block", "doc_id", "part", "facts")
+    found = groups.mapInArrow(_meetings(threshold), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = found.join(stars, ["a", "b"], "left_anti")
     rest = stage(rest, "rest")
     unstage(placed, mixed, stars, facts)
     more = stage(_checked(rest, known, threshold, kind), "more")
