@@ -4,9 +4,11 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidegate.llm import bpe, decontamination, fingerprints, license_scan, near_dedup, queries, substring_dedup
 
@@ -61,6 +63,45 @@ def test_substring_dedup_edges(edges, frame):
     assert substring_dedup.remove_repeats(frame([])).count() == 0
 
 
+def test_substring_dedup_of_a_table(spark, data):
+    """The registered query over a whole table against plain Python, and the maximal repeats it found."""
+    big = data.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    want = plain_repeats([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op7_substring_dedup(spark, big).collect()}
+    assert got == {i: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, (n, gone, kept) in want.items()}
+    for r in substring_dedup.remove_repeats(docs).where("n_removed > 0").collect():
+        assert sum(x.length for x in r.repeats) == r.n_removed and all(x.length >= 20 for x in r.repeats)
+
+
+def test_substring_dedup_repeated_ids(frame):
+    """Each text of a repeated id is judged for itself; columns of clashing names are carried."""
+    u, v, w = words(11, 30), words(12, 30), words(13, 30)
+    rows = [(1, " ".join(u)), (6, " ".join(u)), (6, " ".join(v)), (6, " ".join(w)), (7, " ".join(v + w)), (6, " ".join(["x", *w]))]
+    docs = frame(rows).withColumns({c: F.lit(c) for c in ("part", "key", "is_copy", "firsts")})
+    got = substring_dedup.remove_repeats(docs, carry=("text", "part", "key", "seeds", "is_copy", "firsts"))
+    assert got.columns == ["doc_id", "text", "part", "key", "seeds", "is_copy", "firsts", "n_words", "n_removed", "kept_text", "repeats"]
+    by = {r.text: r.n_removed for r in got.collect() if r.doc_id != 1}
+    assert by == {" ".join(u): 30, " ".join(v): 0, " ".join(w): 0, " ".join(v + w): 60, " ".join(["x", *w]): 30}
+    assert {(r.part, r.seeds, r.key) for r in got.collect()} == {("part", "clash", "key")}
+
+
+def test_words_whose_patterns_would_cancel():
+    """Thue-Morse words and their complements have other digests, as have words that differ in one place."""
+    tm = "a"
+    for _ in range(11):
+        tm += tm.translate(str.maketrans("ab", "ba"))
+    many = [tm[:n] for n in range(1, 2049)] + [tm[:n].translate(str.maketrans("ab", "ba")) for n in range(1, 2049)]
+    many += ["x" * i + "y" + "x" * (99 - i) for i in range(100)] + ["\x00" * n for n in range(1, 70)]
+    from tidegate.llm.text_arrays import NOT_SPACE, Words, utf8
+
+    found = Words(*utf8(pa.array([" ".join(many), *many])), NOT_SPACE)
+    for second in (False, True):
+        digests = found.digests(second)
+        assert len(set(digests.tolist())) == len(set(many)) and (digests[: len(many)] == digests[len(many) :]).all()
+    assert (found.digests() != found.digests(True)).all()
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return bpe.Vocabulary(queries.vocabulary_path())

@@ -3,13 +3,16 @@
 Seeds are winnowed anchors: of every `min_words` consecutive words the smallest
 digest of `ANCHOR` consecutive words. Equal passages of `min_words` words have
 equal anchors, so only anchors that occur twice can lie in a repeat. Documents
-are joined on those anchors; each seed is extended both ways to every passage of
-`min_words` words whose anchor it is, the passages are grouped by a 128-bit
-digest, and all but the first occurrence count as repeats. Passages that touch
-or overlap merge to maximal repeats, whose words are removed.
-
-Hot passages stay bounded: a group is only ever counted or reduced to its
-minimum, both before the shuffle, and is never gathered.
+are joined on those anchors. Each seed is extended both ways, as far as it is the
+anchor, to passages of `min_words` words; a passage meets its first occurrence,
+found by a grouped minimum over two 64-bit digests made apart from each other.
+Passages that are no first occurrence and touch or overlap merge to maximal
+repeats, whose words are removed.
+
+Extending the occurrences of an anchor pair by pair would make all pairs of a hot
+one. Meeting the first occurrence of each passage finds the same words: a group
+is only ever counted or reduced to its minimum, both before the shuffle, and is
+never gathered.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidegate.llm.common import stage
+from tidegate.llm.common import stage, unstage
+from tidegate.llm.screens import screen, screened
 from tidegate.llm.text_arrays import NOT_SPACE, Words, rolling, sliding, text_slices, utf8
 
-ANCHOR = 6
+ANCHOR = 8
 
 
 def _passages(words: Words, min_words: int):
@@ -56,8 +61,8 @@ def _anchors(min_words: int):
             highest = sliding(np.concatenate([np.zeros(width - 1, np.uint64), low]), width, np.maximum)
             picked = np.flatnonzero(highest[: len(grams)] == grams)
             row = np.searchsorted(words.bounds, picked, "right") - 1
-            ids = batch.column("doc_id").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(grams[picked].view(np.int64))], ["doc_id", "anchor"])
+            ids = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "part")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(grams[picked].view(np.int64))], ["doc_id", "part", "anchor"])
 
     return run
 
@@ -74,6 +79,11 @@ def _candidates(batch, min_words: int):
     return words, digests, at
 
 
+def _marks(passages: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A long of a passage's digest and start in its document."""
+    return passages.view(np.int64) ^ (starts.astype(np.int64) << 32)
+
+
 def _extended(min_words: int):
     def run(batches):
         for batch in text_slices(batches, "text"):
@@ -83,7 +93,7 @@ def _extended(min_words: int):
             row = np.searchsorted(words.bounds, at, "right") - 1
             out = [
                 pa.array(rolling(digests, min_words)[at].view(np.int64)),
-                pa.array(rolling(digests, min_words, second=True)[at].view(np.int64)),
+                pa.array(rolling(words.digests(second=True), min_words, second=True)[at].view(np.int64)),
                 batch.column("doc_id").take(pa.array(row)),
                 pa.array((at - words.bounds[row]).astype(np.int32)),
             ]
@@ -92,43 +102,53 @@ def _extended(min_words: int):
     return run
 
 
+def _repeats(batch, min_words: int) -> dict[int, np.ndarray]:
+    """For each row that has some: the starts of its passages that are no first occurrence."""
+    out: dict[int, np.ndarray] = {}
+    rows = np.flatnonzero(batch.column("seeds").is_valid().to_numpy(zero_copy_only=False))
+    if not len(rows):
+        return out
+    part = batch.take(pa.array(rows))
+    words, digests, at = _candidates(part, min_words)
+    if not len(at):
+        return out
+    firsts = part.column("firsts")
+    passages = rolling(digests, min_words)[at]
+    where = np.searchsorted(words.bounds, at, "right") - 1
+    edges = np.searchsorted(where, np.arange(len(rows) + 1))
+    for i, r in enumerate(rows):
+        lo, hi = edges[i : i + 2]
+        own = at[lo:hi] - words.bounds[i]
+        if len(own) and firsts[i].is_valid:
+            own = own[~np.isin(_marks(passages[lo:hi], own), firsts[i].values.to_numpy(zero_copy_only=False))]
+        if len(own):
+            out[r] = own
+    return out
+
+
 def _stripped(min_words: int, carry: list[str], names: list[str]):
     def run(batches):
         for batch in text_slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             copies = batch.column("is_copy").to_pylist()
-            removed = [0] * len(texts)
-            masks: dict[int, np.ndarray] = {}
-            rows = np.flatnonzero(batch.column("seeds").is_valid().to_numpy(zero_copy_only=False))
-            if len(rows):
-                part = batch.take(pa.array(rows))
-                words, _, at = _candidates(part, min_words)
-                first = part.column("firsts")
-                where = np.searchsorted(words.bounds, at, "right") - 1
-                lo = np.searchsorted(where, np.arange(len(rows)))
-                hi = np.searchsorted(where, np.arange(len(rows)), "right")
-                for i, r in enumerate(rows):
-                    own = at[lo[i] : hi[i]] - words.bounds[i]
-                    if not len(own):
-                        continue
-                    if first[i].is_valid:
-                        own = np.setdiff1d(own, first[i].values.to_numpy(zero_copy_only=False))
-                    if len(own):
-                        edge = np.zeros(words.bounds[i + 1] - words.bounds[i] + 1, np.int32)
-                        edge[own] += 1
-                        np.subtract.at(edge, own + min_words, 1)
-                        masks[r] = np.cumsum(edge)[:-1] == 0
-            counts, kept = [], []
+            found = _repeats(batch, min_words)
+            counts, removed, kept, spans = [], [], [], []
             for r, text in enumerate(texts):
                 own = text.encode().split() if text else []
                 counts.append(len(own))
+                edge = np.zeros(len(own) + 1, np.int32)
                 if copies[r] and len(own) >= min_words:
-                    removed[r], own = len(own), []
-                elif r in masks:
-                    own = list(compress(own, masks[r].tolist()))
-                    removed[r] = counts[-1] - len(own)
-                kept.append(b" ".join(own).decode())
-            out = [batch.column(c) for c in carry] + [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+                    edge[0], edge[-1] = 1, -1
+                elif r in found:
+                    edge[found[r]] += 1
+                    np.subtract.at(edge, found[r] + min_words, 1)
+                stays = np.cumsum(edge)[:-1] == 0
+                n = len(own) - int(stays.sum())
+                removed.append(n)
+                kept.append(b" ".join(compress(own, stays.tolist()) if n else own).decode())
+                turns = np.flatnonzero(np.diff(np.concatenate([[True], stays, [True]]))) if n else np.zeros(0, np.int64)
+                spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(turns[::2], turns[1::2])])
+            out = [batch.column(c) for c in carry] + [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(out, names)
 
     return run
@@ -138,40 +158,59 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, carry: tuple[str, ...]
     """Every document with its words and what is left after repeats are removed.
 
     Takes `doc_id` and `text`; words are runs of other than ASCII white space.
-    Returns doc_id, the `carry` columns, n_words, n_removed and kept_text (kept
-    words joined by one space). A word goes if a passage of `min_words` words
+    Returns doc_id, the `carry` columns, n_words, n_removed, kept_text (kept
+    words joined by one space) and repeats: (start, length) in words of each
+    maximal repeat that was removed. A word goes if a passage of `min_words` words
     over it also starts earlier: in a smaller doc_id, or before in the document.
 
     Null and empty texts have no words. Rows with a null doc_id are counted but
-    neither lose words nor make others lose any. Rows that repeat a doc_id count
-    as one place: their passages tie, and stay. Other columns are left aside.
+    neither lose words nor make others lose any. Rows that repeat a doc_id are one
+    document: a passage loses to one that starts before it in any of them, and
+    those that start at the same word tie and stay. Other columns are left aside.
     """
-    carry = ["doc_id", *(c for c in carry if c not in ("doc_id", "n_words", "n_removed", "kept_text"))]
-    docs = docs.select(*carry, *(["text"] if "text" not in carry else []))
-    kinds = dict(docs.dtypes)
+    carry = ["doc_id", *(c for c in carry if c not in ("doc_id", "n_words", "n_removed", "kept_text", "repeats"))]
+    others = [c for c in carry if c not in ("doc_id", "text")]
+    # in one column, so that no name meets those used here
+    carried = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(True)
+    docs = docs.select("doc_id", "text", carried.alias("carried"))
+    kind = dict(docs.dtypes)["doc_id"]
+    # part tells the texts of a repeated doc_id apart
+    parted = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("part"))
     # read and hashed twice rather than kept: that costs less than the disk it would take
-    anchors = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors(min_words), f"doc_id {kinds['doc_id']}, anchor long")
-    # a table of its own, so that the join below can split a hot anchor
+    anchors = parted.mapInArrow(_anchors(min_words), f"doc_id {kind}, part long, anchor long")
+    # tables of their own, so that the joins below can split a hot anchor or text
     twice = stage(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
-    digests = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("digest"))
-    originals = digests.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1")
-    copies = digests.join(originals, "digest").where("doc_id > original").select("doc_id").distinct().withColumn("is_copy", F.lit(True))
-    seeds = stage(
-        anchors.join(twice, "anchor", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.collect_set("anchor").alias("seeds"))
-        .join(copies, "doc_id", "left")
-        .select("doc_id", F.when(F.col("is_copy"), F.array().cast("array<bigint>")).otherwise(F.col("seeds")).alias("seeds"), F.coalesce("is_copy", F.lit(False)).alias("is_copy")),
-        "seeds",
-    )
+    digests = parted.select("doc_id", "part", F.unhex(F.md5("text")).alias("digest"))
+    shared = stage(digests.groupBy("digest").agg(F.min("doc_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("digest", "original"), "shared")
+    copies = digests.join(shared, "digest").where("doc_id > original").select("doc_id", "part").distinct().withColumn("is_copy", F.lit(True))
+    listed = anchors.join(twice, "anchor", "left_semi").groupBy("doc_id", "part").agg(F.collect_set("anchor").alias("seeds")).join(copies, ["doc_id", "part"], "left")
+    seeds = stage(listed.select("doc_id", "part", F.when(F.col("is_copy"), F.array().cast("array<bigint>")).otherwise(F.col("seeds")).alias("seeds"), F.coalesce("is_copy", F.lit(False)).alias("is_copy")), "seeds")
+    unstage(twice, shared)
+
+    key = F.xxhash64("doc_id", "part")
+    own = seeds.where("not is_copy")
+    inside = screened(parted.withColumn("key", key), screen(own.select(key.alias("key")), own.count()), "key", parted.schema)
     firsts = (
-        docs.join(seeds, "doc_id")
-        .mapInArrow(_extended(min_words), f"h1 long, h2 long, doc_id {kinds['doc_id']}, start int")
+        inside.join(own.select("doc_id", "part", "seeds"), ["doc_id", "part"])
+        .mapInArrow(_extended(min_words), f"h1 long, h2 long, doc_id {kind}, start int")
         .groupBy("h1", "h2")
         .agg(F.min(F.struct("doc_id", "start")).alias("first"))
         .groupBy(F.col("first.doc_id").alias("doc_id"))
-        .agg(F.collect_list("first.start").alias("firsts"))
+        .agg(F.collect_list(F.col("h1").bitwiseXOR(F.shiftleft(F.col("first.start").cast("long"), 32))).alias("firsts"))
     )
-    names = [*carry, "n_words", "n_removed", "kept_text"]
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), "n_words long, n_removed long, kept_text string"])
-    return docs.join(seeds, "doc_id", "left").join(firsts, "doc_id", "left").mapInArrow(_stripped(min_words, carry, names), schema)
+    known = stage(seeds.join(firsts, "doc_id", "left"), "known")
+    unstage(seeds)
+
+    # documents without a seed keep all their words and need not be moved
+    rows = docs.withColumns({"part": F.xxhash64("text"), "is_copy": F.lit(False)})
+    rows = rows.withColumn("key", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), key))
+    shared_screen = screen(known.select(key.alias("key")), known.count())
+    schema = rows.drop("key").schema
+    apart = screened(rows, shared_screen, "key", schema, inside=False).withColumns({"seeds": F.lit(None).cast("array<bigint>"), "firsts": F.lit(None).cast("array<bigint>")})
+    met = screened(rows, shared_screen, "key", schema).drop("is_copy").join(known, ["doc_id", "part"], "left")
+    needed = [*docs.columns, "is_copy", "seeds", "firsts"]
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_words long, n_removed long, kept_text string, repeats array<struct<start:int,length:int>>").fields])
+    both = (met.select(*needed), apart.select(*needed))
+    met, apart = (x.mapInArrow(_stripped(min_words, docs.columns, schema.names), schema) for x in both)
+    place = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col("carried").getField(c).alias(c) for c in others}
+    return met.unionAll(apart).select(*[place[c] for c in carry], "n_words", "n_removed", "kept_text", "repeats")
