@@ -58,19 +58,20 @@ def passing(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ok
 
 
-def screened(rows: DataFrame, shared, key: str, schema: str, inside: bool = True) -> DataFrame:
-    """The rows whose long column `key` may be in the set, or else all others; the key is left out of `schema`, which names the other columns.
+def may_hold(shared, column: pa.Array) -> np.ndarray:
+    """Which rows' keys may be in the set; a null is in none."""
+    ok = passing(shared.value, column.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+    return ok & column.is_valid().to_numpy(zero_copy_only=False)
 
-    A null key is in no set.
-    """
+
+def screened(rows: DataFrame, shared, key: str, schema) -> DataFrame:
+    """The rows whose long column `key` may be in the set; the key is left out of `schema`, which names the other columns."""
 
     def run(batches):
         for batch in batches:
-            column = batch.column(key)
-            ok = passing(shared.value, column.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & column.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.drop_columns([key]).filter(pa.array(ok if inside else ~ok))
+            yield batch.drop_columns([key]).filter(pa.array(may_hold(shared, batch.column(key))))
 
     return rows.mapInArrow(run, schema)
 
 
-__all__ = ["MAX_BITS", "passing", "screen", "screened"]
+__all__ = ["MAX_BITS", "may_hold", "passing", "screen", "screened"]

@@ -205,12 +205,19 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, carry: tuple[str, ...]
     rows = docs.withColumns({"part": F.xxhash64("text"), "is_copy": F.lit(False)})
     rows = rows.withColumn("key", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), key))
     shared_screen = screen(known.select(key.alias("key")), known.count())
-    schema = rows.drop("key").schema
-    apart = screened(rows, shared_screen, "key", schema, inside=False).withColumns({"seeds": F.lit(None).cast("array<bigint>"), "firsts": F.lit(None).cast("array<bigint>")})
-    met = screened(rows, shared_screen, "key", schema).drop("is_copy").join(known, ["doc_id", "part"], "left")
-    needed = [*docs.columns, "is_copy", "seeds", "firsts"]
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_words long, n_removed long, kept_text string, repeats array<struct<start:int,length:int>>").fields])
-    both = (met.select(*needed), apart.select(*needed))
-    met, apart = (x.mapInArrow(_stripped(min_words, docs.columns, schema.names), schema) for x in both)
+    stripped = _stripped(min_words, docs.columns, schema.names)
+
+    def untouched(batches):
+        """What has no seed, in one worker: no rows, masks or lists of it travel on."""
+        none = pa.array([None], pa.list_(pa.int64()))
+        for batch in batches:
+            batch = batch.filter(pa.array(~may_hold(shared_screen, batch.column("key"))))
+            empty = none.take(pa.array(np.zeros(batch.num_rows, np.int64)))
+            yield batch.append_column("seeds", empty).append_column("firsts", empty)
+
+    apart = rows.mapInArrow(lambda batches: stripped(untouched(batches)), schema)
+    met = screened(rows, shared_screen, "key", rows.drop("key").schema).drop("is_copy").join(known, ["doc_id", "part"], "left")
+    met = met.select(*docs.columns, "is_copy", "seeds", "firsts").mapInArrow(stripped, schema)
     place = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col("carried").getField(c).alias(c) for c in others}
     return met.unionAll(apart).select(*[place[c] for c in carry], "n_words", "n_removed", "kept_text", "repeats")

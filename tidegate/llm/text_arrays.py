@@ -16,7 +16,6 @@ _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
 _SECOND_BASE = 0xA0761D6478BD642F
 _FIRST_SEED, _SECOND_SEED = 0x243F6A8885A308D3, 0x13198A2E03707344
-_BLOCK = 1 << 20
 #: Bytes of a word that is digested in one go with the others, at most.
 LONG_WORD = 64
 _BYTE_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -34,7 +33,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, _BLOCK + 64)
+        size = max(n, 1 << 16) * 5 // 4
         tables = []
         for b in (base, pow(base, -1, 1 << 64)):
             t = np.full(size, b, np.uint64)
@@ -67,7 +66,7 @@ def utf8(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_slices(batches, column: str, limit: int = 2 << 20):
+def text_slices(batches, column: str, limit: int = 1 << 20):
     """Parts of record batches whose `column` holds about `limit` bytes, one row at least and 2**16 at most."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
