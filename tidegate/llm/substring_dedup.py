@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidegate.llm.common import stage, unstage
-from tidegate.llm.screens import screen, screened
+from tidegate.llm.screens import may_hold, screen, screened
 from tidegate.llm.text_arrays import NOT_SPACE, Words, rolling, sliding, text_slices, utf8
 
 ANCHOR = 8
