@@ -26,8 +26,13 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
+def escape_part(text: Column, more: Column) -> Column:
+    r"""As `escape`; where `more` parts follow, a `<` at the end becomes `<\E`, so that it meets no `|` of theirs."""
+    return F.concat(escape(text), F.when(more & text.endswith("<"), F.lit("\\E")).otherwise(F.lit("")))
+
+
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+    return F.replace(F.replace(F.replace(text, F.lit("<\\E"), F.lit("<")), F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
 def escape_role(role: Column) -> Column:
@@ -66,7 +71,7 @@ def visit(parts: Column, before: Column) -> Column:
         parts,
         lambda p, i: F.when(
             F.coalesce(p["type"], F.lit("text")) == "text",
-            F.struct(escape(F.coalesce(p["text"], F.lit(""))).alias("body"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("attached")),
+            F.struct(escape_part(F.coalesce(p["text"], F.lit("")), i < F.size(parts) - 1).alias("body"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("tokens"), F.lit(0).alias("attached")),
         ).otherwise(
             F.struct(F.concat(F.lit("<|"), escape_role(p["type"]), F.lit("_"), number(i).cast("string"), F.lit("|>")).alias("body"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"), F.lit(1).alias("attached"))
         ),
@@ -82,7 +87,9 @@ def format_chats(messages: DataFrame, parts: str = "parts") -> DataFrame:
     length) in code points of the bodies of assistant turns, the loss mask;
     `attachments` are (number, type, ref, tokens) in order. Null roles and texts
     count as empty, null parts as none; rows with a null conv_id are one
-    conversation. Repeated rows are repeated turns. Other columns are left aside.
+    conversation. Repeated rows are repeated turns. An empty table gives none. A
+    conversation is one row of the result, so its texts must fit one row. Other
+    columns are left aside.
     """
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col(parts).cast(PARTS), F.array().cast(PARTS)).alias("parts"))
     rows = rows.withColumn("parts", F.filter("parts", lambda p: p.isNotNull()))
