@@ -83,11 +83,24 @@ def resolved(link: Column, base: Column) -> Column:
     )
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, in double, single or no quotes; empty if it has none. A name only counts where an attribute may begin."""
+    before = r"(?is)^<[a-z]+(?:\s+[^\s=>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?|/)*?"
+    value = lambda quoted: F.regexp_extract(tag, before + rf"\s+{name}\s*=\s*{quoted}", 1)
+    return F.coalesce(*[F.nullif(value(q), F.lit("")) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s>\"']+)")], F.lit(""))
+
+
 def link_targets(html: Column, base: Column) -> Column:
-    """Targets of canonical links and refresh redirects in the page at `base`, made absolute."""
-    # only tags that say so are looked at; an attribute may stand before or behind
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>"), 0)
-    target = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)\b(?:href|url)\s*=\s*[\"']?\s*([^\s\"'>]+)", 1))
+    """Targets of canonical links and refresh redirects in the page at `base`, made absolute.
+
+    A link counts if `canonical` is a word of its rel, a meta tag if its http-equiv is `refresh`; its address stands in content behind `url=`.
+    """
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>"), 0)
+    tags = F.filter(tags, lambda t: t.rlike("(?i)canonical|refresh"))
+    canonical = lambda t: t.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical")
+    refresh = lambda t: t.rlike("(?i)^<meta") & (F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh")
+    content = lambda t: F.regexp_extract(attribute(t, "content"), r"(?is)^[\s0-9.]*[;,\s]\s*(?:url\s*=)\s*[\"']?\s*([^\s\"']+)", 1)
+    target = F.transform(tags, lambda t: F.when(canonical(t), F.trim(attribute(t, "href"))).when(refresh(t), content(t)).otherwise(F.lit("")))
     target = F.transform(target, lambda t: resolved(F.regexp_replace(t, "(?i)&(?:amp|#38|#x26);", "&"), base))
     return F.filter(target, lambda t: t != "")
 
