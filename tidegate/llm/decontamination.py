@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.llm.common import stage
+from tidegate.llm.screens import passing, screen
 from tidegate.llm.text_arrays import ALNUM, Words, mix, text_slices, utf8
 
 #: Fixed masks of seven words: together they hit every overlap of 13 agreeing words with a fifth substituted.
 MASKS = ("111011011", "111000010111", "11000010010111", "1101010100011", "110011001011", "1000000111111")
 MIN_WORDS = 5
 MIN_AGREE = 13
-#: Bound of the filter in bits (8 MB).
-MAX_BITS = 1 << 26
 
 
 def least(length: int) -> int:
@@ -91,27 +90,7 @@ def _benchmark_seeds(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(items, batch.schema.field("item_id").type), pa.array(np.concatenate(places).astype(np.int32))], ["seed", "item_id", "place"])
 
 
-_SHIFTS = (0, 13, 29, 37)
-
-
-def _slot(hashes: np.ndarray, shift: int, bits: int) -> np.ndarray:
-    return ((hashes >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _filter(bits: int):
-    def run(batches):
-        table = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for shift in _SHIFTS:
-                slot = _slot(batch.column("seed").to_numpy().view(np.uint64), shift, bits)
-                np.bitwise_or.at(table, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(table[at].astype(np.int16))], ["byte", "bits"])
-
-    return run
-
-
-def _hits(shared, bits: int, masks: list[str]):
+def _hits(shared, masks: list[str]):
     def run(batches):
         table = shared.value
         for batch in text_slices(batches, "text"):
@@ -120,12 +99,9 @@ def _hits(shared, bits: int, masks: list[str]):
             found_hash, found_at = [], []
             for mask in masks:
                 h, at = seeds(digests, ends, mask)
-                for shift in _SHIFTS:
-                    slot = _slot(h, shift, bits)
-                    ok = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                    h, at = h[ok], at[ok]
-                found_hash.append(h)
-                found_at.append(at)
+                ok = passing(table, h)
+                found_hash.append(h[ok])
+                found_at.append(at[ok])
             if not sum(map(len, found_at)):
                 continue
             h, at = np.concatenate(found_hash), np.concatenate(found_at)
@@ -162,10 +138,10 @@ def overlap(item: np.ndarray, words: np.ndarray, shift: int) -> int:
 def _overlaps(batches):
     for batch in batches:
         out = []
-        columns = [batch.column(c) for c in ("item_words", "words", "shift")]
+        columns = [batch.column(c) for c in ("item_words", "words", "shifts")]
         for i in range(batch.num_rows):
-            item, words = columns[0][i].values.to_numpy(), columns[1][i].values.to_numpy()
-            out.append(overlap(item, words, columns[2][i].as_py()))
+            item, words, shifts = (c[i].values.to_numpy() for c in columns)
+            out.append(max(overlap(item, words, shift) for shift in shifts.tolist()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(out, pa.int32())], ["doc_id", "item_id", "agree"])
 
 
@@ -185,24 +161,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = stage(items.mapInArrow(_benchmark_seeds, f"seed long, item_id {item_kind}, place int").distinct(), "seeds")
     lengths = [r[0] for r in items.where(F.size("words").between(MIN_WORDS, 15)).select(F.size("words")).distinct().collect()]
     masks = sorted({*MASKS, *(m for n in lengths for m in _masks_for(n))})
-    bits = min(MAX_BITS, max(1 << 16, 1 << int(wanted.count() * 64).bit_length()))
-    table = np.zeros(bits // 8, np.uint8)
-    filled = wanted.select("seed").mapInArrow(_filter(bits), "byte int, bits short").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table[filled.column("byte").to_numpy()] = filled.column("bits").to_numpy().astype(np.uint8)
-    shared = spark.sparkContext.broadcast(table)  # at most MAX_BITS
+    shared = screen(wanted.select("seed"), wanted.count())
 
-    hits = stage(docs.mapInArrow(_hits(shared, bits, masks), f"doc_id {doc_kind}, seeds array<long>, places array<int>, words array<long>"), "hits")
+    hits = stage(docs.mapInArrow(_hits(shared, masks), f"doc_id {doc_kind}, seeds array<long>, places array<int>, words array<long>"), "hits")
     placed = (
         hits.select("doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
         .select("doc_id", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("at"))
         .join(wanted, "seed")
-        .select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift"))
-        .distinct()
+        .groupBy("doc_id", "item_id")
+        .agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
     )
     checked = (
         placed.join(hits.select("doc_id", "words"), "doc_id")
         .join(items.withColumnRenamed("words", "item_words"), "item_id")
-        .select("doc_id", "item_id", "item_words", "words", "shift")
+        .select("doc_id", "item_id", "item_words", "words", "shifts")
         .mapInArrow(_overlaps, f"doc_id {doc_kind}, item_id {item_kind}, agree int")
     )
     return checked.where("agree > 0").groupBy("doc_id", "item_id").agg(F.max("agree").cast("long").alias("n_words"))
