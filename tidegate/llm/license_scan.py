@@ -5,14 +5,14 @@ and keywords. A rule runs only on texts that hold all its keywords, found in one
 pass. Detections that overlap are resolved in order: one that lies within another
 of higher priority, or of equal priority and greater length, is suppressed.
 
-The rules are written as templates and spelled out over license families, so
-that one line of the table below stands for many signatures.
+Most rules are the hand-written signatures of `license_signatures`, and those
+below; names of license families, with and without versions and words of a grant,
+are spelled out from a table.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import product
 
 import ahocorasick
 import numpy as np
@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidegate.llm.license_signatures import SIGNATURES
 from tidegate.llm.text_arrays import text_slices
 
 WORD = r"[0-9a-z\x80-\xff]"
@@ -98,6 +99,11 @@ def _spelled(words: str) -> str:
     return GAP.join(map(regex.escape, words.replace("-", " ").split()))
 
 
+def _in_a_row(phrase: str) -> str:
+    """A signature with its spaces written out as gaps between words."""
+    return phrase.replace(" ?", GAP[:-1] + "*").replace(" ", GAP)
+
+
 @lru_cache(1)
 def rules() -> list[Rule]:
     """All rules, highest priority first; equal ones in the order of the tables."""
@@ -112,6 +118,7 @@ def rules() -> list[Rule]:
             for lead, priority in _LEADS:
                 out.append(Rule(label, priority + len(name) // 8, rf"{_spelled(lead)}{GAP}(?:(?:the|an?){GAP})?{_spelled(name)}(?:{version})?", (lead.split()[0], key)))
     out += [Rule(*x) for x in _OTHERS]
+    out += [Rule(label, priority, _in_a_row(phrase), (key,)) for label, priority, phrase, key in SIGNATURES]
     return sorted(out, key=lambda r: -r.priority)
 
 
@@ -136,11 +143,26 @@ _IS_WORD = np.array([48 <= i <= 57 or 97 <= i <= 122 or i >= 0x80 for i in range
 
 
 def resolve(found: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Detections (priority, start, end, label) left after suppression, by place."""
-    kept: list[tuple[int, int, int, str]] = []
-    for x in sorted(set(found), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
-        if not any(k[1] <= x[1] and x[2] <= k[2] for k in kept):
-            kept.append(x)
+    """Detections (priority, start, end, label) left after suppression, by place.
+
+    Kept ones are held by start in a tree of largest ends, so that a text of very many detections takes n log n steps.
+    """
+    found = sorted(set(found), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3]))
+    place = {start: i + 1 for i, start in enumerate(sorted({x[1] for x in found}))}
+    furthest = [-1] * (len(place) + 1)
+    kept = []
+    for x in found:
+        i, reach = place[x[1]], -1
+        while i:
+            reach = max(reach, furthest[i])
+            i &= i - 1
+        if reach >= x[2]:
+            continue
+        kept.append(x)
+        i = place[x[1]]
+        while i < len(furthest):
+            furthest[i] = max(furthest[i], x[2])
+            i += i & -i
     return sorted(kept, key=lambda x: (x[1], x[2], x[3]))
 
 
