@@ -83,7 +83,7 @@ def fit(row: np.ndarray, slot: np.ndarray, grade: np.ndarray) -> tuple[np.ndarra
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column):
-    """(weights, thresholds) from the labelled documents; None without two grades.
+    """(weights, thresholds, limit of the score) from the labelled documents; None without two grades.
 
     Uses at most SAMPLE labelled rows. `grade` is a column of `labels`, 0 for
     harmless; rows where it is null teach nothing.
@@ -106,13 +106,28 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column):
         return None
     lists = table.column("slots").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
-    return fit(np.repeat(np.arange(len(sizes)), sizes), lists.values.to_numpy().astype(np.int64), grades)
+    row, slot = np.repeat(np.arange(len(sizes)), sizes), lists.values.to_numpy().astype(np.int64)
+    weights, cuts = fit(row, slot, grades)
+    return weights, cuts, limit(1 - chances(np.bincount(row, weights[slot], len(sizes)), cuts)[:, 0], grades > 0)
+
+
+def limit(score: np.ndarray, harmful: np.ndarray) -> float:
+    """The score from which a row counts as harmful: halfway into the gap where the shares of rows judged right, harmful and harmless, add up to most.
+
+    The weights are pulled towards 0, so the chances are too low to be held against one half.
+    """
+    order = np.argsort(-score, kind="stable")
+    score, harmful = score[order], harmful[order]
+    right = np.cumsum(harmful) / harmful.sum() - np.cumsum(~harmful) / (~harmful).sum()
+    right[:-1][score[:-1] == score[1:]] = -1  # no limit parts equal scores
+    best = int(np.argmax(right))
+    return float((score[best] + score[min(best + 1, len(score) - 1)]) / 2)
 
 
 def severity(docs: DataFrame, trained) -> DataFrame:
     """(doc_id, severity, grade, toxic, score): expected grade, likeliest grade, and the chance of any grade above 0.
 
-    `toxic` is a chance of one half or more. A null or empty text holds no word
+    `toxic` is a chance at or above the limit that parts the labelled rows best. A null or empty text holds no word
     and gets the chances of the thresholds alone; without a model all is 0. Each
     row is judged by itself. Other columns are left aside.
     """
@@ -122,14 +137,14 @@ def severity(docs: DataFrame, trained) -> DataFrame:
     def run(batches):
         for batch in text_slices(batches, "text"):
             size = batch.num_rows
-            p = np.zeros((size, 1))
+            p, least = np.zeros((size, 1)), np.inf
             p[:, 0] = 1
             if shared.value:
-                weights, cuts = shared.value
+                weights, cuts, least = shared.value
                 row, slot = features(batch.column("text"))
                 p = chances(np.bincount(row, weights[slot], size), cuts)
             score = 1 - p[:, 0]
-            out = [batch.column("doc_id"), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(1).astype(np.int32)), pa.array(score >= 0.5), pa.array(score)]
+            out = [batch.column("doc_id"), pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(1).astype(np.int32)), pa.array(score >= least), pa.array(score)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "severity", "grade", "toxic", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, severity double, grade int, toxic boolean, score double")
