@@ -164,6 +164,60 @@ def test_license_containment():
     assert len(license_scan.rules()) > 300
 
 
+def test_license_signatures():
+    """Hand-written signatures hold their keywords, and find the license in the wording it comes in."""
+    from tidegate.llm.license_signatures import SIGNATURES
+
+    assert len(set(SIGNATURES)) == len(SIGNATURES) > 200 and all(key in phrase for _, _, phrase, key in SIGNATURES)
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software and associated documentation files (the \"Software\"), to deal",
+        "bsd-3-clause": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without",
+        "apache": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.',
+        "gpl": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published",
+        "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "json": "The Software shall be used for Good, not Evil.",
+        "zlib": "Altered source versions must be plainly marked as such, and must not be\n misrepresented as being the original software.",
+        "proprietary": "may not be reproduced in whole or in part without the prior written permission of",
+        "bsl-1.1": "Change Date: 2026-01-01\n\nChange License: Apache License, Version 2.0",
+    }
+    for label, text in texts.items():
+        assert label in {x[3] for x in license_scan.scan_text(text)[2]}, label
+
+
+def test_license_suppression_of_many():
+    """As by comparing all with all, and fast where a text has very many detections."""
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        found = [(int(p), int(a), int(a + n), "abc"[k]) for p, a, n, k in zip(rng.integers(1, 5, 60), rng.integers(0, 80, 60), rng.integers(1, 30, 60), rng.integers(0, 3, 60))]
+        kept = []
+        for x in sorted(set(found), key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
+            if not any(k[1] <= x[1] and x[2] <= k[2] for k in kept):
+                kept.append(x)
+        assert license_scan.resolve(found) == sorted(kept, key=lambda x: (x[1], x[2], x[3]))
+    assert len(license_scan.resolve([(9, i, i + 5, "x") for i in range(100_000)])) == 100_000
+
+
+def test_license_query_of_a_table(spark, data):
+    """All contract columns over a whole table against plain expressions."""
+    big = data.replace("0.001", "0.01")
+    rows = {r.doc_id: r for r in queries.op10_license_scan(spark, big).collect()}
+    phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
+    hits = 0
+    for doc in spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text").collect():
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), doc.text or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = [(i, label) for i in range(len(w)) for p, label in phrases.items() if tuple(w[i : i + len(p)]) == p]
+        r = rows[doc.doc_id]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), *((min(at)[0], max(at)[0]) if at else (None, None)))
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and {x for _, x in at} <= set(r.labels.split(","))
+        assert list(r.labels.split(",")) == sorted(set(r.labels.split(","))) and 0 <= r.score <= 1
+        hits += bool(at)
+    assert hits > 5
+
+
 def test_license_rules_pass_their_own_gates():
     samples = [
         ("copyright", "see (c) 2020 Jane Doe"), ("copyright", "see \u00a9 2020 Jane Doe"), ("copyright", "\u00a9 2019-2020"), ("copyright", "Copyright 2020 Jane"), ("copyright", "Copyright (C) 2020 Jane"),

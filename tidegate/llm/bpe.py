@@ -150,8 +150,8 @@ def _vocabulary(name: str) -> Vocabulary:
     return Vocabulary(SparkFiles.get(name))
 
 
-def encode_texts(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """`carry` columns with ids (array<int>) and decoded (string, made from the ids).
+def encode_texts(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] = ("doc_id",), text: str = "text", decode: bool = True) -> DataFrame:
+    """`carry` columns with ids (array<int>) and decoded (string, made from the ids; null without `decode`).
 
     `vocabulary` is a tokenizer file on the driver, which Spark hands to the
     executors. Null counts as empty; an empty text has no ids and decodes to an
@@ -171,7 +171,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, carry: tuple[str, ...] = ("do
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-            decoded = pa.array([vocab.decode(x) for x in ids], pa.string())
+            decoded = pa.array([vocab.decode(x) if decode else None for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), lists, decoded], [*carry, "ids", "decoded"])
 
     wanted = docs.select(*carry, *([] if text in carry else [text]))

@@ -20,6 +20,8 @@ from tidegate.llm.text_arrays import text_slices
 ORDER = 4
 #: Bound of the training sample: labelled texts of each language for the model, and more for calibration.
 SAMPLE, CALIBRATION = 400, 100
+#: A code has 16 bits for a letter. Of a sample with more letters, those that fewest of its texts hold count as one unknown letter.
+MOST_LETTERS = 65_000
 #: Rejection: so many times the spread of held-back texts above their mean.
 SPREADS = 6.0
 UNKNOWN = "und"
@@ -172,9 +174,10 @@ def train(docs: DataFrame, where: Column):
         used = rows.where("not held").select("lang", "text")
         if not languages or used.isEmpty():
             used = rows.select("lang", "text")
-        wide = [r[0] for r in used.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).distinct().collect()]
-        alphabet = np.unique(letters()[[ord(c) for c in wide if len(c) == 1]]) if wide else np.zeros(0, np.uint32)
-        alphabet = alphabet[alphabet > 0][:60_000]
+        seen = used.select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("c")).where("length(c) = 1").groupBy("c").count()
+        wide = [r[0] for r in seen.orderBy(F.desc("count"), "c").limit(MOST_LETTERS).collect()]
+        alphabet = np.unique(letters()[[ord(c) for c in wide]]) if wide else np.zeros(0, np.uint32)
+        alphabet = alphabet[alphabet > 0]
         if not len(alphabet):
             return None
         index = {x: i for i, x in enumerate(languages)}
