@@ -47,7 +47,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
-    coded = bpe.encode_texts(docs, vocabulary_path(), carry=("doc_id", "lang", "source", "n_chars"))
+    coded = bpe.encode_texts(docs, vocabulary_path(), carry=("doc_id", "lang", "source", "n_chars"), decode=False)
     return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
