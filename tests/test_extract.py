@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidegate.functions import text as T
+from tidegate.functions.classify import detect_mime
 from tidegate.operators.extract import extract, with_extractor, with_ocr, with_scanner
 from tidegate.policy import DOCX, PPTX, Policy
 
@@ -36,7 +37,23 @@ def test_extract(spark):
     assert texts["docx"] == {"extracted": "document body", "title": "Doc Title", "description": "Doc Description"} and got["docx"].content.metadata == {"creator": "Ann"}
     assert texts["pptx"] == {"extracted": "s10\ns2"}
     assert texts["png"] == {"title": "Pic", "description": "seen"}
-    assert {k: r.status for k, r in got.items() if r.status != "generated"} == {"mp4": "skipped", "empty": "skipped", "broken": "skipped"}
+    assert {k: r.status for k, r in got.items() if r.status != "generated"} == {"mp4": "skipped", "empty": "skipped", "broken": "failed"}
+    assert got["broken"].error_code == "extract_failed" and got["mp4"].content.sources["extraction"].warnings == ["unsupported_content_type"]
+    assert got["docx"].content.sources["title"].backend == "metadata_parser" and got["docx"].content.sources["extracted"].backend == "ooxml_parser"
+
+
+def test_nothing_is_cut(spark):
+    """Texts just beyond what limits of other jobs would let through."""
+    runs = "".join(f"<w:t>r{i}</w:t>" for i in range(150_000))
+    many = {f"word/media/{i}": "x" for i in range(10_050)} | {"word/document.xml": f'<w:d xmlns:w="w">{runs}</w:d>'}
+    long = text_chunk(b"Description", b"d" * 6000)
+    rows = [("docx", DOCX, zipped(many)), ("png", "image/png", png(2, 1, long))]
+    got = {r.object_key: r for r in extract(spark.createDataFrame(rows, "object_key string, content_type string, content binary")).collect()}
+    assert got["docx"].content.texts["extracted"].split() == [f"r{i}" for i in range(150_000)]
+    assert got["png"].content.texts["description"] == "d" * 6000
+    json = "[" + "1, " * 3000 + "1]"
+    kinds = spark.createDataFrame([(json.encode(),), (json[:-1].encode(),)], "content binary").select(detect_mime(F.col("content"))).collect()
+    assert [r[0] for r in kinds] == ["application/json", "text/plain"]
 
 
 def test_limits(spark):

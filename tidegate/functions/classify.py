@@ -131,6 +131,8 @@ _HTML_STARTS = ("<!doctype html", "<html", "<head", "<script", "<iframe", "<h1",
 def detect_mime(content: Column, policy: Policy = Policy()) -> Column:
     """MIME type by the first bytes: published signatures, then markup and text; empty content gives blank.
 
+    What begins like JSON is parsed as a whole, however long it is.
+
     Types without a signature here are `text/plain` if no byte is a control
     sign, else `application/octet-stream`.
     """
@@ -143,7 +145,7 @@ def detect_mime(content: Column, policy: Policy = Policy()) -> Column:
         F.when(_any(start.startswith(x) for x in _HTML_STARTS), "text/html"),
         F.when(start.startswith("<svg") | (start.startswith("<?xml") & start.contains("<svg")), "image/svg+xml"),
         F.when(start.startswith("<?xml"), "text/xml"),
-        F.when(plain & start.rlike(r"^[{\[]") & F.try_parse_json(F.decode(head, "ISO-8859-1")).isNotNull(), "application/json"),
+        F.when(plain & start.rlike(r"^[{\[]") & F.try_parse_json(F.decode(content, "ISO-8859-1")).isNotNull(), "application/json"),
         F.when(plain & text.startswith("#!") & F.substring_index(text, "\n", 1).rlike("python"), "text/x-python"),
         F.when(plain, "text/plain"),
     ]

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.classify import extraction_route, normalize_mime, scanner_verdict
-from tidegate.functions.text import core_properties, normalize_text, pdf_info, pdf_literal_text, xmp_metadata
+from tidegate.functions.text import core_properties, normalize_text, normalize_whitespace, pdf_info, pdf_literal_text, xmp_metadata
 from tidegate.operators.jobs import archive_entries, markup_nodes, media_chunks
 from tidegate.operators.screen import latin1
 from tidegate.policy import DOCX, PPTX, XLSX, Policy
 
 
+#: Limits that guard archives, lifted: the size of the package is what bounds its text.
+_UNBOUNDED = {"max_entries": (1 << 31) - 1, "max_total_bytes": 1 << 62, "max_entry_bytes": 1 << 62, "max_name_bytes": 1 << 30, "max_depth": 1}
+
+
 def _keep_text_part(name: str) -> bool:
     return name in ("word/document.xml", "xl/sharedStrings.xml", "docProps/core.xml") or (name.startswith("ppt/slides/slide") and name.endswith(".xml"))
 
@@ -29,21 +34,26 @@ def png_text_metadata(chunks: DataFrame) -> DataFrame:
 
 
 def ooxml_text(objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(object_key, text, warnings, core) of office packages: parts in order of name as text, their texts joined by spaces."""
+    """(object_key, text, warnings, core, broken) of office packages: parts in order of name as text, their texts joined by spaces.
+
+    All parts are read, whatever the policy grants archives; a package that cannot be read to its end is broken.
+    """
     packages = objects.withColumn("archive_kind", F.lit("zip"))
-    parts = archive_entries(packages, policy, _keep_text_part).where("body is not null and depth = 1").select("object_key", "name", "body")
+    entries = archive_entries(packages, replace(policy, **_UNBOUNDED), _keep_text_part).where("depth = 1")
+    parts = entries.where("body is not null").select("object_key", "name", "body")
+    broken = entries.where("error is not null").select("object_key").distinct().withColumn("broken", F.lit(True))
     wanted = F.when(F.col("mime") == DOCX, "word/document.xml").when(F.col("mime") == XLSX, "xl/sharedStrings.xml").when(F.col("mime") == PPTX, "ppt/slides/slide")
     listed = parts.join(objects.select("object_key", wanted.alias("wanted")), "object_key").where("startswith(name, wanted)")
     both = F.concat("object_key", F.lit("\0"), "name")
-    nodes = markup_nodes(listed.select(both.alias("object_key"), F.col("body").alias("content")), policy).where("event = 'text'")
+    nodes = markup_nodes(listed.select(both.alias("object_key"), F.col("body").alias("content")), policy, whole=True).where("event = 'text'")
     texts = nodes.groupBy("object_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
     split = texts.select(F.substring_index("object_key", "\0", 1).alias("object_key"), F.substring_index("object_key", "\0", -1).alias("name"), "text")
     joined = split.groupBy("object_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "text"))), lambda x: x["text"]), "\n").alias("raw"))
     core = parts.where("name = 'docProps/core.xml'").select("object_key", core_properties(F.decode("body", "UTF-8")).alias("core"))
     made = normalize_text(F.encode(F.coalesce("raw", F.lit("")), "UTF-8"), policy.max_output_bytes)
     return (
-        objects.select("object_key").join(joined, "object_key", "left").join(core, "object_key", "left").withColumn("made", made)
-        .select("object_key", F.col("made.text").alias("text"), F.concat("made.warnings", F.when(F.col("made.text") == "", F.array(F.lit("no_ooxml_text_found"))).otherwise(F.array().cast("array<string>"))).alias("warnings"), "core")
+        objects.select("object_key").join(joined, "object_key", "left").join(core, "object_key", "left").join(broken, "object_key", "left").withColumn("made", made)
+        .select("object_key", F.col("made.text").alias("text"), F.concat("made.warnings", F.when(F.col("made.text") == "", F.array(F.lit("no_ooxml_text_found"))).otherwise(F.array().cast("array<string>"))).alias("warnings"), "core", F.coalesce("broken", F.lit(False)).alias("broken"))
     )
 
 
@@ -69,17 +79,21 @@ def extract(objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
     warnings = F.when(is_("text"), plain["warnings"]).when(is_("pdf"), F.concat(F.array(F.lit("pdftotext_unavailable")), pdf["warnings"])).when(is_("ooxml"), F.coalesce("office_warnings", none)).when(is_("other"), F.array(F.lit("unsupported_content_type"))).otherwise(none)
     backend = F.when(is_("text"), "direct_text").when(is_("pdf"), "pdf_literal_parser").when(is_("ooxml"), "ooxml_parser").when(is_("image"), "image_metadata").otherwise("direct_text")
     meta = F.lit(policy.extract_metadata)
+    is_jpeg = F.col("mime").isin("image/jpeg", "image/pjpeg")
     info, xmp = pdf_info(F.col("content")), xmp_metadata(F.col("content"))
-    title = F.when(meta, F.when(is_("pdf"), info["title"]).when(is_("ooxml"), F.col("core.title")).when(is_("image"), F.coalesce("png_title", xmp["title"])))
-    description = F.when(meta, F.when(is_("pdf"), info["description"]).when(is_("ooxml"), F.col("core.description")).when(is_("image"), F.coalesce("png_description", xmp["description"])))
+    title = F.when(meta, F.when(is_("pdf"), info["title"]).when(is_("ooxml"), F.col("core.title")).when(is_("image"), F.coalesce("png_title", F.when(is_jpeg, xmp["title"]))))
+    description = F.when(meta, F.when(is_("pdf"), info["description"]).when(is_("ooxml"), F.col("core.description")).when(is_("image"), F.coalesce("png_description", F.when(is_jpeg, xmp["description"]))))
     rows = rows.withColumns({"text": text, "warnings": warnings, "backend": backend, "title": title, "description": description})
     key = F.when(is_("text"), "text").otherwise("extracted")
     filled = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c)
-    texts = F.map_filter(F.map_from_arrays(F.array(key, F.lit("title"), F.lit("description")), F.array(filled(F.col("text")), filled(F.col("title")), filled(F.col("description")))), lambda _, v: v.isNotNull())
+    texts = F.map_filter(F.map_from_arrays(F.array(key, F.lit("title"), F.lit("description")), F.array(filled(F.col("text")), normalize_whitespace(filled(F.col("title"))), normalize_whitespace(filled(F.col("description"))))), lambda _, v: v.isNotNull())
     source = F.struct(F.col("backend").alias("backend"), F.col("mime").alias("content_type"), F.col("warnings").alias("warnings"))
-    sources = F.transform_values(F.map_filter(F.col("texts"), lambda k, v: v.isNotNull()), lambda k, v: source)
+    parsed = F.struct(F.lit("metadata_parser").alias("backend"), F.col("mime").alias("content_type"), none.alias("warnings"))
+    sources = F.transform_values(F.col("texts"), lambda k, v: F.when(k.isin("title", "description"), parsed).otherwise(source))
+    # warnings of an object without a text stand alone
+    sources = F.when((F.size("texts") == 0) & (F.size("warnings") > 0), F.create_map(F.lit("extraction"), source)).otherwise(sources)
     rows = rows.withColumn("texts", texts).withColumn("metadata", F.coalesce("core.metadata", F.create_map().cast("map<string,string>")))
-    broken = is_("ooxml") & F.col("office_text").isNull()
+    broken = is_("ooxml") & F.coalesce("broken", F.lit(False))
     status = F.when(F.col("too_large") | broken, "failed").when(F.size("texts") + F.size("metadata") > 0, "generated").otherwise("skipped")
     return rows.select(
         "object_key",
@@ -133,9 +147,11 @@ def with_extractor(objects: DataFrame, fn: Callable[[bytes, str], str], policy:
     got = F.trim(F.coalesce("external", F.lit(""))) != ""
     hard = (F.col("route") == "other") & F.col("external_error").isNotNull()
     texts = F.when(got, F.map_concat(F.map_filter("content.texts", lambda k, v: k != "extracted"), F.create_map(F.lit("extracted"), F.col("external")))).otherwise(F.col("content.texts"))
+    by_hand = F.struct(F.lit("external_command").alias("backend"), F.lit(None).cast("string").alias("content_type"), F.array().cast("array<string>").alias("warnings"))
+    sources = F.when(got, F.map_concat(F.map_filter("content.sources", lambda k, v: ~k.isin("extracted", "extraction")), F.create_map(F.lit("extracted"), by_hand))).otherwise(F.col("content.sources"))
     return rows.select(
         "object_key",
-        F.struct(texts.alias("texts"), F.col("content.sources").alias("sources"), F.col("content.metadata").alias("metadata")).alias("content"),
+        F.struct(texts.alias("texts"), sources.alias("sources"), F.col("content.metadata").alias("metadata")).alias("content"),
         F.when(hard, "failed").when(got, "generated").otherwise(F.col("status")).alias("status"),
         F.when(hard, F.col("external_error")).when(got, None).otherwise(F.col("error_code")).alias("error_code"),
         (got | F.col("has_text")).alias("has_text"), "has_ocr", "has_metadata",

@@ -157,7 +157,8 @@ def archive_entries(df: DataFrame, policy: Policy = Policy(), keep=_no_body) ->
 
     def run(batches):
         for batch in batches:
-            for key, name, kind, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(batch.column(i) for i in range(4))):
+                key, name, kind, content = (x.as_py() for x in row)
                 u = _Unpacker(key, policy, keep)
                 u.unpack(kind, content or b"", "", 1, name or "")
                 if u.rows:
@@ -166,6 +167,14 @@ def archive_entries(df: DataFrame, policy: Policy = Policy(), keep=_no_body) ->
     return df.select("object_key", "original_name", "archive_kind", "content").mapInArrow(run, ENTRY_SCHEMA)
 
 
+#: Chunks of pixels; of these only the head is kept, which holds their size.
+_PIXELS = ("IDAT", "fdAT", "VP8 ", "VP8L", "ALPH", "ANMF")
+
+
+def _kept(kind: str, data: bytes) -> bytes:
+    return data[:64] if kind in _PIXELS else data
+
+
 def _png(data: bytes):
     at = 8
     while at < len(data):
@@ -176,7 +185,7 @@ def _png(data: bytes):
         if end > len(data):
             return (yield (kind, at, size, None, None, "length"))
         crc_ok = zlib.crc32(data[at + 4 : end - 4]) == int.from_bytes(data[end - 4 : end], "big")
-        yield (kind, at, size, crc_ok, data[at + 8 : at + 8 + min(size, 4096)], None)
+        yield (kind, at, size, crc_ok, _kept(kind, data[at + 8 : end - 4]), None)
         at = end
 
 
@@ -186,7 +195,7 @@ def _jpeg(data: bytes):
         marker, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
         if marker in (0xD9, 0xDA) or size < 2 or at + 2 + size > len(data):
             return
-        yield (f"{marker:02X}", at, size, None, data[at + 4 : at + 2 + min(size, 4096)], None)
+        yield (f"{marker:02X}", at, size, None, data[at + 4 : at + 2 + size], None)
         at += 2 + size
 
 
@@ -197,7 +206,7 @@ def _webp(data: bytes):
         end = at + 8 + size + size % 2
         if end > len(data):
             return (yield (data[at : at + 4].decode("latin-1"), at, size, None, None, "length"))
-        yield (data[at : at + 4].decode("latin-1"), at, size, None, data[at + 8 : at + 8 + min(size, 64)], None)
+        yield (data[at : at + 4].decode("latin-1"), at, size, None, _kept(data[at : at + 4].decode("latin-1"), data[at + 8 : at + 8 + size]), None)
         at = end
 
 
@@ -216,13 +225,16 @@ def media_chunks(df: DataFrame) -> DataFrame:
     """One row for each PNG chunk, JPEG segment, WebP chunk or BMFF box of (object_key, content) rows.
 
     Other contents give no row; a chunk that leaves its file gives a row with an error and ends it.
+    Data is whole, except of pixels, and null for boxes.
     """
 
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.string()]
+    names = ["object_key", "seq", "depth", "type", "offset", "length", "crc_ok", "data", "error"]
+
     def run(batches):
         for batch in batches:
-            rows = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = data or b""
+            for key, data in zip(batch.column(0), batch.column(1)):
+                key, data = key.as_py(), data.as_py() or b""
                 if data[:8] == b"\x89PNG\r\n\x1a\n":
                     found = _png(data)
                 elif data[:2] == b"\xff\xd8":
@@ -233,16 +245,15 @@ def media_chunks(df: DataFrame) -> DataFrame:
                     found = _bmff(data)
                 else:
                     continue
-                rows += [(key, i, 1, *x) for i, x in enumerate(found)]
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.string()]
-            names = ["object_key", "seq", "depth", "type", "offset", "length", "crc_ok", "data", "error"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, kinds)], names)
+                rows = [(key, i, 1, *x) for i, x in enumerate(found)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     return df.select("object_key", "content").mapInArrow(run, CHUNK_SCHEMA)
 
 
-def _nodes(data: bytes, limit: int):
-    """(depth, event, name, namespace, attributes, text) of markup, up to `limit` elements."""
+def _nodes(data: bytes, limit: int | None):
+    """(depth, event, name, namespace, attributes, text) of markup, behind `limit` rows up to the next element only."""
     rows: list[tuple] = []
     spaces: list[dict] = [{}]
     text: list[str] = []
@@ -265,7 +276,7 @@ def _nodes(data: bytes, limit: int):
         prefix, _, local = name.rpartition(":")
         plain = {k.rpartition(":")[2].lower(): v for k, v in attributes.items() if k.split(":")[0] != "xmlns"}
         rows.append((len(spaces) - 1, "start", local, own.get(prefix, prefix), plain, None))
-        if sum(r[1] == "start" for r in rows[-1:]) and len(rows) > limit:
+        if limit is not None and len(rows) > limit:
             raise Enough
 
     def end(name):
@@ -284,18 +295,18 @@ def _nodes(data: bytes, limit: int):
     return rows
 
 
-def markup_nodes(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def markup_nodes(df: DataFrame, policy: Policy = Policy(), whole: bool = False) -> DataFrame:
     """One row for each start element, text, doctype or parse error of (object_key, content) rows, in order.
 
-    Entities are not resolved. A document with more elements than the policy
-    counts is cut behind the first one too many.
+    Entities are not resolved. For rules that count elements up to the policy's
+    limit, a document is left off where it must be beyond it; `whole` reads all.
     """
-    limit = 2 * policy.max_objects + 2
+    limit = None if whole else 2 * policy.max_objects + 2
 
     def run(batches):
         for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(key, i, *x) for i, x in enumerate(_nodes(data or b"", limit))]
+            for key, data in zip(batch.column(0), batch.column(1)):
+                rows = [(key.as_py(), i, *x) for i, x in enumerate(_nodes(data.as_py() or b"", limit))]
                 kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
                 names = ["object_key", "seq", "depth", "event", "name", "namespace", "attributes", "text"]
                 columns = list(zip(*rows)) if rows else [[]] * 8

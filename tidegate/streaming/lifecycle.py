@@ -159,6 +159,8 @@ def upload_state(events: DataFrame, policy: Policy = Policy(), watermark: str =
                     uploaded = max(uploaded, int(x.bytes))
                 rows.append((key[0], status, uploaded, size, x.ts, error))
             yield pd.DataFrame(rows, columns=columns)
+        if status is None:
+            return  # a key that nobody created has no state and no deadline
         state.update((status, created, uploaded, size, owner))
         late = (created or rows[-1][4].timestamp()) + (start if status == "key_created" else finish)
         state.setTimeoutTimestamp(max(int(late * 1000), state.getCurrentWatermarkMs() + 1))
@@ -191,7 +193,10 @@ def quota_stream(events: DataFrame, limit: int, watermark: str = "1 minute") ->
                 elif x.action in ("complete", "fail", "cancel"):
                     active.discard(x.upload_key)
             yield pd.DataFrame(rows, columns=["owner", "upload_key", "active", "ts", "code"])
-        state.update((sorted(active),))
+        if active:
+            state.update((sorted(active),))
+        elif state.exists:
+            state.remove()
 
     rows = events.select("owner", "upload_key", "action", F.col("ts").cast("timestamp"), "seq")
     return rows.withWatermark("ts", watermark).groupBy("owner").applyInPandasWithState(
