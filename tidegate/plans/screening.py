@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.classify import file_extension, file_family, normalize_mime
 from tidegate.operators import screen as S
-from tidegate.operators.catalog import marker_scan
+from tidegate.operators.catalog import marker_scan, token_counts
 from tidegate.plans.registry import query, sql_in, sql_list, table
 from tidegate.policy import EQUIVALENT, EXECUTABLES, Policy, expand_types, file_types
 
@@ -197,7 +197,7 @@ def marker_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select page_id, strlen(html) - strlen(replace(html, '<', '')) elements from pages")
 def token_counts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<")).cast("long").alias("elements"))
+    return table(spark, sf_dir, "pages").select("page_id", token_counts(F.col("html"))["elements"].cast("long").alias("elements"))
 
 
 _FAMILY_SQL = """image: starts_with(declared, 'image/') or ext in ('jpg','jpeg','png','gif','webp','avif','tif','tiff','bmp','svg')

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.functions import text as T
 from tidegate.operators.extract import extract
 from tidegate.plans.registry import query, table
-from tidegate.policy import Policy
+from tidegate.policy import PPTX, Policy
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _DIRTY = "case doc_id % 4 when 0 then '  ' || text || chr(9) || chr(10) || ' ' when 1 then replace(text, chr(10), ' ' || chr(9) || chr(10)) when 2 then replace(text, ' ', chr(1) || ' ') else text end"
@@ -112,3 +112,72 @@ def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten matches of a pattern in each text."""
     found = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), 1, 10)
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(found, " ").alias("words"))
+
+
+# --- files made of each text -------------------------------------------------------
+
+
+def _number(n: Column, size: int, little: bool) -> Column:
+    """A whole number as `size` bytes."""
+    digits = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    places = [F.substring(digits, 2 * i + 1, 2) for i in range(size)]
+    return F.unhex(F.concat(*(reversed(places) if little else places)))
+
+
+def _bytes(hexed: str) -> Column:
+    return F.lit(bytes.fromhex(hexed))
+
+
+def stored_zip(parts: list[tuple[str, Column]]) -> Column:
+    """A zip file of uncompressed entries (name, content)."""
+    little = lambda n, size: _number(n, size, True)
+    files, listing, at = [], [], F.lit(0).cast("long")
+    for name, content in parts:
+        size = F.octet_length(content)
+        facts = F.concat(_bytes("00002100"), little(F.crc32(content), 4), little(size, 4), little(size, 4), little(F.lit(len(name)), 2), _bytes("0000"))
+        files.append(F.concat(_bytes("504b0304" + "140000000000"), facts, F.lit(name.encode()), content))
+        listing.append(F.concat(_bytes("504b0102" + "1400140000000000"), facts, _bytes("00" * 10), little(at, 4), F.lit(name.encode())))
+        at = at + 30 + len(name) + size
+    n, central = F.lit(len(parts)), F.concat(*listing)
+    return F.concat(*files, central, _bytes("504b050600000000"), little(n, 2), little(n, 2), little(F.octet_length(central), 4), little(at, 4), _bytes("0000"))
+
+
+def png_chunk(kind: str, data: Column) -> Column:
+    body = F.concat(F.lit(kind.encode()), data)
+    return F.concat(_number(F.octet_length(data), 4, False), body, _number(F.crc32(body), 4, False))
+
+
+_LETTERS = "trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))"
+
+
+def _plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("lang is not null and text is not null")
+    return docs.select("doc_id", "lang", F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")).alias("c"))
+
+
+@query(
+    f"""select doc_id, trim('one ' || c) || chr(10) || trim('ten ' || c) || chr(10) || trim('two ' || c) extracted, 'T' || doc_id title, lang creator, 'generated' status
+  from (select doc_id, lang, {_LETTERS} c from documents where lang is not null and text is not null)"""
+)
+def office_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as three slides of a package, unpacked and parsed again: slide 10 comes before 2, and the core properties tell title and creator."""
+    slide = lambda word: F.encode(F.concat(F.lit(f'<p:sld xmlns:p="p" xmlns:a="a"><a:t>{word} '), "c", F.lit("</a:t></p:sld>")), "UTF-8")
+    core = F.concat(F.lit('<cp:coreProperties xmlns:cp="c" xmlns:dc="d"><dc:title>T'), F.col("doc_id").cast("string"), F.lit("</dc:title><dc:creator>"), "lang", F.lit("</dc:creator></cp:coreProperties>"))
+    parts = [("ppt/slides/slide2.xml", slide("two")), ("ppt/slides/slide10.xml", slide("ten")), ("docProps/core.xml", F.encode(core, "UTF-8")), ("ppt/slides/slide1.xml", slide("one"))]
+    objects = _plain_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("object_key"), F.lit(PPTX).alias("content_type"), stored_zip(parts).alias("content"))
+    found = extract(objects)
+    return found.select(
+        F.col("object_key").cast("long").alias("doc_id"), F.col("content.texts")["extracted"].alias("extracted"), F.col("content.texts")["title"].alias("title"),
+        F.col("content.metadata")["creator"].alias("creator"), "status",
+    )
+
+
+@query(f"select doc_id, nullif(c, '') description, case when c = '' then 'skipped' else 'generated' end status from (select doc_id, {_LETTERS} c from documents where lang is not null and text is not null)")
+def png_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as the description chunk of an image, read back whole."""
+    header = F.lit(bytes.fromhex("00000002000000010802000000"))
+    text = F.concat(F.lit(b"Description\0"), F.encode("c", "ISO-8859-1"))
+    image = F.concat(_bytes("89504e470d0a1a0a"), png_chunk("IHDR", header), png_chunk("tEXt", text), png_chunk("IEND", F.lit(b"")))
+    objects = _plain_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("object_key"), F.lit("image/png").alias("content_type"), image.alias("content"))
+    found = extract(objects)
+    return found.select(F.col("object_key").cast("long").alias("doc_id"), F.col("content.texts")["description"].alias("description"), "status")
