@@ -9,6 +9,7 @@ from tidegate.functions import text as T
 from tidegate.operators.extract import extract
 from tidegate.plans.registry import query, table
 from tidegate.policy import PPTX, Policy
+from tidegate.sources.work import stage
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _DIRTY = "case doc_id % 4 when 0 then '  ' || text || chr(9) || chr(10) || ' ' when 1 then replace(text, chr(10), ' ' || chr(9) || chr(10)) when 2 then replace(text, ' ', chr(1) || ' ') else text end"
@@ -165,7 +166,7 @@ def office_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     core = F.concat(F.lit('<cp:coreProperties xmlns:cp="c" xmlns:dc="d"><dc:title>T'), F.col("doc_id").cast("string"), F.lit("</dc:title><dc:creator>"), "lang", F.lit("</dc:creator></cp:coreProperties>"))
     parts = [("ppt/slides/slide2.xml", slide("two")), ("ppt/slides/slide10.xml", slide("ten")), ("docProps/core.xml", F.encode(core, "UTF-8")), ("ppt/slides/slide1.xml", slide("one"))]
     objects = _plain_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("object_key"), F.lit(PPTX).alias("content_type"), stored_zip(parts).alias("content"))
-    found = extract(objects)
+    found = extract(stage(objects, "packages"))
     return found.select(
         F.col("object_key").cast("long").alias("doc_id"), F.col("content.texts")["extracted"].alias("extracted"), F.col("content.texts")["title"].alias("title"),
         F.col("content.metadata")["creator"].alias("creator"), "status",
@@ -179,5 +180,5 @@ def png_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit(b"Description\0"), F.encode("c", "ISO-8859-1"))
     image = F.concat(_bytes("89504e470d0a1a0a"), png_chunk("IHDR", header), png_chunk("tEXt", text), png_chunk("IEND", F.lit(b"")))
     objects = _plain_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("object_key"), F.lit("image/png").alias("content_type"), image.alias("content"))
-    found = extract(objects)
+    found = extract(stage(objects, "images"))
     return found.select(F.col("object_key").cast("long").alias("doc_id"), F.col("content.texts")["description"].alias("description"), "status")
