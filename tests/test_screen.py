@@ -141,3 +141,24 @@ def test_empty_table(spark):
 def test_modes(spark, mode, want):
     df = spark.createDataFrame([("k", "a.html", "text/html", b"<html><script></script></html>")], "object_key string, original_name string, declared_type string, content binary")
     assert screen(df, Policy(markup_mode=mode)).first().verdict == want
+
+
+def test_contents_stay_where_they_are_read(spark):
+    """One job unpacks, and no exchange carries contents."""
+    df = spark.createDataFrame([("k", "a.docx", DOCX, b"x")], "object_key string, original_name string, declared_type string, content binary")
+    plan = screen(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        physical = screen(df).sparkSession._jvm.PythonSQLUtils.explainString(screen(df)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    carried = [b for b in physical.split("\n\n") if b.split("\n")[0].endswith(("Exchange", "BroadcastExchange")) and ") " in b]
+    assert carried and not any("content#" in b.split("Arguments")[0] for b in carried)
+
+
+def test_repeated_keys_are_judged_each(spark):
+    rows = [("k", "a.html", "text/html", b"<html><script></script></html>", 1), ("k", "a.html", "text/html", b"<html>fine</html>", 2), (None, "n.txt", None, None, 3)]
+    df = spark.createDataFrame(rows, "object_key string, original_name string, declared_type string, content binary, _html int")
+    got = screen(df).collect()
+    assert sorted((r.object_key or "", r.verdict or "") for r in got) == [("", "file_extension_mismatch"), ("k", ""), ("k", "markup_script_detected")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -139,15 +140,18 @@ def detect_mime(content: Column, policy: Policy = Policy()) -> Column:
     head = F.substring(F.coalesce(content, F.lit(b"")), 1, policy.inspected_bytes)
     options = [F.when(F.substring(head, at + 1, len(sig) // 2) == F.lit(bytes.fromhex(sig)), mime) for at, sig, mime in _SIGNATURES]
     text = F.decode(head, "ISO-8859-1")
-    start = F.lower(F.regexp_replace(text, r"^(?:ï»¿)?[\t\n\f\r ]*", ""))
-    plain = ~text.rlike(r"[\x00-\x08\x0B\x0E-\x1A\x1C-\x1F]")
+    # one pattern for each look at the text, as every use of a made column in a branch is worked out anew
+    start = r"^(?:ï»¿)?[\t\n\f\r ]*"
+    html = "|".join(re.escape(x) for x in _HTML_STARTS)
+    json = text.rlike(start + r"[{\[]") & F.try_parse_json(F.decode(content, "ISO-8859-1")).isNotNull()
     options += [
-        F.when(_any(start.startswith(x) for x in _HTML_STARTS), "text/html"),
-        F.when(start.startswith("<svg") | (start.startswith("<?xml") & start.contains("<svg")), "image/svg+xml"),
-        F.when(start.startswith("<?xml"), "text/xml"),
-        F.when(plain & start.rlike(r"^[{\[]") & F.try_parse_json(F.decode(content, "ISO-8859-1")).isNotNull(), "application/json"),
-        F.when(plain & text.startswith("#!") & F.substring_index(text, "\n", 1).rlike("python"), "text/x-python"),
-        F.when(plain, "text/plain"),
+        F.when(text.rlike(f"{start}(?i:{html})"), "text/html"),
+        F.when(text.rlike(rf"(?s){start}(?i:<svg|<\?xml.*<svg)"), "image/svg+xml"),
+        F.when(text.rlike(rf"{start}(?i:<\?xml)"), "text/xml"),
+        F.when(
+            ~text.rlike(r"[\x00-\x08\x0B\x0E-\x1A\x1C-\x1F]"),
+            F.when(json, "application/json").when(text.rlike(r"^#![^\n]*python"), "text/x-python").otherwise("text/plain"),
+        ),
     ]
     return F.when(F.octet_length(head) == 0, "").otherwise(F.coalesce(*options, F.lit(OCTETS)))
 

@@ -50,7 +50,8 @@ def unescape_pdf(value: Column) -> Column:
     return F.array_join(F.transform(pairs, plain), "\\")
 
 
-_LITERAL = r"\(((?:\\.|[^\\)])*)\)"
+# possessive, so that a literal of any length is matched without recursion
+_LITERAL = r"\(((?:\\.|[^\\)])*+)\)"
 
 
 def pdf_literal_text(content: Column, most: int) -> Column:
@@ -65,7 +66,7 @@ def pdf_literal_text(content: Column, most: int) -> Column:
 def pdf_info(content: Column) -> Column:
     """(title, description): Title and Subject, the last of each; Keywords or Author only where there is no description yet."""
     raw = F.decode(content, "ISO-8859-1")
-    found = F.slice(F.regexp_extract_all(raw, F.lit(r"(?s)/(?:Title|Subject|Keywords|Author)\s*\((?:\\.|[^\\)])*\)"), 0), 1, 100)
+    found = F.slice(F.regexp_extract_all(raw, F.lit(r"(?s)/(?:Title|Subject|Keywords|Author)\s*\((?:\\.|[^\\)])*+\)"), 0), 1, 100)
     empty = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"))
 
     def take(s: Column, m: Column) -> Column:

@@ -1,7 +1,8 @@
 """Archive guard: per-entry checks, running budgets and one verdict per archive, over entry rows.
 
 Entry rows have object_key, level, depth, seq, name, size, compressed_size,
-archive_size, is_dir, is_link, is_special, encrypted, prefix, kind, error. They
+archive_size, is_dir, is_link, is_special, encrypted, prefix, kind (of an entry
+that is an archive itself), error, codec (of what a single stream expands to). They
 come from `jobs.archive_entries` or from any table in that shape.
 """
 
@@ -67,8 +68,7 @@ def compression_ratio(entries: DataFrame, policy: Policy = Policy()) -> DataFram
 
 def stream_probe(entries: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Entries with `check_probe`: what a single-stream codec expands to, against the probe limit."""
-    single = F.col("kind").isin("gzip", "bzip2", "xz", "zstd")
-    return entries.withColumn("check_probe", F.when(single & (F.col("size") > policy.max_probe_bytes), "archive_inspection_timeout"))
+    return entries.withColumn("check_probe", F.when(F.col("codec").isNotNull() & (F.col("size") > policy.max_probe_bytes), "archive_inspection_timeout"))
 
 
 def entry_type_screen(entries: DataFrame, policy: Policy = Policy()) -> DataFrame:

@@ -24,10 +24,14 @@ from tidegate.policy import Policy
 
 ENTRY_SCHEMA = (
     "object_key string, level string, depth int, seq long, name string, size long, compressed_size long, archive_size long, is_dir boolean, is_link boolean,"
-    " is_special boolean, encrypted boolean, prefix binary, kind string, body binary, error string"
+    " is_special boolean, encrypted boolean, prefix binary, kind string, body binary, error string, codec string"
 )
 CHUNK_SCHEMA = "object_key string, seq int, depth int, type string, offset long, length long, crc_ok boolean, data binary, error string"
 NODE_SCHEMA = "object_key string, seq int, depth int, event string, name string, namespace string, attributes map<string,string>, text string"
+UNPACKED_SCHEMA = (
+    "object_key string, part string, seq long, depth int, name string, error string, type string, crc_ok boolean, data binary,"
+    " event string, element long, namespace string, attributes map<string,string>, size long, body binary, ooxml string, odf string"
+)
 
 _FIELDS = [f.split()[0] for f in ENTRY_SCHEMA.replace("\n", " ").split(", ")]
 
@@ -54,8 +58,8 @@ class _Unpacker:
         self.rows: list[tuple] = []
         self.entries = self.total = 0
 
-    def row(self, level: str, depth: int, name=None, size=0, packed=0, archive=0, is_dir=False, link=False, special=False, encrypted=False, prefix=b"", kind=None, body=None, error=None):
-        self.rows.append((self.key, level, depth, len(self.rows), name, size, packed, archive, is_dir, link, special, encrypted, prefix, kind, body, error))
+    def row(self, level: str, depth: int, name=None, size=0, packed=0, archive=0, is_dir=False, link=False, special=False, encrypted=False, prefix=b"", kind=None, body=None, error=None, codec=None):
+        self.rows.append((self.key, level, depth, len(self.rows), name, size, packed, archive, is_dir, link, special, encrypted, prefix, kind, body, error, codec))
         if name is not None:
             self.entries += 1
             self.total += size
@@ -135,7 +139,7 @@ class _Unpacker:
         prefix = body[: self.policy.inspected_bytes]
         is_tar = inner.lower().endswith(".tar") or body[257:262] == b"ustar"
         seq = len(self.rows)
-        self.row(level, depth, None if is_tar else inner, len(body), len(data), len(data), prefix=prefix, kind=kind)
+        self.row(level, depth, None if is_tar else inner, len(body), len(data), len(data), prefix=prefix, kind=None if is_tar else kind_of(inner, prefix), codec=kind)
         if not is_tar:
             self.nested(inner, body, prefix, level, depth, seq)
         elif len(body) <= limit:
@@ -153,7 +157,7 @@ def archive_entries(df: DataFrame, policy: Policy = Policy(), keep=_no_body) ->
     the policy's limits, so no archive fills an executor; what cannot be read
     gives one row with `archive_unsupported_method`.
     """
-    schema = pa.schema([("object_key", pa.string()), ("level", pa.string()), ("depth", pa.int32()), ("seq", pa.int64()), ("name", pa.string()), *((n, pa.int64()) for n in ("size", "compressed_size", "archive_size")), *((n, pa.bool_()) for n in ("is_dir", "is_link", "is_special", "encrypted")), ("prefix", pa.binary()), ("kind", pa.string()), ("body", pa.binary()), ("error", pa.string())])
+    schema = pa.schema([("object_key", pa.string()), ("level", pa.string()), ("depth", pa.int32()), ("seq", pa.int64()), ("name", pa.string()), *((n, pa.int64()) for n in ("size", "compressed_size", "archive_size")), *((n, pa.bool_()) for n in ("is_dir", "is_link", "is_special", "encrypted")), ("prefix", pa.binary()), ("kind", pa.string()), ("body", pa.binary()), ("error", pa.string()), ("codec", pa.string())])
 
     def run(batches):
         for batch in batches:
@@ -221,6 +225,19 @@ def _bmff(data: bytes):
         at += size
 
 
+def _chunks(data: bytes):
+    """(type, offset, length, crc_ok, data, error) of each chunk of a known medium."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return _png(data)
+    if data[:2] == b"\xff\xd8":
+        return _jpeg(data)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return _webp(data)
+    if data[4:8] == b"ftyp":
+        return _bmff(data)
+    return iter(())
+
+
 def media_chunks(df: DataFrame) -> DataFrame:
     """One row for each PNG chunk, JPEG segment, WebP chunk or BMFF box of (object_key, content) rows.
 
@@ -235,16 +252,7 @@ def media_chunks(df: DataFrame) -> DataFrame:
         for batch in batches:
             for key, data in zip(batch.column(0), batch.column(1)):
                 key, data = key.as_py(), data.as_py() or b""
-                if data[:8] == b"\x89PNG\r\n\x1a\n":
-                    found = _png(data)
-                elif data[:2] == b"\xff\xd8":
-                    found = _jpeg(data)
-                elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
-                    found = _webp(data)
-                elif data[4:8] == b"ftyp":
-                    found = _bmff(data)
-                else:
-                    continue
+                found = _chunks(data)
                 rows = [(key, i, 1, *x) for i, x in enumerate(found)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -314,3 +322,59 @@ def markup_nodes(df: DataFrame, policy: Policy = Policy(), whole: bool = False)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return df.select("object_key", "content").mapInArrow(run, NODE_SCHEMA)
+
+
+#: Rows handed on at once by `unpacked`.
+_ROWS = 4096
+
+
+def _unpacked_rows(key: str, part: str, data: bytes, ooxml, odf, policy: Policy, keep):
+    """Rows of `UNPACKED_SCHEMA` of one object, as one part of a screening needs them."""
+    if part == "media":
+        for i, (kind, _, _, crc_ok, body, error) in enumerate(_chunks(data)):
+            # sizes stand in the head of a chunk
+            yield (key, part, i, 1, None, error, kind, crc_ok, body and body[:64], *(None,) * 8)
+    elif part == "package":
+        u = _Unpacker(key, policy, keep)
+        u.unpack("zip", data, "", 1, "")
+        for row in u.rows:
+            at = dict(zip(_FIELDS, row))
+            if at["depth"] == 1:
+                yield (key, part, at["seq"], 1, at["name"], at["error"], *(None,) * 7, at["size"], at["body"], ooxml, odf)
+    else:
+        element = 0
+        for i, (depth, event, name, namespace, attributes, _) in enumerate(_nodes(data, 2 * policy.max_objects + 2)):
+            element += event == "start"
+            if event != "text":
+                yield (key, part, i, depth, name, None, None, None, None, event, element, namespace, attributes and list(attributes.items()), *(None,) * 4)
+
+
+def unpacked(df: DataFrame, policy: Policy = Policy(), keep=_no_body) -> DataFrame:
+    """All rows a screening needs of (object_key, parts, ooxml, odf, content) rows, in one pass over the contents.
+
+    `parts` lists what an object is read as: `media` (chunks), `svg` or `xml`
+    (elements, doctypes and errors, `element` being the start elements so far)
+    and `package` (zip entries, of bodies those that `keep` names).
+    """
+    words, whole, raw = pa.string(), pa.int64(), pa.binary()
+    kinds = [words, words, whole, pa.int32(), words, words, words, pa.bool_(), raw, words, whole, words, pa.map_(words, words), whole, raw, words, words]
+    names = [f.split()[0] for f in UNPACKED_SCHEMA.replace("map<string,string>", "map").split(",")]
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(5))):
+                key, parts, ooxml, odf, content = (x.as_py() for x in row)
+                held = []
+                for part in parts:
+                    for found in _unpacked_rows(key, part, content or b"", ooxml, odf, policy, keep):
+                        held.append(found)
+                        if len(held) == _ROWS:
+                            yield made(held)
+                            held = []
+                if held:
+                    yield made(held)
+
+    return df.select("object_key", "parts", "ooxml", "odf", "content").mapInArrow(run, UNPACKED_SCHEMA)

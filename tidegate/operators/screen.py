@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidegate.functions.classify import (
     OCTETS,
@@ -26,7 +25,7 @@ from tidegate.functions.classify import (
     script_allowed,
     svg_dimensions,
 )
-from tidegate.operators.jobs import archive_entries, markup_nodes, media_chunks
+from tidegate.operators.jobs import unpacked
 from tidegate.policy import DOCX, ODP, ODS, ODT, PPTX, XLSX, Policy, expand_types, file_types
 
 
@@ -105,11 +104,12 @@ def expected_types(ext: Column, policy: Policy = Policy()) -> Column:
     return F.try_element_at(F.expr(f"map({entries})"), ext)
 
 
-def extension_agrees(name: Column, declared: Column, detected: Column, policy: Policy = Policy()) -> Column:
+def extension_agrees(name: Column, declared: Column, detected: Column, policy: Policy = Policy(), agree: Column | None = None) -> Column:
     """The extension, if known, fits what was detected, or what was declared where detection says nothing against it."""
     expected = expected_types(file_extension(name), policy)
     fits = lambda value: F.coalesce(F.array_contains(expected, value), F.lit(False))
-    open_ = (detected == "") | (detected == OCTETS) | equivalent(declared, detected, policy) | declared_compatible(declared, detected, name)
+    agree = equivalent(declared, detected, policy) | declared_compatible(declared, detected, name) if agree is None else agree
+    open_ = (detected == "") | (detected == OCTETS) | agree
     return expected.isNull() | fits(detected) | (fits(declared) & open_)
 
 
@@ -124,13 +124,15 @@ def rule_script(script: Column, policy: Policy) -> Column:
     return F.when(F.lit(policy.reject_scripts) & script["detected"] & ~script_allowed(script, policy), "script_upload_rejected")
 
 
-def rule_declared_mismatch(declared: Column, detected: Column, name: Column, allowed_script: Column, policy: Policy) -> Column:
+def rule_declared_mismatch(declared: Column, detected: Column, name: Column, allowed_script: Column, policy: Policy, agree: Column | None = None) -> Column:
+    """`agree` may give what was worked out before: the types are equivalent or compatible."""
+    agree = equivalent(declared, detected, policy) | declared_compatible(declared, detected, name) if agree is None else agree
     known = (declared != "") & (detected != "") & (detected != OCTETS)
-    return F.when(known & ~allowed_script & ~equivalent(declared, detected, policy) & ~declared_compatible(declared, detected, name), "content_type_mismatch")
+    return F.when(known & ~allowed_script & ~agree, "content_type_mismatch")
 
 
-def rule_extension_mismatch(name: Column, declared: Column, detected: Column, policy: Policy) -> Column:
-    return F.when(~extension_agrees(name, declared, detected, policy), "file_extension_mismatch")
+def rule_extension_mismatch(name: Column, declared: Column, detected: Column, policy: Policy, agree: Column | None = None) -> Column:
+    return F.when(~extension_agrees(name, declared, detected, policy, agree), "file_extension_mismatch")
 
 
 def rule_deny(declared: Column, detected: Column, policy: Policy) -> Column:
@@ -219,28 +221,35 @@ _PNG_METADATA, _WEBP_METADATA = ("eXIf", "tEXt", "zTXt", "iTXt", "tIME"), ("EXIF
 _VIDEO_MARKERS = ("exif", "xmp", "\xa9day", "\xa9mod", "\xa9xyz", "gps", "udta", "meta")
 
 
-def media_summary(chunks: DataFrame) -> DataFrame:
-    """(object_key, png_ok, has_metadata, width, height) from media chunks.
+def media_aggregates() -> dict[str, Column]:
+    """png_ok, has_metadata, width and height of each object's media chunks.
 
     A PNG is sound if every chunk is in bounds with a valid checksum, IHDR was
     seen, and IEND comes last. JPEG sizes come from its frame header.
     """
+    own = F.col("part") == "media"
     png = F.col("type").isin(*_PNG_METADATA) & F.col("crc_ok").isNotNull()
     frame = F.col("type").rlike("^C[0-35-79-BD-F]$") & (F.octet_length("data") >= 5)
     number = lambda at: F.conv(F.hex(F.substring("data", at, 2)), 16, 10).cast("int")
     riff = F.col("type") == "VP8X"
     little = lambda at: (F.conv(F.concat(*[F.hex(F.substring("data", at + i, 1)) for i in (2, 1, 0)]), 16, 10) + 1).cast("int")
-    last = F.max_by("type", "seq")
-    return chunks.groupBy("object_key").agg(
-        (F.bool_and(F.coalesce("crc_ok", F.lit(False)) & F.col("error").isNull()) & F.bool_or(F.col("type") == "IHDR") & (last == "IEND")).alias("png_ok"),
-        F.bool_or(png | (F.col("type") == "E1") | F.col("type").isin(*_WEBP_METADATA)).alias("has_metadata"),
-        F.coalesce(F.max(F.when(frame, number(4))), F.max(F.when(riff, little(5)))).alias("width"),
-        F.coalesce(F.max(F.when(frame, number(2))), F.max(F.when(riff, little(8)))).alias("height"),
-    )
+    sound = F.bool_and(F.when(own, F.coalesce("crc_ok", F.lit(False)) & F.col("error").isNull()))
+    ended = F.max_by("type", F.when(own, F.col("seq"))) == "IEND"
+    return {
+        "png_ok": sound & F.bool_or(own & (F.col("type") == "IHDR")) & ended,
+        "has_metadata": F.bool_or(own & (png | (F.col("type") == "E1") | F.col("type").isin(*_WEBP_METADATA))),
+        "width": F.coalesce(F.max(F.when(own & frame, number(4))), F.max(F.when(own & riff, little(5)))),
+        "height": F.coalesce(F.max(F.when(own & frame, number(2))), F.max(F.when(own & riff, little(8)))),
+    }
+
+
+def _first(part: str, code: Column) -> Column:
+    """The first code among an object's rows of a part."""
+    return F.min_by(code, F.when((F.col("part") == part) & code.isNotNull(), F.col("seq")))
 
 
-def svg_summary(nodes: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(object_key, code): the first rule an SVG breaks, by element, then by rule."""
+def svg_code(policy: Policy = Policy()) -> Column:
+    """The first rule an SVG breaks, by element, then by rule: an aggregate over its nodes."""
     low = lambda c: F.lower(F.trim(c))
 
     def outside(value: Column) -> Column:
@@ -273,17 +282,11 @@ def svg_summary(nodes: DataFrame, policy: Policy = Policy()) -> DataFrame:
         F.when(start & name.isin("image", "audio", "video", "use") & href, "svg_external_reference_detected"),
         F.when(start & unsafe, "svg_active_content_rejected"),
     )
-    return _numbered(nodes).select("object_key", "seq", code.alias("code")).where("code is not null").groupBy("object_key").agg(F.min_by("code", "seq").alias("code"))
+    return _first("svg", code)
 
 
-def _numbered(nodes: DataFrame) -> DataFrame:
-    """Nodes with `element`: the number of start elements up to each, in one object."""
-    so_far = Window.partitionBy("object_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return nodes.withColumn("element", F.sum((F.col("event") == "start").cast("long")).over(so_far))
-
-
-def xml_summary(nodes: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(object_key, code): the first rule a parsed XML document breaks."""
+def xml_code(policy: Policy = Policy()) -> Column:
+    """The first rule a parsed XML document breaks: an aggregate over its nodes."""
     start = F.col("event") == "start"
     include = (F.lower("name") == "include") & (F.lower("namespace").isin("http://www.w3.org/2001/xinclude", "xi"))
     code = F.coalesce(
@@ -292,7 +295,7 @@ def xml_summary(nodes: DataFrame, policy: Policy = Policy()) -> DataFrame:
         F.when(start & ((F.col("depth") > policy.max_xml_depth) | (F.col("element") > policy.max_objects)), "markup_parser_limit_exceeded"),
         F.when(start & include, "xml_xinclude_detected"),
     )
-    return _numbered(nodes).select("object_key", "seq", code.alias("code")).where("code is not null").groupBy("object_key").agg(F.min_by("code", "seq").alias("code"))
+    return _first("xml", code)
 
 
 def rule_xml_text(text: Column) -> Column:
@@ -318,16 +321,10 @@ def _kind(options, mime: Column, name: Column) -> Column:
     return F.coalesce(*[F.when((normalize_mime(mime) == m) | (file_extension(name) == e), m) for e, m in options])
 
 
-def package_summary(entries: DataFrame, objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(object_key, code) of OOXML and ODF packages, from their entries with bodies.
-
-    `objects` has object_key, mime and original_name. A package needs its
-    declared parts, may hold no dangerous part or marker, and must keep to the
-    part and entry limits. Broken rules are named in the order they are checked.
-    """
-    who = objects.select("object_key", _kind(_MAIN_PARTS, F.col("mime"), F.col("original_name")).alias("ooxml"), _kind(_ODF_TYPES, F.col("mime"), F.col("original_name")).alias("odf"))
-    rows = entries.where("depth = 1").join(who.where("ooxml is not null or odf is not null"), "object_key")
+def package_aggregates(policy: Policy = Policy()) -> dict[str, Column]:
+    """What `package_code` needs of an OOXML or ODF package's entries, which have the type it should be in `ooxml` or `odf`."""
     name, text = F.lower("name"), F.lower(latin1(F.col("body")))
+    own = F.col("part") == "package"
     # the main part named for this type by the content types, as text between quotes
     override = F.filter(
         F.regexp_extract_all(latin1(F.col("body")), F.lit(r"(?is)<(?:\w+:)?override\b[^>]*>"), 0),
@@ -343,29 +340,35 @@ def package_summary(entries: DataFrame, objects: DataFrame, policy: Policy = Pol
     bad_part = F.when(F.col("ooxml").isNotNull(), contains_any(name, _OOXML_PARTS) | ((xml | name.endswith(".rels")) & contains_any(text, _OOXML_MARKERS))).otherwise(
         contains_any(name, _ODF_PARTS) | name.endswith(".bas") | (xml & contains_any(text, _ODF_MARKERS))
     )
-    bad = F.coalesce(over | bad_part, F.lit(False))
-    parts = rows.groupBy("object_key").agg(
-        F.max("ooxml").alias("as_ooxml"),
-        F.max("odf").alias("as_odf"),
-        F.count("name").alias("n"),
-        F.bool_or(F.col("error").isNotNull()).alias("broken"),
-        F.max(F.when(name == "[content_types].xml", F.coalesce(main, F.lit("")))).alias("main"),
-        F.collect_set(F.ltrim(name, F.lit("/"))).alias("names"),
-        F.max(F.when(name == "mimetype", F.trim(latin1(F.col("body"))))).alias("mimetype"),
-        F.bool_or((name == "meta-inf/manifest.xml") & roots).alias("root"),
-        F.min_by(F.when(over, "resource_limit_exceeded").otherwise("document_active_content_rejected"), F.when(bad, F.col("seq"))).alias("content"),
-        F.bool_or(bad).alias("bad_content"),
-    )
+    bad = own & F.coalesce(over | bad_part, F.lit(False))
+    return {
+        "as_ooxml": F.max(F.when(own, F.col("ooxml"))),
+        "as_odf": F.max(F.when(own, F.col("odf"))),
+        "entries": F.count(F.when(own, F.col("name"))),
+        "broken": F.bool_or(own & F.col("error").isNotNull()),
+        "main": F.max(F.when(own & (name == "[content_types].xml"), F.coalesce(main, F.lit("")))),
+        "names": F.collect_set(F.when(own, F.ltrim(name, F.lit("/")))),
+        "mimetype": F.max(F.when(own & (name == "mimetype"), F.trim(latin1(F.col("body"))))),
+        "root": F.bool_or(own & (name == "meta-inf/manifest.xml") & roots),
+        "content": F.min_by(F.when(over, "resource_limit_exceeded").otherwise("document_active_content_rejected"), F.when(bad, F.col("seq"))),
+    }
+
+
+def package_code(policy: Policy = Policy()) -> Column:
+    """The rule a package breaks, from its aggregates.
+
+    A package needs its declared parts, may hold no dangerous part or marker,
+    and must keep to the part and entry limits.
+    """
     has = lambda part: F.array_contains("names", part)
     bad_ooxml = F.col("as_ooxml").isNotNull() & (F.col("main").isNull() | (F.col("main") == "") | ~has(F.col("main")))
-    bad_odf = F.col("as_odf").isNotNull() & (F.coalesce(F.col("mimetype") != F.col("as_odf"), F.lit(True)) | ~F.col("root") | ~has("content.xml"))
-    code = F.coalesce(
+    bad_odf = F.col("as_odf").isNotNull() & (F.coalesce(F.col("mimetype") != F.col("as_odf"), F.lit(True)) | ~F.coalesce("root", F.lit(False)) | ~has("content.xml"))
+    return F.coalesce(
         F.when(F.col("broken"), "structural_validation_failed"),
-        F.when(F.col("n") > policy.max_entries, "resource_limit_exceeded"),
+        F.when(F.col("entries") > policy.max_entries, "resource_limit_exceeded"),
         F.when(bad_ooxml | bad_odf, "structural_validation_failed"),
-        F.when(F.col("bad_content"), F.col("content")),
+        F.col("content"),
     )
-    return parts.select("object_key", code.alias("code"))
 
 
 # --- all rules -------------------------------------------------------------------
@@ -373,74 +376,117 @@ def package_summary(entries: DataFrame, objects: DataFrame, policy: Policy = Pol
 RULES = ("size", "script", "declared", "extension", "deny", "allow", "image", "structure", "legacy", "mode", "content", "metadata")
 
 
-def screen(objects: DataFrame, policy: Policy = Policy(), explain: bool = False) -> DataFrame:
-    """Objects with `detected`, `mode` and `verdict`: the code of the first rule broken, null if accepted.
+_FAMILIES = ("image", "video", "jpeg", "png", "webp", "svg", "pdf", "ooxml", "odf", "legacy_office", "rtf", "markdown", "html", "xml")
 
-    Takes object_key, original_name, declared_type and content. With `explain`,
-    each rule's own verdict is returned too (`rule_...`), so that all broken
-    rules show. Content is unpacked only for the families that need it.
-    """
+
+def _typed(objects: DataFrame, policy: Policy) -> DataFrame:
+    """Objects with what name, declared type and first bytes tell: `detected`, `mode`, and `_` columns of the rules."""
     name, declared = F.col("original_name"), normalize_mime(F.col("declared_type"))
-    # the side tables need the type only, so each is worked out once per object and branch
-    rows = objects.withColumn("detected", detect_mime(F.col("content"), policy))
-    detected = F.col("detected")
-    rows = rows.withColumn("mime", F.when(declared != "", declared).otherwise(detected))
-    overrides = F.coalesce(*[F.when((F.col("mime") == k) | (file_extension(name) == k.lstrip(".")), v) for k, v in policy.per_type.items()], family_mode(F.col("mime"), name, policy))
-    rows = rows.withColumn("mode", overrides)
-    families = file_family(F.col("mime"), name)
+    rows = objects.withColumns({"_declared": declared, "detected": detect_mime(F.col("content"), policy)})
+    rows = rows.withColumn("_mime", F.when(F.col("_declared") != "", F.col("_declared")).otherwise(F.col("detected")))
+    mime = F.col("_mime")
+    rows = rows.withColumns({f"_{n}": c for n, c in file_family(mime, name).items()})
+    by_type = [F.when((mime == k) | (file_extension(name) == k.lstrip(".")), v) for k, v in policy.per_type.items()]
+    rows = rows.withColumn("mode", F.coalesce(*by_type, family_mode(mime, name, policy)))
+    return rows.withColumns(
+        {
+            "_on": F.lit(policy.sanitize) & (F.col("mode") != "accept_as_is"),
+            "_is_xml": ~F.col("_svg") & F.col("_xml"),
+            "_is_html": (F.col("_html") | F.col("_markdown")) & ~F.col("_xml") & ~F.col("_svg"),
+            "_watched": (F.col("mode") == "reject_on_sensitive_metadata") & ((F.col("_image") & ~F.col("_svg")) | F.col("_video")),
+        }
+    )
+
+
+def inside(objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """One row per object that is unpacked: object_key, what its chunks tell, svg_code, xml_code, package_code.
+
+    One pass over the contents of the families that need it, one grouping by key.
+    """
+    mime, name = F.col("_mime"), F.col("original_name")
+    parts = F.array_compact(
+        F.array(
+            F.when(F.col("_image") | F.col("_video"), "media"), F.when(F.col("_svg"), "svg"), F.when(F.col("_is_xml"), "xml"), F.when(F.col("_ooxml") | F.col("_odf"), "package")
+        )
+    )
+    wanted = _typed(objects.select("object_key", "original_name", "declared_type", "content"), policy).where("_on").withColumn("parts", parts).where("size(parts) > 0")
+    rows = unpacked(wanted.withColumns({"ooxml": _kind(_MAIN_PARTS, mime, name), "odf": _kind(_ODF_TYPES, mime, name)}), policy, keep_package_part)
+    made = {**media_aggregates(), "svg_code": svg_code(policy), "xml_code": xml_code(policy), **package_aggregates(policy)}
+    summary = rows.groupBy("object_key").agg(*[c.alias(n) for n, c in made.items()])
+    return summary.select("object_key", "png_ok", "has_metadata", "width", "height", "svg_code", "xml_code", package_code(policy).alias("package_code"))
+
+
+def screen(objects: DataFrame, policy: Policy = Policy(), explain: bool = False) -> DataFrame:
+    """Objects with `size`, `detected`, `mode` and `verdict`: the code of the first rule broken, null if accepted.
+
+    Takes object_key, original_name, declared_type and content; all columns but
+    the content are returned, which never leaves the tasks that read it: rules
+    on one row are worked out where the row is read, and what is inside a file
+    (unpacked only for the families that need it) comes back as one small row
+    per key. Rows that repeat a key are judged each, but unpacked as one. With
+    `explain`, each rule's own verdict is returned too (`rule_...`).
+    """
+    name, declared, detected, content = F.col("original_name"), F.col("_declared"), F.col("detected"), F.col("content")
+    families = {n: F.col(f"_{n}") for n in _FAMILIES}
+    rows = _typed(objects, policy).withColumns({"size": F.octet_length("content"), "_script": detect_script(content, name, policy)})
+    # one step after the other, so that none outgrows what code generation takes
     strict = F.col("mode").isin("secure_default", "reject_active_or_external_content", "reject_active_content")
-    on = F.lit(policy.sanitize) & (F.col("mode") != "accept_as_is")
-
-    # sanitisation switched off needs no unpacking
-    base = rows if policy.sanitize else rows.where(F.lit(False))
-
-    def part(*wanted: str) -> DataFrame:
-        return base.where(on & _any(families[w] for w in wanted))
-
-    media = media_summary(media_chunks(part("image", "video")))
-    svg = svg_summary(markup_nodes(part("svg"), policy), policy).withColumnRenamed("code", "svg_code")
-    is_xml = ~families["svg"] & families["xml"]
-    xml = xml_summary(markup_nodes(base.where(on & is_xml), policy), policy).withColumnRenamed("code", "xml_code")
-    packages = part("ooxml", "odf").withColumn("archive_kind", F.lit("zip"))
-    package = package_summary(archive_entries(packages, policy, keep_package_part), packages, policy).withColumnRenamed("code", "package_code")
-    for side in (media, svg, xml, package):
-        rows = rows.join(side, "object_key", "left")
-    rows = rows.withColumn("script", detect_script(F.col("content"), name, policy))
-
-    text = F.lower(latin1(F.col("content")))
-    size = F.coalesce(image_dimensions(F.col("content")), F.when(F.col("width").isNotNull(), F.struct("width", "height")))
-    raster = families["image"] & ~families["svg"]
-    plain = ~_any(families[f] for f in ("legacy_office", "rtf"))
-    html = (families["html"] | families["markdown"]) & ~families["xml"] & ~families["svg"]
-    content = F.coalesce(
-        F.when(families["svg"], F.col("svg_code")),
-        F.when(is_xml, F.coalesce(rule_xml_text(text), F.col("xml_code"))),
-        F.when(html, rule_markup_html(text, policy)),
-        F.when(families["pdf"], rule_pdf(F.col("content"), policy)),
-        F.col("package_code"),
+    plain = ~families["legacy_office"] & ~families["rtf"]
+    looked_at = F.col("_on") & plain & ((strict & (F.col("_is_xml") | F.col("_is_html") | families["pdf"])) | F.col("_watched"))
+    rows = rows.withColumns(
+        {
+            "_low": F.when(looked_at, F.lower(latin1(content))),
+            "_same": equivalent(declared, detected, policy),
+            "_compatible": declared_compatible(declared, detected, name),
+            "_allowed_script": F.col("_script.detected") & script_allowed(F.col("_script"), policy),
+        }
     )
-    marked = F.when(families["video"] & ~families["image"], contains_any(text, _VIDEO_MARKERS)).when(
-        ~_any(families[f] for f in ("png", "jpeg", "webp")), contains_any(text, ("exif", "xmp"))
-    ).otherwise(F.coalesce("has_metadata", F.lit(False)))
-    sensitive = (F.col("mode") == "reject_on_sensitive_metadata") & (raster | families["video"]) & marked
-    broken_png = families["png"] & ~F.coalesce("png_ok", F.lit(False))
-    rules = {
-        "size": rule_size(F.octet_length("content"), policy),
-        "script": rule_script(F.col("script"), policy),
-        "declared": rule_declared_mismatch(declared, detected, name, F.col("script.detected") & script_allowed(F.col("script"), policy), policy),
-        "extension": rule_extension_mismatch(name, declared, detected, policy),
-        "deny": rule_deny(declared, detected, policy),
-        "allow": rule_allow(declared, detected, policy),
-        "image": F.when(on & raster, rule_image_limits(size, policy)),
-        "structure": F.when(on & F.lit(policy.structural), F.coalesce(F.when(broken_png, "structural_validation_failed"), rule_structure(F.col("content"), families))),
-        "legacy": F.when(on, rule_legacy(families, F.col("mode"))),
-        "mode": F.when(on & plain, rule_mode_unavailable(families, F.col("mode"))),
-        "content": F.when(on & plain & strict, content),
-        "metadata": F.when(on & plain & sensitive, "sensitive_metadata_detected"),
-    }
-    out = rows.withColumns({f"rule_{n}": rules[n] for n in RULES}).withColumn("verdict", F.coalesce(*[F.col(f"rule_{n}") for n in RULES]))
-    kept = [*objects.columns, "detected", "mode", *([f"rule_{n}" for n in RULES] if explain else []), "verdict"]
-    return out.select(*kept)
+    low = F.col("_low")
+    rows = rows.withColumns(
+        {
+            "_html_code": F.when(F.col("_is_html"), rule_markup_html(low, policy)),
+            "_xml_text": F.when(F.col("_is_xml"), rule_xml_text(low)),
+            "_pdf_code": F.when(families["pdf"] & low.isNotNull(), rule_pdf(content, policy)),
+            "_shape": F.when(F.col("_on") & F.lit(policy.structural), rule_structure(content, families)),
+            "_pixels": F.when(F.col("_on") & families["image"], image_dimensions(content)),
+            "_marked": F.when(families["video"] & ~families["image"], contains_any(low, _VIDEO_MARKERS)).when(
+                ~(families["png"] | families["jpeg"] | families["webp"]), contains_any(low, ("exif", "xmp"))
+            ),
+        }
+    )
+    rows = rows.drop("content", "_low").withColumns(
+        {
+            "rule_size": rule_size(F.col("size"), policy),
+            "rule_script": rule_script(F.col("_script"), policy),
+            "rule_declared": rule_declared_mismatch(declared, detected, name, F.col("_allowed_script"), policy, F.col("_same") | F.col("_compatible")),
+            "rule_extension": rule_extension_mismatch(name, declared, detected, policy, F.col("_same") | F.col("_compatible")),
+            "rule_deny": rule_deny(declared, detected, policy),
+            "rule_allow": rule_allow(declared, detected, policy),
+            "rule_legacy": F.when(F.col("_on"), rule_legacy(families, F.col("mode"))),
+            "rule_mode": F.when(F.col("_on") & plain, rule_mode_unavailable(families, F.col("mode"))),
+        }
+    )
+    kept = [c for c in objects.columns if c != "content"]
+    rules = [f"rule_{n}" for n in RULES]
+    if policy.sanitize:
+        summary = inside(objects, policy)
+        rows = rows.join(summary.select("object_key", *[F.col(c).alias(f"_in_{c}") for c in summary.columns[1:]]), "object_key", "left")
+        size = F.coalesce("_pixels", F.when(F.col("_in_width").isNotNull(), F.struct(F.col("_in_width").alias("width"), F.col("_in_height").alias("height"))))
+        broken_png = F.when(families["png"] & ~F.coalesce("_in_png_ok", F.lit(False)), "structural_validation_failed")
+        content_code = F.coalesce(
+            F.when(families["svg"], F.col("_in_svg_code")), F.when(F.col("_is_xml"), F.coalesce("_xml_text", "_in_xml_code")), "_html_code", "_pdf_code", "_in_package_code"
+        )
+        own = {
+            "rule_image": F.when(F.col("_on") & families["image"] & ~families["svg"], rule_image_limits(size, policy)),
+            "rule_structure": F.when(F.col("_on") & F.lit(policy.structural), F.coalesce(broken_png, F.col("_shape"))),
+            "rule_content": F.when(F.col("_on") & plain & strict, content_code),
+            "rule_metadata": F.when(F.col("_on") & plain & F.col("_watched") & F.coalesce("_marked", "_in_has_metadata", F.lit(False)), "sensitive_metadata_detected"),
+        }
+    else:
+        # sanitisation switched off needs nothing of the inside
+        own = {n: F.lit(None).cast("string") for n in ("rule_image", "rule_structure", "rule_content", "rule_metadata")}
+    out = rows.withColumns(own).withColumn("verdict", F.coalesce(*rules))
+    return out.select(*kept, *[c for c in ("size", "detected", "mode") if c not in kept], *(rules if explain else []), "verdict")
 
 
 def with_archive_kind(objects: DataFrame) -> DataFrame:

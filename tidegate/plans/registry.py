@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("screening", "classifying", "archives", "catalogs", "texts", "streams")
+_MODULES = ("screening", "classifying", "archives", "catalogs", "texts", "files", "streams")
 _QUERIES: dict = {}
 _ORACLE: dict[str, str] = {}
 

@@ -95,7 +95,7 @@ def screen_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def screen_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many uploads and bytes each verdict takes."""
     rows = S.screen(uploads(spark, sf_dir), Policy(sanitize=False))
-    return rows.groupBy(F.coalesce("verdict", F.lit("accepted")).alias("verdict")).agg(F.count("*").alias("n"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+    return rows.groupBy(F.coalesce("verdict", F.lit("accepted")).alias("verdict")).agg(F.count("*").alias("n"), F.sum(F.col("size").cast("long")).alias("bytes"))
 
 
 _ALLOW = Policy(sanitize=False, allow_file_types=("text",), deny_file_types=("pdf",), allowed_script_types=("python",))

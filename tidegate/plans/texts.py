@@ -41,46 +41,65 @@ def byte_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.length("text") < 200).alias("short"), (right & (F.col("cut") == F.col("text"))).alias("whole"))
 
 
-@query("select doc_id, '?' || left(regexp_extract(text, '[A-Za-z]+'), 5) || '?' head, case when strlen(regexp_extract(text, '[A-Za-z]+')) >= 0 then 'invalid_utf8_replaced' end warning from documents where text is not null")
+@query(
+    f"""select doc_id, sha256({_CLEAN.format("case when contains(text, ' ') then regexp_replace(text, '[ ' || chr(65533) || ']+', '?', 'g') else text end")}) sha,
+  case when contains(text, ' ') then 'invalid_utf8_replaced' end warning from documents where text is not null"""
+)
 def invalid_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of invalid bytes become one `?` each, with a warning."""
-    word = F.substring(F.regexp_extract("text", "[A-Za-z]+", 0), 1, 5)
-    bad = F.concat(F.lit(b"\xff\xfe"), F.encode(word, "UTF-8"), F.lit(b"\xc3"))
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.normalize_text(bad, 1 << 20).alias("made"))
-    return rows.select("doc_id", F.col("made.text").alias("head"), F.get("made.warnings", F.lit(0)).alias("warning"))
+    """Whole texts with invalid bytes for their spaces: each run becomes one `?`, with a warning."""
+    bad = F.encode(F.replace(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), F.lit(" "), F.lit("\xff\xfe")), "ISO-8859-1")
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.normalize_text(bad, _MOST).alias("made"))
+    return rows.select("doc_id", F.sha2("made.text", 256).alias("sha"), F.get("made.warnings", F.lit(0)).alias("warning"))
+
+
+#: More bytes than a text here has.
+_MOST = 1 << 30
 
 
-def pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.lit("x"))
-    body = F.concat(F.lit("%PDF-1.4 /Title (T "), word, F.lit(") /Author ("), "source", F.lit(") /Title (U\\("), word, F.lit("\\)) /Subject (S) ( )"))
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.encode(body, "UTF-8").alias("content"))
+def _pdf_string(text: Column) -> Column:
+    for sign in ("\\", "(", ")"):
+        text = F.replace(text, F.lit(sign), F.lit("\\" + sign))
+    return F.concat(F.lit("("), text, F.lit(")"))
 
 
-_WORD = "coalesce(nullif(regexp_extract(text, '[A-Za-z]+'), ''), 'x')"
+_ASCII = "regexp_replace(text, '[^ -~]+', ' ', 'g')"
 
 
-@query(f"select doc_id, 'U(' || {_WORD} || ')' title, 'S' description from documents where text is not null")
+@query(f"select doc_id, sha256('U' || {_ASCII}) title, sha256('S' || {_ASCII}) description from documents where text is not null")
 def pdf_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title and description of PDFs: the last title, the subject over the author."""
-    rows = pdfs(spark, sf_dir).withColumn("info", T.pdf_info(F.col("content")))
-    return rows.select("doc_id", "info.title", "info.description")
+    """Title and description of PDFs that hold whole texts, escaped: the last title, the subject over the author."""
+    text = F.regexp_replace("text", "[^ -~]+", " ")
+    title, subject = _pdf_string(F.concat(F.lit("U"), text)), _pdf_string(F.concat(F.lit("S"), text))
+    body = F.concat(F.lit("%PDF-1.4 /Title (T) /Author ("), "source", F.lit(") /Title "), title, F.lit(" /Subject "), subject, F.lit(" ( )"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").withColumn("source", F.coalesce("source", F.lit("")))
+    rows = rows.select("doc_id", T.pdf_info(F.encode(body, "UTF-8")).alias("info"))
+    return rows.select("doc_id", F.sha2("info.title", 256).alias("title"), F.sha2("info.description", 256).alias("description"))
 
 
-@query(f"select doc_id, 'T ' || {_WORD} || chr(10) || source || chr(10) || 'U(' || {_WORD} || ')' || chr(10) || 'S' text, null::varchar warning from documents where text is not null")
+_LINES = "array_to_string(list_filter(string_split(text, chr(10))[1:10000], lambda x: trim(x, ' ') <> ''), chr(10))"
+
+
+@query(
+    f"""select doc_id, sha256(clean) sha, case when clean = '' then 'no_literal_pdf_text_found' end warning
+  from (select doc_id, {_CLEAN.format(_LINES)} clean from documents where text is not null)"""
+)
 def pdf_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All literals of PDFs, unescaped, blank ones left out."""
-    rows = pdfs(spark, sf_dir).withColumn("made", T.pdf_literal_text(F.col("content"), 1 << 20))
-    return rows.select("doc_id", F.col("made.text").alias("text"), F.get("made.warnings", F.lit(0)).alias("warning"))
+    """Every line of a text as a literal of a PDF, escaped, and all read back: blank ones are left out."""
+    body = F.concat(F.lit("%PDF-1.4 "), F.array_join(F.transform(F.split("text", "\n"), _pdf_string), "\n"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").withColumn("made", T.pdf_literal_text(F.encode(body, "UTF-8"), _MOST))
+    return rows.select("doc_id", F.sha2("made.text", 256).alias("sha"), F.get("made.warnings", F.lit(0)).alias("warning"))
 
 
-@query(f"select doc_id, {_WORD} title, case when doc_id % 2 = 0 then source end description from documents where text is not null")
+@query(f"select doc_id, sha256(nullif({_CLEAN.format('text')}, '')) title, case when doc_id % 2 = 0 then source end description from documents where text is not null")
 def xmp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title and description out of XMP packets between other bytes."""
-    word = F.coalesce(F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")), F.lit("x"))
-    tail = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<dc:description><rdf:li>"), "source", F.lit("</rdf:li></dc:description>"))).otherwise("")
-    body = F.concat(F.lit("junk<x:xmpmeta a='1'><dc:title><rdf:Alt><rdf:li>"), word, F.lit("</rdf:li></rdf:Alt></dc:title>"), tail, F.lit("</x:xmpmeta>rest"))
+    """Whole texts as titles in XMP packets between other bytes, read back with the description."""
+    title = F.col("text")
+    for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        title = F.replace(title, F.lit(sign), F.lit(code))
+    tail = F.when((F.col("doc_id") % 2 == 0) & F.col("source").isNotNull(), F.concat(F.lit("<dc:description><rdf:li>"), "source", F.lit("</rdf:li></dc:description>"))).otherwise("")
+    body = F.concat(F.lit("junk<x:xmpmeta a='1'><dc:title><rdf:Alt><rdf:li>"), title, F.lit("</rdf:li></rdf:Alt></dc:title>"), tail, F.lit("</x:xmpmeta>rest"))
     rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.xmp_metadata(F.encode(body, "UTF-8")).alias("m"))
-    return rows.select("doc_id", "m.title", "m.description")
+    return rows.select("doc_id", F.sha2("m.title", 256).alias("title"), "m.description")
 
 
 _NAMES = ("text/plain", "text/markdown", "video/mp4", "application/json")
@@ -118,54 +137,55 @@ def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files made of each text -------------------------------------------------------
 
 
-def _number(n: Column, size: int, little: bool) -> Column:
+def number_bytes(n: Column, size: int, little: bool) -> Column:
     """A whole number as `size` bytes."""
     digits = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
     places = [F.substring(digits, 2 * i + 1, 2) for i in range(size)]
     return F.unhex(F.concat(*(reversed(places) if little else places)))
 
 
-def _bytes(hexed: str) -> Column:
+def made_bytes(hexed: str) -> Column:
     return F.lit(bytes.fromhex(hexed))
 
 
-def stored_zip(parts: list[tuple[str, Column]]) -> Column:
+def stored_zip(parts: list[tuple[str | Column, Column]]) -> Column:
     """A zip file of uncompressed entries (name, content)."""
-    little = lambda n, size: _number(n, size, True)
+    little = lambda n, size: number_bytes(n, size, True)
     files, listing, at = [], [], F.lit(0).cast("long")
     for name, content in parts:
-        size = F.octet_length(content)
-        facts = F.concat(_bytes("00002100"), little(F.crc32(content), 4), little(size, 4), little(size, 4), little(F.lit(len(name)), 2), _bytes("0000"))
-        files.append(F.concat(_bytes("504b0304" + "140000000000"), facts, F.lit(name.encode()), content))
-        listing.append(F.concat(_bytes("504b0102" + "1400140000000000"), facts, _bytes("00" * 10), little(at, 4), F.lit(name.encode())))
-        at = at + 30 + len(name) + size
+        name = F.lit(name.encode()) if isinstance(name, str) else F.encode(name, "UTF-8")
+        size, length = F.octet_length(content), F.octet_length(name)
+        facts = F.concat(made_bytes("00002100"), little(F.crc32(content), 4), little(size, 4), little(size, 4), little(length, 2), made_bytes("0000"))
+        files.append(F.concat(made_bytes("504b0304" + "140000000000"), facts, name, content))
+        listing.append(F.concat(made_bytes("504b0102" + "1400140000000000"), facts, made_bytes("00" * 10), little(at, 4), name))
+        at = at + 30 + length + size
     n, central = F.lit(len(parts)), F.concat(*listing)
-    return F.concat(*files, central, _bytes("504b050600000000"), little(n, 2), little(n, 2), little(F.octet_length(central), 4), little(at, 4), _bytes("0000"))
+    return F.concat(*files, central, made_bytes("504b050600000000"), little(n, 2), little(n, 2), little(F.octet_length(central), 4), little(at, 4), made_bytes("0000"))
 
 
 def png_chunk(kind: str, data: Column) -> Column:
     body = F.concat(F.lit(kind.encode()), data)
-    return F.concat(_number(F.octet_length(data), 4, False), body, _number(F.crc32(body), 4, False))
+    return F.concat(number_bytes(F.octet_length(data), 4, False), body, number_bytes(F.crc32(body), 4, False))
 
 
-_LETTERS = "trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))"
+LETTERS = "trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))"
 
 
-def _plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("lang is not null and text is not null")
     return docs.select("doc_id", "lang", F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")).alias("c"))
 
 
 @query(
     f"""select doc_id, trim('one ' || c) || chr(10) || trim('ten ' || c) || chr(10) || trim('two ' || c) extracted, 'T' || doc_id title, lang creator, 'generated' status
-  from (select doc_id, lang, {_LETTERS} c from documents where lang is not null and text is not null)"""
+  from (select doc_id, lang, {LETTERS} c from documents where lang is not null and text is not null)"""
 )
 def office_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as three slides of a package, unpacked and parsed again: slide 10 comes before 2, and the core properties tell title and creator."""
     slide = lambda word: F.encode(F.concat(F.lit(f'<p:sld xmlns:p="p" xmlns:a="a"><a:t>{word} '), "c", F.lit("</a:t></p:sld>")), "UTF-8")
     core = F.concat(F.lit('<cp:coreProperties xmlns:cp="c" xmlns:dc="d"><dc:title>T'), F.col("doc_id").cast("string"), F.lit("</dc:title><dc:creator>"), "lang", F.lit("</dc:creator></cp:coreProperties>"))
     parts = [("ppt/slides/slide2.xml", slide("two")), ("ppt/slides/slide10.xml", slide("ten")), ("docProps/core.xml", F.encode(core, "UTF-8")), ("ppt/slides/slide1.xml", slide("one"))]
-    objects = _plain_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("object_key"), F.lit(PPTX).alias("content_type"), stored_zip(parts).alias("content"))
+    objects = plain_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("object_key"), F.lit(PPTX).alias("content_type"), stored_zip(parts).alias("content"))
     found = extract(stage(objects, "packages"))
     return found.select(
         F.col("object_key").cast("long").alias("doc_id"), F.col("content.texts")["extracted"].alias("extracted"), F.col("content.texts")["title"].alias("title"),
@@ -173,12 +193,12 @@ def office_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"select doc_id, nullif(c, '') description, case when c = '' then 'skipped' else 'generated' end status from (select doc_id, {_LETTERS} c from documents where lang is not null and text is not null)")
+@query(f"select doc_id, nullif(c, '') description, case when c = '' then 'skipped' else 'generated' end status from (select doc_id, {LETTERS} c from documents where lang is not null and text is not null)")
 def png_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as the description chunk of an image, read back whole."""
     header = F.lit(bytes.fromhex("00000002000000010802000000"))
     text = F.concat(F.lit(b"Description\0"), F.encode("c", "ISO-8859-1"))
-    image = F.concat(_bytes("89504e470d0a1a0a"), png_chunk("IHDR", header), png_chunk("tEXt", text), png_chunk("IEND", F.lit(b"")))
-    objects = _plain_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("object_key"), F.lit("image/png").alias("content_type"), image.alias("content"))
+    image = F.concat(made_bytes("89504e470d0a1a0a"), png_chunk("IHDR", header), png_chunk("tEXt", text), png_chunk("IEND", F.lit(b"")))
+    objects = plain_texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("object_key"), F.lit("image/png").alias("content_type"), image.alias("content"))
     found = extract(stage(objects, "images"))
     return found.select(F.col("object_key").cast("long").alias("doc_id"), F.col("content.texts")["description"].alias("description"), "status")

@@ -230,7 +230,7 @@ def screen_stream(spark: SparkSession, path: str, accepted: str, quarantine: str
     objects = files.select(F.col("path").alias("object_key"), F.regexp_extract("path", "([^/]*)$", 1).alias("original_name"), F.lit("").alias("declared_type"), "content")
 
     def each(batch: DataFrame, _: int) -> None:
-        rows = screen(batch, policy).persist()
+        rows = batch.join(screen(batch, policy).drop("original_name", "declared_type"), "object_key").persist()
         rows.where("verdict is null").drop("verdict").write.mode("append").parquet(accepted)
         rows.where("verdict is not null").write.mode("append").parquet(quarantine)
         rows.unpersist()
