@@ -37,16 +37,14 @@ def _objects(rows: DataFrame, kinds: list[tuple[str, str, Column]]) -> DataFrame
     return stage(made, "files")
 
 
-_PNG = made_bytes("89504e470d0a1a0a")
-_HEADER = png_chunk("IHDR", made_bytes("00000001000000010802000000"))
-
-
 def _png(*chunks: Column) -> Column:
-    return F.concat(_PNG, _HEADER, *chunks, png_chunk("IEND", F.lit(b"")))
+    header = png_chunk("IHDR", made_bytes("00000001000000010802000000"))
+    return F.concat(made_bytes("89504e470d0a1a0a"), header, *chunks, png_chunk("IEND", F.lit(b"")))
 
 
-_TYPES = F.lit(f'<Types><Override PartName="/word/document.xml" ContentType="{DOCX}.main+xml"/></Types>'.encode())
-_MANIFEST = F.lit(f'<m:manifest xmlns:m="m"><m:file-entry m:full-path="/" m:media-type="{ODT}"/></m:manifest>'.encode())
+#: Kept as bytes: a column needs a session, and this module is imported before there is one.
+_TYPES = f'<Types><Override PartName="/word/document.xml" ContentType="{DOCX}.main+xml"/></Types>'.encode()
+_MANIFEST = f'<m:manifest xmlns:m="m"><m:file-entry m:full-path="/" m:media-type="{ODT}"/></m:manifest>'.encode()
 
 
 def _with_packages(rows: DataFrame) -> DataFrame:
@@ -56,11 +54,11 @@ def _with_packages(rows: DataFrame) -> DataFrame:
     document, content = _text('<w:document xmlns:w="w"><w:t>', "</w:t></w:document>"), _text("<a>", "</a>")
     parts = {
         "name_1": F.when(word, "[Content_Types].xml").otherwise("mimetype"),
-        "body_1": F.when(word, _TYPES).when(n == 14, F.lit(ODT.encode())).otherwise(F.lit(f"{ODT}x".encode())),
+        "body_1": F.when(word, F.lit(_TYPES)).when(n == 14, F.lit(ODT.encode())).otherwise(F.lit(f"{ODT}x".encode())),
         "name_2": F.when(n == 13, "word/other.xml").when(word, "word/document.xml").otherwise("content.xml"),
         "body_2": F.when(word, document).otherwise(content),
         "name_3": F.when(n == 12, "word/vbaProject.bin").when(word, "word/styles.xml").otherwise("META-INF/manifest.xml"),
-        "body_3": F.when(word, F.lit(b"<a/>")).otherwise(_MANIFEST),
+        "body_3": F.when(word, F.lit(b"<a/>")).otherwise(F.lit(_MANIFEST)),
     }
     # parts are columns first, as each is used many times in the package
     return rows.withColumns(parts).withColumn("package", stored_zip([(F.col(f"name_{i}"), F.col(f"body_{i}")) for i in (1, 2, 3)]))
