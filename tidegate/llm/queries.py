@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, chat, decontamination, fingerprints, language_id, license_scan, near_dedup, substring_dedup, toxicity, url_filters
+from tidegate.llm import bpe, chat, decontamination, fingerprints, language_id, license_scan, near_dedup, periodic_runs, substring_dedup, toxicity, url_filters
 from tidegate.llm.common import table
 
 
@@ -89,6 +89,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def id_crc(column: str) -> Column:
+    """CRC-32 of the decimal id, unsigned."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """`docs` where in a tenth of the texts, chosen by id, the words from some place on repeat a period."""
+    g = F.floor(id_crc("doc_id") / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = F.size("words")
+    a, p = (g % n).cast("int"), (1 + F.floor((n - g % n) / (3 + g % 8))).cast("int")
+    docs = docs.select("doc_id", "text", F.when(id_crc("doc_id") % 10 == 0, words).alias("words")).withColumns({"a": F.when(n > 0, a), "p": F.when(n > 0, p)})
+    periodic = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return docs.select("doc_id", F.when(n > 0, F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = periodic_runs.best_run(F.col("runs"))
+    return rows.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic_runs.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"), "n_words", "n_dropped",
+    )
+
+
 def queries() -> dict:
     return {name: f for name, f in vars(sys.modules[__name__]).items() if name.startswith("op") and name[2].isdigit()}
 
