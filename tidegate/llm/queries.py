@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, chat, decontamination, fingerprints, language_id, license_scan, near_dedup, periodic_runs, substring_dedup, toxicity, url_filters
+from tidegate.llm import bpe, chat, decontamination, fingerprints, language_id, license_scan, near_dedup, periodic_runs, sharding, substring_dedup, toxicity, url_filters
 from tidegate.llm.common import table
 
 
@@ -114,6 +114,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("link")
+    )
+    return sharding.balanced_shards(rows).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
     return {name: f for name, f in vars(sys.modules[__name__]).items() if name.startswith("op") and name[2].isdigit()}
 
