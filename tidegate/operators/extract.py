@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.classify import extraction_route, normalize_mime, scanner_verdict
 from tidegate.functions.text import core_properties, normalize_text, normalize_whitespace, pdf_info, pdf_literal_text, xmp_metadata
-from tidegate.operators.jobs import archive_entries, markup_nodes, media_chunks
+from tidegate.operators.jobs import archive_entries, media_chunks
+from tidegate.operators.markup import markup_nodes
 from tidegate.operators.screen import latin1
 from tidegate.policy import DOCX, PPTX, XLSX, Policy
 
@@ -45,7 +46,7 @@ def ooxml_text(objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
     wanted = F.when(F.col("mime") == DOCX, "word/document.xml").when(F.col("mime") == XLSX, "xl/sharedStrings.xml").when(F.col("mime") == PPTX, "ppt/slides/slide")
     listed = parts.join(objects.select("object_key", wanted.alias("wanted")), "object_key").where("startswith(name, wanted)")
     both = F.concat("object_key", F.lit("\0"), "name")
-    nodes = markup_nodes(listed.select(both.alias("object_key"), F.col("body").alias("content")), policy, whole=True).where("event = 'text'")
+    nodes = markup_nodes(listed.select(both.alias("object_key"), F.col("body").alias("content"))).where("event = 'text'")
     texts = nodes.groupBy("object_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
     split = texts.select(F.substring_index("object_key", "\0", 1).alias("object_key"), F.substring_index("object_key", "\0", -1).alias("name"), "text")
     joined = split.groupBy("object_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "text"))), lambda x: x["text"]), "\n").alias("raw"))

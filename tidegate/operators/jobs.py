@@ -1,4 +1,4 @@
-"""Arrow jobs that unpack file formats into rows: archive entries, media chunks, markup nodes.
+"""Arrow jobs that unpack file formats into rows: archive entries, media chunks, and what a screening needs of a file.
 
 Each takes (object_key, original_name, mime, content) rows and emits many small
 ones; all limits and verdicts over them are DataFrame expressions elsewhere.
@@ -15,11 +15,11 @@ import struct
 import tarfile
 import zipfile
 import zlib
-from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidegate.operators.markup import judged
 from tidegate.policy import Policy
 
 ENTRY_SCHEMA = (
@@ -27,10 +27,9 @@ ENTRY_SCHEMA = (
     " is_special boolean, encrypted boolean, prefix binary, kind string, body binary, error string, codec string"
 )
 CHUNK_SCHEMA = "object_key string, seq int, depth int, type string, offset long, length long, crc_ok boolean, data binary, error string"
-NODE_SCHEMA = "object_key string, seq int, depth int, event string, name string, namespace string, attributes map<string,string>, text string"
 UNPACKED_SCHEMA = (
-    "object_key string, part string, seq long, depth int, name string, error string, type string, crc_ok boolean, data binary,"
-    " event string, element long, namespace string, attributes map<string,string>, size long, body binary, ooxml string, odf string"
+    "object_key string, part string, seq long, name string, error string, type string, crc_ok boolean, data binary,"
+    " attributes map<string,string>, size long, body binary, ooxml string, odf string"
 )
 
 _FIELDS = [f.split()[0] for f in ENTRY_SCHEMA.replace("\n", " ").split(", ")]
@@ -260,70 +259,6 @@ def media_chunks(df: DataFrame) -> DataFrame:
     return df.select("object_key", "content").mapInArrow(run, CHUNK_SCHEMA)
 
 
-def _nodes(data: bytes, limit: int | None):
-    """(depth, event, name, namespace, attributes, text) of markup, behind `limit` rows up to the next element only."""
-    rows: list[tuple] = []
-    spaces: list[dict] = [{}]
-    text: list[str] = []
-    parser = expat.ParserCreate()
-    parser.SetParamEntityParsing(expat.XML_PARAM_ENTITY_PARSING_NEVER)
-
-    class Enough(Exception):
-        pass
-
-    def flush():
-        if rows and text and "".join(text).strip():
-            rows.append((len(spaces) - 1, "text", rows[-1][2] if rows[-1][1] == "start" else None, None, None, "".join(text).strip()))
-        text.clear()
-
-    def start(name, attributes):
-        flush()
-        own = dict(spaces[-1])
-        own |= {k.partition(":")[2]: v for k, v in attributes.items() if k.split(":")[0] == "xmlns"}
-        spaces.append(own)
-        prefix, _, local = name.rpartition(":")
-        plain = {k.rpartition(":")[2].lower(): v for k, v in attributes.items() if k.split(":")[0] != "xmlns"}
-        rows.append((len(spaces) - 1, "start", local, own.get(prefix, prefix), plain, None))
-        if limit is not None and len(rows) > limit:
-            raise Enough
-
-    def end(name):
-        flush()
-        spaces.pop()
-
-    parser.StartElementHandler, parser.EndElementHandler = start, end
-    parser.CharacterDataHandler = text.append
-    parser.StartDoctypeDeclHandler = lambda name, *_: rows.append((len(spaces) - 1, "doctype", name, None, None, None))
-    try:
-        parser.Parse(data, True)
-    except Enough:
-        pass
-    except (expat.ExpatError, ValueError, LookupError):
-        rows.append((len(spaces) - 1, "error", None, None, None, None))
-    return rows
-
-
-def markup_nodes(df: DataFrame, policy: Policy = Policy(), whole: bool = False) -> DataFrame:
-    """One row for each start element, text, doctype or parse error of (object_key, content) rows, in order.
-
-    Entities are not resolved. For rules that count elements up to the policy's
-    limit, a document is left off where it must be beyond it; `whole` reads all.
-    """
-    limit = None if whole else 2 * policy.max_objects + 2
-
-    def run(batches):
-        for batch in batches:
-            for key, data in zip(batch.column(0), batch.column(1)):
-                rows = [(key.as_py(), i, *x) for i, x in enumerate(_nodes(data.as_py() or b"", limit))]
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
-                names = ["object_key", "seq", "depth", "event", "name", "namespace", "attributes", "text"]
-                columns = list(zip(*rows)) if rows else [[]] * 8
-                columns[6] = [None if a is None else list(a.items()) for a in columns[6]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-    return df.select("object_key", "content").mapInArrow(run, NODE_SCHEMA)
-
-
 #: Rows handed on at once by `unpacked`.
 _ROWS = 4096
 
@@ -333,31 +268,28 @@ def _unpacked_rows(key: str, part: str, data: bytes, ooxml, odf, policy: Policy,
     if part == "media":
         for i, (kind, _, _, crc_ok, body, error) in enumerate(_chunks(data)):
             # sizes stand in the head of a chunk
-            yield (key, part, i, 1, None, error, kind, crc_ok, body and body[:64], *(None,) * 8)
+            yield (key, part, i, None, error, kind, crc_ok, body and body[:64], *(None,) * 5)
     elif part == "package":
         u = _Unpacker(key, policy, keep)
         u.unpack("zip", data, "", 1, "")
         for row in u.rows:
             at = dict(zip(_FIELDS, row))
             if at["depth"] == 1:
-                yield (key, part, at["seq"], 1, at["name"], at["error"], *(None,) * 7, at["size"], at["body"], ooxml, odf)
+                yield (key, part, at["seq"], at["name"], at["error"], *(None,) * 4, at["size"], at["body"], ooxml, odf)
     else:
-        element = 0
-        for i, (depth, event, name, namespace, attributes, _) in enumerate(_nodes(data, 2 * policy.max_objects + 2)):
-            element += event == "start"
-            if event != "text":
-                yield (key, part, i, depth, name, None, None, None, None, event, element, namespace, attributes and list(attributes.items()), *(None,) * 4)
+        code, root, size = judged(part, data, policy)
+        yield (key, part, 0, root, code, None, None, None, list(size.items()), *(None,) * 4)
 
 
 def unpacked(df: DataFrame, policy: Policy = Policy(), keep=_no_body) -> DataFrame:
     """All rows a screening needs of (object_key, parts, ooxml, odf, content) rows, in one pass over the contents.
 
     `parts` lists what an object is read as: `media` (chunks), `svg` or `xml`
-    (elements, doctypes and errors, `element` being the start elements so far)
+    (one row: the first rule broken in `error`, the root and its size)
     and `package` (zip entries, of bodies those that `keep` names).
     """
     words, whole, raw = pa.string(), pa.int64(), pa.binary()
-    kinds = [words, words, whole, pa.int32(), words, words, words, pa.bool_(), raw, words, whole, words, pa.map_(words, words), whole, raw, words, words]
+    kinds = [words, words, whole, words, words, words, pa.bool_(), raw, pa.map_(words, words), whole, raw, words, words]
     names = [f.split()[0] for f in UNPACKED_SCHEMA.replace("map<string,string>", "map").split(",")]
 
     def made(rows):

@@ -243,59 +243,20 @@ def media_aggregates() -> dict[str, Column]:
     }
 
 
-def _first(part: str, code: Column) -> Column:
-    """The first code among an object's rows of a part."""
-    return F.min_by(code, F.when((F.col("part") == part) & code.isNotNull(), F.col("seq")))
-
-
 def svg_code(policy: Policy = Policy()) -> Column:
-    """The first rule an SVG breaks, by element, then by rule: an aggregate over its nodes."""
-    low = lambda c: F.lower(F.trim(c))
-
-    def outside(value: Column) -> Column:
-        value = low(value)
-        data = value.startswith("data:") & F.lit(not policy.svg_data_urls)
-        return data | value.rlike("^(https?:|//|file:)")
-
-    name = F.lower("name")
-    attributes = F.map_entries(F.coalesce("attributes", F.create_map().cast("map<string,string>")))
-    href = F.exists(attributes, lambda a: (a["key"] == "href") & outside(a["value"]))
-    unsafe = F.exists(
-        attributes,
-        lambda a: a["key"].startswith("on")
-        | (a["key"].isin("href", "src") & outside(a["value"]))
-        | ((a["key"] == "style") & contains_any(low(a["value"]), ("url(", "@import")))
-        | (~a["key"].isin("href", "src", "style") & low(a["value"]).contains("javascript:")),
-    )
+    """The first rule an SVG breaks: an aggregate over its verdict, with the rules on its root and size."""
     get = lambda k: F.col("attributes")[k]
     size = svg_dimensions(get("width"), get("height"), get("viewbox"))
-    over = (size["width"] > policy.max_image_width) | (size["height"] > policy.max_image_height) | (size["width"] * size["height"] > policy.max_image_pixels)
-    is_root = F.col("element") == 1
-    start = F.col("event") == "start"
-    code = F.coalesce(
-        F.when(F.col("event") == "error", "structural_validation_failed"),
-        F.when(start & ((F.col("depth") > policy.max_xml_depth) | (F.col("element") > policy.max_objects)), "resource_limit_exceeded"),
-        F.when(start & is_root & (name != "svg"), "structural_validation_failed"),
-        F.when(start & is_root & over, "resource_limit_exceeded"),
-        F.when(start & (name == "script"), "svg_script_detected"),
-        F.when(start & name.isin("foreignobject", "iframe", "object", "embed"), "svg_active_content_rejected"),
-        F.when(start & name.isin("image", "audio", "video", "use") & href, "svg_external_reference_detected"),
-        F.when(start & unsafe, "svg_active_content_rejected"),
-    )
-    return _first("svg", code)
-
-
-def xml_code(policy: Policy = Policy()) -> Column:
-    """The first rule a parsed XML document breaks: an aggregate over its nodes."""
-    start = F.col("event") == "start"
-    include = (F.lower("name") == "include") & (F.lower("namespace").isin("http://www.w3.org/2001/xinclude", "xi"))
-    code = F.coalesce(
-        F.when(F.col("event") == "error", "structural_validation_failed"),
-        F.when(F.col("event") == "doctype", "xml_external_entity_detected"),
-        F.when(start & ((F.col("depth") > policy.max_xml_depth) | (F.col("element") > policy.max_objects)), "markup_parser_limit_exceeded"),
-        F.when(start & include, "xml_xinclude_detected"),
-    )
-    return _first("xml", code)
+    over = F.lit(False)
+    for limit, value in ((policy.max_image_width, size["width"]), (policy.max_image_height, size["height"]), (policy.max_image_pixels, size["width"] * size["height"])):
+        over = over | F.coalesce(value > limit, F.lit(False)) if limit > 0 else over
+    code = F.coalesce(F.when(F.col("name") != "svg", "structural_validation_failed"), F.when(over, "resource_limit_exceeded"), F.col("error"))
+    return F.max(F.when(F.col("part") == "svg", code))
+
+
+def xml_code() -> Column:
+    """The first rule a parsed XML document breaks: an aggregate over its verdict."""
+    return F.max(F.when(F.col("part") == "xml", F.col("error")))
 
 
 def rule_xml_text(text: Column) -> Column:
@@ -411,7 +372,7 @@ def inside(objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
     )
     wanted = _typed(objects.select("object_key", "original_name", "declared_type", "content"), policy).where("_on").withColumn("parts", parts).where("size(parts) > 0")
     rows = unpacked(wanted.withColumns({"ooxml": _kind(_MAIN_PARTS, mime, name), "odf": _kind(_ODF_TYPES, mime, name)}), policy, keep_package_part)
-    made = {**media_aggregates(), "svg_code": svg_code(policy), "xml_code": xml_code(policy), **package_aggregates(policy)}
+    made = {**media_aggregates(), "svg_code": svg_code(policy), "xml_code": xml_code(), **package_aggregates(policy)}
     summary = rows.groupBy("object_key").agg(*[c.alias(n) for n, c in made.items()])
     return summary.select("object_key", "png_ok", "has_metadata", "width", "height", "svg_code", "xml_code", package_code(policy).alias("package_code"))
 

@@ -172,3 +172,28 @@ def archive_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     found = inspect(_objects(rows, kinds), Policy(max_depth=2, max_probe_bytes=2000))
     return found.select(F.col("object_key").cast("long").alias("doc_id"), "code", "entry")
+
+
+_MOST = 400
+_TAILS = ("", "<script/>", '<use href="https://x/y"/>', "", '<x:include xmlns:x="http://www.w3.org/2001/XInclude"/>', "<b><c/></b>")  # the last is too deep
+
+
+@query(
+    f"""with words as (select doc_id, doc_id % 6 k, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) n from documents)
+select doc_id, case when n + 1 > {_MOST} or (k in (1, 2, 4, 5) and n + 2 > {_MOST}) then case when k < 3 then 'resource_limit_exceeded' else 'markup_parser_limit_exceeded' end
+  when k = 1 then 'svg_script_detected' when k = 2 then 'svg_external_reference_detected' when k = 4 then 'xml_xinclude_detected' when k = 5 then 'markup_parser_limit_exceeded' end verdict from words"""
+)
+def screen_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of each whole text as an element with text within and behind it, something forbidden as the last one: SVG for three of six documents, else XML."""
+    k = F.col("doc_id") % 6
+    words = F.array_join(F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), 0), lambda w: F.concat(F.lit("<g>"), w, F.lit("</g> "), w)), " ")
+    tail = _choose([F.lit(t) for t in _TAILS])
+    vector = k < 3
+    head = F.when(vector, '<svg xmlns="http://www.w3.org/2000/svg">').otherwise('<?xml version="1.0"?><a>')
+    content = F.encode(F.concat(head, words, tail, F.when(vector, "</svg>").otherwise("</a>")), "UTF-8")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").cast("string").alias("object_key"), F.when(vector, "a.svg").otherwise("a.xml").alias("original_name"),
+        F.when(vector, "image/svg+xml").otherwise("application/xml").alias("declared_type"), content.alias("content"),
+    )
+    found = screen(stage(rows, "markup"), Policy(max_objects=_MOST, max_xml_depth=2))
+    return found.select(F.col("object_key").cast("long").alias("doc_id"), "verdict")
