@@ -8,8 +8,9 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, chat, decontamination, fingerprints, language_id, license_scan, near_dedup, periodic_runs, sharding, substring_dedup, toxicity, url_filters
-from tidegate.llm.common import table
+from tidegate.llm import bpe, chat, decontamination, fingerprints, language_id, license_scan, near_dedup, periodic_runs, prefix_trie, sharding, substring_dedup, toxicity, url_filters
+from tidegate.llm.common import stage, table
+from tidegate.llm.ordered import running
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -89,6 +90,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv, depth, turn, chars) and (conv): each conversation behind the first turns of the first of its hundred.
+
+    Turns are put in order of turn, ties in order of role and text; rows with a null conv_id are left out.
+    """
+    said = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    slim = ["conv", prefix_trie.turn_digest(F.col("role"), F.col("text")).alias("turn"), F.length("text").cast("long").alias("chars")]
+    ranked, _ = running(said, "conv", ["at", "role", "text"], keep=slim)
+    heads = stage(ranked.where((F.col("conv") % 100 == 0) & (F.col("place") < 5)).select(F.col("conv").alias("base"), "place", "turn", "chars"), "heads")
+    convs = ranked.groupBy("conv").agg(F.count("*").alias("n")).withColumns({"base": F.col("conv") - F.col("conv") % 100, "h": id_crc("conv") % 6})
+    # a head of fewer turns moves what follows up
+    given = heads.groupBy("base").agg(F.count("*").alias("given"))
+    convs = stage(convs.join(given, "base", "left").withColumn("given", F.least("h", F.coalesce("given", F.lit(0).cast("long")))), "convs")
+    taken = convs.select("conv", "base", "given").join(heads, "base").where(F.col("place") < F.col("given")).select("conv", (F.col("place") + 1).alias("depth"), "turn", "chars")
+    # a long conversation's rows are spread over several keys
+    part = lambda place: F.floor(place / 64)
+    spread = convs.where("n > h").select("conv", "h", "given", F.explode(F.sequence(part(F.col("h")), part(F.col("n") - 1))).alias("part"))
+    own = ranked.withColumn("part", part(F.col("place"))).join(spread, ["conv", "part"]).where(F.col("place") >= F.col("h"))
+    return taken.unionAll(own.select("conv", (F.col("given") + F.col("place") - F.col("h") + 1).alias("depth"), "turn", "chars")), convs.select("conv")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(*rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
 def id_crc(column: str) -> Column:
     """CRC-32 of the decimal id, unsigned."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
