@@ -103,3 +103,16 @@ def test_members_are_digested_in_chunks(spark, monkeypatch):
 def test_query_matches_plain_prefixes(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert taken(queries.op11_prefix_trie(spark, data)) == plain_nodes(plain_rebuilt(rows))
+
+
+def test_sql_gives_the_same_nodes(data):
+    import duckdb
+
+    con = duckdb.connect()
+    for folder in (data, data.replace("sf0.001", "sf0.01")):
+        con.execute(f"create or replace view conversations as select * from '{folder}/conversations.parquet'")
+        got = con.execute(queries.oracle_sql()["op11_prefix_trie"])
+        order = [[c[0] for c in got.description].index(c) for c in COLUMNS]
+        rows = con.execute("select conv_id, turn, role, text from conversations").fetchall()
+        got = con.execute(queries.oracle_sql()["op11_prefix_trie"]).fetchall()
+        assert sorted((tuple(r[i] for i in order) for r in got), key=repr) == plain_nodes(plain_rebuilt(rows))

@@ -155,6 +155,13 @@ def queries() -> dict:
 _HOST = "translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: CRC-32 of a text of ASCII signs, bit by bit.
+_CRC = (
+    "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)),"
+    " lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"
+)
+
+
 def _rule_sql(host: str, path: str, what: int) -> str:
     ordered = sorted(url_filters.RULES, key=lambda r: -len(r[0] + r[1]))
     value = lambda h, p, v: (h + p, v)[what]
@@ -189,6 +196,22 @@ spoken as (select conv_id, count(*) n_turns,
   coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '') loss,
   sum(length('<|im_start|>') + length(safe_role) + 1 + length(safe) + length('<|im_end|>') + 1) formatted_chars from safe group by conv_id)
 select conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256, cast(formatted_chars as bigint) formatted_chars from spoken""",
+    "op11_prefix_trie": f"""
+with said as (select conv_id c, coalesce(role, '') r, coalesce(text, '') t, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 place from conversations where conv_id is not null),
+convs as (select c, c - c % 100 base, {_CRC.format("cast(c as varchar)")} % 6 h from (select distinct c from said)),
+taken as (select v.c, s.place + 1 depth, s.r, s.t from convs v join said s on s.c = v.base and s.place < v.h),
+own as (select v.c, s.place - v.h + 1 + coalesce((select count(*) from taken t where t.c = v.c), 0) depth, s.r, s.t from convs v join said s on s.c = v.c and s.place >= v.h),
+rebuilt as (select c, depth, r, t, string_agg(sha256(r || chr(0) || t), '') over (partition by c order by depth) prefix from (select * from taken union all select * from own)),
+spots as (select c, 0 depth, '' prefix, 0 chars from convs union all select c, depth, prefix, length(t) chars from rebuilt),
+lengths as (select c, max(depth) len from spots group by c),
+nodes as (select prefix, any_value(depth) depth, min(c) conv_id, count(*) n_convs, any_value(chars) chars,
+    sha256(coalesce(string_agg(case when depth = len then cast(c as varchar) end, ',' order by c), '')) ends_sha256 from spots join lengths using (c) group by prefix),
+linked as (select n.*, left(prefix, greatest(length(prefix) - 64, 0)) above from nodes n),
+kids as (select above, count(*) n from linked where depth > 0 group by above),
+full_nodes as (select l.*, coalesce(k.n, 0) n_children from linked l left join kids k on k.above = l.prefix),
+below as (select v.prefix, count(case when w.n_children = 0 then 1 end) n_leaves, sum((w.n_convs - 1) * w.chars) saved from full_nodes v join full_nodes w on starts_with(w.prefix, v.prefix) group by v.prefix)
+select v.conv_id, v.depth, p.conv_id parent_conv_id, v.n_convs, v.n_children, b.n_leaves, cast(b.saved as bigint) saved_tokens, v.ends_sha256
+from full_nodes v join below b using (prefix) left join full_nodes p on p.prefix = v.above and v.depth > 0""",
 }
 
 
