@@ -129,10 +129,11 @@ _SIGNATURES = (
 _HTML_STARTS = ("<!doctype html", "<html", "<head", "<script", "<iframe", "<h1", "<div", "<font", "<table", "<a ", "<style", "<title", "<body", "<br", "<p>", "<!--")
 
 
-def detect_mime(content: Column, policy: Policy = Policy()) -> Column:
+def detect_mime(content: Column, policy: Policy = Policy(), is_json: Column | None = None) -> Column:
     """MIME type by the first bytes: published signatures, then markup and text; empty content gives blank.
 
-    What begins like JSON is parsed as a whole, however long it is.
+    What begins like JSON is parsed as a whole, however long it is; where `content` is only the
+    start of something, `is_json` says whether it may go on as JSON.
 
     Types without a signature here are `text/plain` if no byte is a control
     sign, else `application/octet-stream`.
@@ -143,7 +144,7 @@ def detect_mime(content: Column, policy: Policy = Policy()) -> Column:
     # one pattern for each look at the text, as every use of a made column in a branch is worked out anew
     start = r"^(?:ï»¿)?[\t\n\f\r ]*"
     html = "|".join(re.escape(x) for x in _HTML_STARTS)
-    json = text.rlike(start + r"[{\[]") & F.try_parse_json(F.decode(content, "ISO-8859-1")).isNotNull()
+    json = text.rlike(start + r"[{\[]") & F.try_parse_json(F.decode(content, "ISO-8859-1")).isNotNull() if is_json is None else is_json
     options += [
         F.when(text.rlike(f"{start}(?i:{html})"), "text/html"),
         F.when(text.rlike(rf"(?s){start}(?i:<svg|<\?xml.*<svg)"), "image/svg+xml"),

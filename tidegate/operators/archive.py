@@ -1,8 +1,9 @@
 """Archive guard: per-entry checks, running budgets and one verdict per archive, over entry rows.
 
 Entry rows have object_key, level, depth, seq, name, size, compressed_size,
-archive_size, is_dir, is_link, is_special, encrypted, prefix, kind (of an entry
-that is an archive itself), error, codec (of what a single stream expands to). They
+archive_size, is_dir, is_link, is_special, encrypted, prefix, json (whether the prefix
+may go on as JSON), kind (of an entry that is an archive itself), error, codec (of what
+a single stream expands to). They
 come from `jobs.archive_entries` or from any table in that shape.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 
 from tidegate.functions.classify import archive_kind, clean_archive_path, detect_mime, detect_script, file_extension, safe_segment, script_allowed
 from tidegate.operators.jobs import archive_entries
-from tidegate.operators.screen import expected_types
+from tidegate.operators.screen import declared_compatible, expected_types
 from tidegate.policy import Policy
 
 
@@ -77,15 +78,15 @@ def entry_type_screen(entries: DataFrame, policy: Policy = Policy()) -> DataFram
     expected = expected_types(ext, policy)
     body = F.col("name").isNotNull() & ~F.col("is_dir") & ~F.col("is_link") & ~F.col("is_special") & ~F.col("encrypted")
     script = detect_script(F.col("prefix"), F.col("name"), policy)
-    detected = detect_mime(F.col("prefix"), policy)
+    # what is looked at is cut, so that it begins like JSON is for the reader to say
+    detected = detect_mime(F.col("prefix"), policy, F.coalesce("json", F.lit(False)) if "json" in entries.columns else None)
     fits = F.coalesce(F.array_contains(expected, F.col("detected")), F.lit(False))
-    package = ext.isin("docx", "xlsx", "pptx", "odt", "ods", "odp") & (F.col("detected") == "application/zip")
-    plain = ext.isin("csv", "md", "markdown", "json", "xml", "html", "htm", "txt") & (F.col("detected") == "text/plain")
+    stands_for = F.exists(expected, lambda e: declared_compatible(e, F.col("detected"), F.col("name")))
     empty = F.octet_length(F.coalesce("prefix", F.lit(b""))) == 0
     return entries.withColumns({"detected": detected, "script": script}).withColumns(
         {
             "check_script": F.when(body & F.lit(policy.reject_scripts) & F.col("script.detected") & ~script_allowed(F.col("script"), policy), "archive_entry_script_rejected"),
-            "check_type": F.when(body & expected.isNotNull() & (empty | ~(fits | package | plain)), "archive_entry_type_mismatch"),
+            "check_type": F.when(body & expected.isNotNull() & (empty | ~(fits | stands_for)), "archive_entry_type_mismatch"),
         }
     ).drop("script")
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,19 +10,10 @@ from pyspark.sql import functions as F
 
 from tidegate.functions.classify import extraction_route, normalize_mime, scanner_verdict
 from tidegate.functions.text import core_properties, normalize_text, normalize_whitespace, pdf_info, pdf_literal_text, xmp_metadata
-from tidegate.operators.jobs import archive_entries, media_chunks
-from tidegate.operators.markup import markup_nodes
+from tidegate.operators.jobs import media_chunks
+from tidegate.operators.office import with_office_parts
 from tidegate.operators.screen import latin1
-from tidegate.policy import DOCX, PPTX, XLSX, Policy
-
-
-#: Limits that guard archives, lifted: the size of the package is what bounds its text.
-_UNBOUNDED = {"max_entries": (1 << 31) - 1, "max_total_bytes": 1 << 62, "max_entry_bytes": 1 << 62, "max_name_bytes": 1 << 30, "max_depth": 1}
-
-
-def _keep_text_part(name: str) -> bool:
-    return name in ("word/document.xml", "xl/sharedStrings.xml", "docProps/core.xml") or (name.startswith("ppt/slides/slide") and name.endswith(".xml"))
-
+from tidegate.policy import Policy
 
 def png_text_metadata(chunks: DataFrame) -> DataFrame:
     """(object_key, title, description) from PNG tEXt chunks; later ones win."""
@@ -34,28 +24,17 @@ def png_text_metadata(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("object_key").agg(last(["title"]).alias("title"), last(["description", "subject", "comment"]).alias("description"))
 
 
-def ooxml_text(objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(object_key, text, warnings, core, broken) of office packages: parts in order of name as text, their texts joined by spaces.
+def ooxml_text(packages: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """`packages` (mime, content and others) with office_text, office_warnings, core and broken; contents are emptied.
 
-    All parts are read, whatever the policy grants archives; a package that cannot be read to its end is broken.
+    Parts are taken in order of name as text, their texts joined by spaces, 32 MB of a part at most; the archive limits
+    do not count. What is no package is broken; a part that cannot be read ends where it does.
     """
-    packages = objects.withColumn("archive_kind", F.lit("zip"))
-    entries = archive_entries(packages, replace(policy, **_UNBOUNDED), _keep_text_part).where("depth = 1")
-    parts = entries.where("body is not null").select("object_key", "name", "body")
-    broken = entries.where("error is not null").select("object_key").distinct().withColumn("broken", F.lit(True))
-    wanted = F.when(F.col("mime") == DOCX, "word/document.xml").when(F.col("mime") == XLSX, "xl/sharedStrings.xml").when(F.col("mime") == PPTX, "ppt/slides/slide")
-    listed = parts.join(objects.select("object_key", wanted.alias("wanted")), "object_key").where("startswith(name, wanted)")
-    both = F.concat("object_key", F.lit("\0"), "name")
-    nodes = markup_nodes(listed.select(both.alias("object_key"), F.col("body").alias("content"))).where("event = 'text'")
-    texts = nodes.groupBy("object_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("text"))
-    split = texts.select(F.substring_index("object_key", "\0", 1).alias("object_key"), F.substring_index("object_key", "\0", -1).alias("name"), "text")
-    joined = split.groupBy("object_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "text"))), lambda x: x["text"]), "\n").alias("raw"))
-    core = parts.where("name = 'docProps/core.xml'").select("object_key", core_properties(F.decode("body", "UTF-8")).alias("core"))
+    rows = with_office_parts(packages, policy)
     made = normalize_text(F.encode(F.coalesce("raw", F.lit("")), "UTF-8"), policy.max_output_bytes)
-    return (
-        objects.select("object_key").join(joined, "object_key", "left").join(core, "object_key", "left").join(broken, "object_key", "left").withColumn("made", made)
-        .select("object_key", F.col("made.text").alias("text"), F.concat("made.warnings", F.when(F.col("made.text") == "", F.array(F.lit("no_ooxml_text_found"))).otherwise(F.array().cast("array<string>"))).alias("warnings"), "core", F.coalesce("broken", F.lit(False)).alias("broken"))
-    )
+    rows = rows.withColumn("made", made).withColumn("core", F.when(F.col("core").isNotNull(), core_properties(F.decode("core", "UTF-8"))))
+    warnings = F.concat("made.warnings", F.when(F.col("made.text") == "", F.array(F.lit("no_ooxml_text_found"))).otherwise(F.array().cast("array<string>")))
+    return rows.select(*packages.columns, F.col("made.text").alias("office_text"), warnings.alias("office_warnings"), "core", "broken")
 
 
 def extract(objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
@@ -65,25 +44,31 @@ def extract(objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
     office packages and PDFs parsed, images give their metadata, others are
     skipped. Returns object_key, content (texts, sources, metadata), status
     (generated, skipped, failed), error_code, has_text, has_ocr, has_metadata.
+    Each row is worked out where it is read; only what images say comes back by key, after contents are left behind.
     """
-    rows = objects.withColumn("mime", normalize_mime(F.col("content_type"))).withColumn("route", extraction_route(F.col("content_type")))
-    rows = rows.withColumn("too_large", F.octet_length("content") > policy.max_extract_bytes).withColumn("original_name", F.lit(""))
-    fit = rows.where("not too_large")
-    office = ooxml_text(fit.where("route = 'ooxml'").select("object_key", "mime", "original_name", "content"), policy).withColumnsRenamed({"text": "office_text", "warnings": "office_warnings"})
-    png = png_text_metadata(media_chunks(fit.where("route = 'image'"))).withColumnsRenamed({"title": "png_title", "description": "png_description"})
-    rows = rows.join(office, "object_key", "left").join(png, "object_key", "left")
+    rows = objects.select("object_key", "content_type", "content").withColumn("mime", normalize_mime(F.col("content_type"))).withColumn("route", extraction_route(F.col("content_type")))
+    rows = rows.withColumn("too_large", F.coalesce(F.octet_length("content") > policy.max_extract_bytes, F.lit(False)))
+    png = png_text_metadata(media_chunks(rows.where("not too_large and route = 'image'"))).withColumnsRenamed({"title": "png_title", "description": "png_description"})
+    is_office = F.coalesce(~F.col("too_large") & (F.col("route") == "ooxml"), F.lit(False))
+    office = ooxml_text(rows.where(is_office), policy)
+    none_of = [F.lit(None).cast(office.schema[c].dataType).alias(c) for c in office.columns[len(rows.columns) :]]
+    rows = rows.where(~is_office).select("*", *none_of).unionAll(office)
 
     plain, pdf = normalize_text(F.col("content"), policy.max_output_bytes), pdf_literal_text(F.col("content"), policy.max_output_bytes)
     is_ = lambda route: F.col("route") == route
     none = F.array().cast("array<string>")
+    # worked out while the content is there
+    rows = rows.withColumns({
+        "plain": F.when(is_("text") & ~F.col("too_large"), plain), "pdf": F.when(is_("pdf") & ~F.col("too_large"), pdf), "info": F.when(is_("pdf"), pdf_info(F.col("content"))),
+        "xmp": F.when(F.col("mime").isin("image/jpeg", "image/pjpeg"), xmp_metadata(F.col("content"))),
+    }).drop("content").join(png, "object_key", "left")
+    plain, pdf, info, xmp = F.col("plain"), F.col("pdf"), F.col("info"), F.col("xmp")
     text = F.when(is_("text"), plain["text"]).when(is_("pdf"), pdf["text"]).when(is_("ooxml"), F.col("office_text"))
-    warnings = F.when(is_("text"), plain["warnings"]).when(is_("pdf"), F.concat(F.array(F.lit("pdftotext_unavailable")), pdf["warnings"])).when(is_("ooxml"), F.coalesce("office_warnings", none)).when(is_("other"), F.array(F.lit("unsupported_content_type"))).otherwise(none)
+    warnings = F.when(is_("text"), F.coalesce(plain["warnings"], none)).when(is_("pdf"), F.concat(F.array(F.lit("pdftotext_unavailable")), F.coalesce(pdf["warnings"], none))).when(is_("ooxml"), F.coalesce("office_warnings", none)).when(is_("other"), F.array(F.lit("unsupported_content_type"))).otherwise(none)
     backend = F.when(is_("text"), "direct_text").when(is_("pdf"), "pdf_literal_parser").when(is_("ooxml"), "ooxml_parser").when(is_("image"), "image_metadata").otherwise("direct_text")
     meta = F.lit(policy.extract_metadata)
-    is_jpeg = F.col("mime").isin("image/jpeg", "image/pjpeg")
-    info, xmp = pdf_info(F.col("content")), xmp_metadata(F.col("content"))
-    title = F.when(meta, F.when(is_("pdf"), info["title"]).when(is_("ooxml"), F.col("core.title")).when(is_("image"), F.coalesce("png_title", F.when(is_jpeg, xmp["title"]))))
-    description = F.when(meta, F.when(is_("pdf"), info["description"]).when(is_("ooxml"), F.col("core.description")).when(is_("image"), F.coalesce("png_description", F.when(is_jpeg, xmp["description"]))))
+    title = F.when(meta, F.when(is_("pdf"), info["title"]).when(is_("ooxml"), F.col("core.title")).when(is_("image"), F.coalesce("png_title", xmp["title"])))
+    description = F.when(meta, F.when(is_("pdf"), info["description"]).when(is_("ooxml"), F.col("core.description")).when(is_("image"), F.coalesce("png_description", xmp["description"])))
     rows = rows.withColumns({"text": text, "warnings": warnings, "backend": backend, "title": title, "description": description})
     key = F.when(is_("text"), "text").otherwise("extracted")
     filled = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c)

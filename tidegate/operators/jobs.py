@@ -10,9 +10,11 @@ import bz2
 import gzip
 import io
 import lzma
+import re
 import stat
 import struct
 import tarfile
+import time
 import zipfile
 import zlib
 
@@ -24,12 +26,12 @@ from tidegate.policy import Policy
 
 ENTRY_SCHEMA = (
     "object_key string, level string, depth int, seq long, name string, size long, compressed_size long, archive_size long, is_dir boolean, is_link boolean,"
-    " is_special boolean, encrypted boolean, prefix binary, kind string, body binary, error string, codec string"
+    " is_special boolean, encrypted boolean, prefix binary, json boolean, kind string, error string, codec string"
 )
 CHUNK_SCHEMA = "object_key string, seq int, depth int, type string, offset long, length long, crc_ok boolean, data binary, error string"
 UNPACKED_SCHEMA = (
     "object_key string, part string, seq long, name string, error string, type string, crc_ok boolean, data binary,"
-    " attributes map<string,string>, size long, body binary, ooxml string, odf string"
+    " attributes map<string,string>, size long, body binary, marked boolean, ooxml string, odf string"
 )
 
 _FIELDS = [f.split()[0] for f in ENTRY_SCHEMA.replace("\n", " ").split(", ")]
@@ -49,123 +51,272 @@ def kind_of(name: str, start: bytes) -> str | None:
     return by_name or next((k for sig, k in _BY_START if start.startswith(sig)), None)
 
 
-class _Unpacker:
-    """Entries of one object's archive and those nested in it, up to the policy's limits."""
+#: Bytes expanded at once, and rows that are handed on at once.
+_STEP, _ROWS = 1 << 16, 4096
+UNREADABLE = (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, lzma.LZMAError, zlib.error, RuntimeError, NotImplementedError, ValueError, struct.error)
+
+
+_JSON = re.compile(rb'("(?:[^"\\\x00-\x1f]|\\[^\x00-\x1f])*+")|([{}\[\],:])|(-?[0-9][0-9.eE+-]*)|(true|false|null)', re.S)
+_NUMBER, _NUMBER_START = re.compile(rb"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"), re.compile(rb"-?\d*(?:\d\.\d*)?(?:\d[eE][+-]?\d*)?")
+_JSON_SPACE = b" \t\r\n"
+
+
+def json_so_far(data: bytes, cut: bool) -> bool:
+    """Whether bytes are a JSON object or list; if they are `cut` from more, whether they may go on as one."""
+    data = data.removeprefix(b"\xef\xbb\xbf")
+    at, size, open_, want = 0, len(data), [], "value"
+    while True:
+        while at < size and data[at] in _JSON_SPACE:
+            at += 1
+        if at == size:
+            return want == "end" or (cut and bool(open_))
+        token = _JSON.match(data, at)
+        if not token or (cut and token.end() == size and token[3]):
+            rest = data[at:]
+            part = rest[:1] == b'"' or (want in ("value", "first") and (any(x.startswith(rest) for x in (b"true", b"false", b"null")) or _NUMBER_START.fullmatch(rest)))
+            return bool(cut and open_ and part and want in ("value", "first", "key", "first key"))
+        if token[3] and not _NUMBER.fullmatch(token[3]):
+            return False
+        word, sign = token[1] or token[3] or token[4], token[2]
+        if sign in (b"{", b"[") and want in ("value", "first"):
+            open_.append(sign)
+            want = "first key" if sign == b"{" else "first"
+        elif (sign == b"}" and open_[-1:] == [b"{"] and want in ("first key", "more")) or (sign == b"]" and open_[-1:] == [b"["] and want in ("first", "more")):
+            open_.pop()
+            want = "more" if open_ else "end"
+        elif sign == b"," and want == "more":
+            want = "key" if open_[-1] == b"{" else "value"
+        elif sign == b":" and want == "colon":
+            want = "value"
+        elif word and open_ and want in ("value", "first"):
+            want = "more"
+        elif token[1] and want in ("key", "first key"):
+            want = "colon"
+        else:
+            return False
+        at = token.end()
+
+
+class _Expansion:
+    """Entry rows of one object's archive and those nested in it, made while they are read.
+
+    Of an entry its first bytes are expanded; more only of a nested archive, whose
+    entries follow. A nested zip is read whole, as its list stands at its end, up to
+    the limit of an entry. Reading stops where a limit of the policy is passed: entries,
+    bytes by their headers, what a single stream expands to, its ratio, seconds of work.
+    """
 
-    def __init__(self, key: str, policy: Policy, keep):
-        self.key, self.policy, self.keep = key, policy, keep
-        self.rows: list[tuple] = []
-        self.entries = self.total = 0
+    def __init__(self, key: str, policy: Policy):
+        self.key, self.policy = key, policy
+        self.seq = self.entries = self.total = 0
+        self.until = time.process_time() + policy.max_inspection_ms / 1000
 
-    def row(self, level: str, depth: int, name=None, size=0, packed=0, archive=0, is_dir=False, link=False, special=False, encrypted=False, prefix=b"", kind=None, body=None, error=None, codec=None):
-        self.rows.append((self.key, level, depth, len(self.rows), name, size, packed, archive, is_dir, link, special, encrypted, prefix, kind, body, error, codec))
+    def row(self, level: str, depth: int, name=None, size=0, packed=0, archive=0, is_dir=False, link=False, special=False, encrypted=False, prefix=b"", kind=None, error=None, codec=None) -> tuple:
+        json = json_so_far(prefix, size > len(prefix)) if prefix.lstrip(b"\xef\xbb\xbf\t\n\f\r ")[:1] in (b"{", b"[") else False
+        made = (self.key, level, depth, self.seq, name, size, packed, archive, is_dir, link, special, encrypted, prefix, json, kind, error, codec)
+        self.seq += 1
         if name is not None:
             self.entries += 1
             self.total += size
+        return made
 
     @property
     def spent(self) -> bool:
         return self.entries > self.policy.max_entries or self.total > self.policy.max_total_bytes
 
-    def unpack(self, kind: str, data: bytes, level: str, depth: int, name: str) -> None:
+    @property
+    def late(self) -> bool:
+        return time.process_time() > self.until
+
+    def expand(self, kind: str, opened, size: int, level: str, depth: int, name: str):
+        """Rows of an archive that `opened` gives from its start each time it is called."""
         try:
             if kind == "zip":
-                self.zip(data, level, depth)
+                yield from self.zip(opened, level, depth)
             elif kind == "tar":
-                self.tar(io.BytesIO(data), level, depth)
+                yield from self.tar(opened(), level, depth)
             elif kind in ("gzip", "bzip2", "xz", "zstd"):
-                self.stream(kind, data, level, depth, name)
+                yield from self.stream(kind, opened, size, level, depth, name)
             else:
-                self.row(level, depth, error="archive_unsupported_method")
-        except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, lzma.LZMAError, zlib.error, RuntimeError, NotImplementedError, ValueError, struct.error):
-            self.row(level, depth, error="archive_unsupported_method")
+                yield self.row(level, depth, error="archive_unsupported_method")
+        except UNREADABLE:
+            yield self.row(level, depth, error="archive_unsupported_method")
 
-    def nested(self, name: str, data: bytes | None, prefix: bytes, level: str, depth: int, seq: int) -> None:
+    def nested(self, name: str, prefix: bytes, opened, size: int, level: str, depth: int):
         kind = kind_of(name, prefix)
-        if kind and data is not None and depth < self.policy.max_depth and not self.spent:
-            self.unpack(kind, data, f"{level}/{seq}", depth + 1, name)
-
-    def read(self, stream, size: int | None = None) -> bytes:
-        """What `stream` expands to, one byte beyond the limit of an entry at most."""
-        return stream.read(min(size, self.policy.max_entry_bytes) if size is not None else self.policy.max_entry_bytes + 1)
-
-    def zip(self, data: bytes, level: str, depth: int) -> None:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if kind and depth < self.policy.max_depth and not self.spent:
+            yield from self.expand(kind, opened, size, f"{level}/{self.seq - 1}", depth + 1, name)
+
+    def whole(self, source) -> io.BytesIO:
+        """All of a source, one byte beyond the limit of an entry at most."""
+        return io.BytesIO(source.read(self.policy.max_entry_bytes + 1))
+
+    def zip(self, opened, level: str, depth: int):
+        source = opened()
+        if not isinstance(source, io.BytesIO):
+            source = self.whole(source)
+        size = source.getbuffer().nbytes
+        if depth > 1 and size > self.policy.max_entry_bytes:
+            yield self.row(level, depth, error="archive_too_large")
+            return
+        with zipfile.ZipFile(source) as z:
             for info in z.infolist():
                 if self.spent:
                     return
+                if self.late:
+                    yield self.row(level, depth, error="archive_inspection_timeout")
+                    return
                 mode = info.external_attr >> 16 if info.create_system == 3 else 0
                 encrypted, kind = bool(info.flag_bits & 1), stat.S_IFMT(mode)
-                plain = not encrypted and not info.is_dir() and kind in (0, stat.S_IFREG)
-                body = None
-                if plain and info.file_size <= self.policy.max_entry_bytes:
+                plain = not encrypted and not info.is_dir() and kind in (0, stat.S_IFREG) and info.file_size <= self.policy.max_entry_bytes
+                prefix = b""
+                if plain:
                     with z.open(info) as f:
-                        body = self.read(f, info.file_size)
-                prefix = (body or b"")[: self.policy.inspected_bytes]
-                seq = len(self.rows)
-                self.row(
-                    level, depth, info.filename, 0 if info.is_dir() else info.file_size, info.compress_size, len(data), info.is_dir(), kind == stat.S_IFLNK,
-                    kind not in (0, stat.S_IFREG, stat.S_IFLNK, stat.S_IFDIR), encrypted, prefix, kind_of(info.filename, prefix), body if self.keep(info.filename) else None,
+                        prefix = f.read(self.policy.inspected_bytes)
+                yield self.row(
+                    level, depth, info.filename, 0 if info.is_dir() else info.file_size, info.compress_size, size, info.is_dir(), kind == stat.S_IFLNK,
+                    kind not in (0, stat.S_IFREG, stat.S_IFLNK, stat.S_IFDIR), encrypted, prefix, kind_of(info.filename, prefix),
                 )
-                self.nested(info.filename, body, prefix, level, depth, seq)
+                if plain:
+                    yield from self.nested(info.filename, prefix, lambda info=info: z.open(info), info.file_size, level, depth)
 
-    def tar(self, stream, level: str, depth: int) -> None:
-        with tarfile.open(fileobj=stream, mode="r|") as t:
+    def tar(self, source, level: str, depth: int):
+        # as a stream: an entry is passed over by reading it, so nothing is held
+        with tarfile.open(fileobj=source, mode="r|", bufsize=_STEP) as t:
             for info in t:
                 if self.spent:
                     return
-                body = None
-                if info.isfile() and info.size <= self.policy.max_entry_bytes:
-                    body = self.read(t.extractfile(info), info.size)
-                prefix = (body or b"")[: self.policy.inspected_bytes]
-                seq = len(self.rows)
+                if self.late:
+                    yield self.row(level, depth, error="archive_inspection_timeout")
+                    return
+                fits = info.isfile() and info.size <= self.policy.max_entry_bytes
+                body = t.extractfile(info) if fits else None
+                prefix = body.read(self.policy.inspected_bytes) if body else b""
                 link, special = info.issym() or info.islnk(), info.isfifo() or info.isdev()
-                self.row(level, depth, info.name, 0 if info.isdir() else info.size, 0, 0, info.isdir(), link, special, False, prefix, kind_of(info.name, prefix))
-                self.nested(info.name, body, prefix, level, depth, seq)
-
-    def stream(self, kind: str, data: bytes, level: str, depth: int, name: str) -> None:
-        if kind == "zstd":
-            import zstandard
+                yield self.row(level, depth, info.name, 0 if info.isdir() else info.size, 0, 0, info.isdir(), link, special, False, prefix, kind_of(info.name, prefix))
+                if info.isfile() and not fits:
+                    return  # beyond the limit of an entry: the verdict is made
+                if body and kind_of(info.name, prefix) and depth < self.policy.max_depth:
+                    held = io.BytesIO(prefix + body.read(info.size))
+                    yield from self.nested(info.name, prefix, lambda held=held: held if held.seek(0) == 0 else held, info.size, level, depth)
+
+    def stream(self, kind: str, opened, size: int, level: str, depth: int, name: str):
+        policy = self.policy
+
+        def expanded():
+            source = opened()
+            if kind == "zstd":
+                return _Zstd(source)
+            return {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[kind](source)
 
-            source = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data))
-        else:
-            source = {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}[kind](io.BytesIO(data))
-        limit = min(self.policy.max_entry_bytes, self.policy.max_total_bytes, self.policy.max_probe_bytes)
-        body = source.read(limit + 1)
         inner = name.rsplit(".", 1)[0] if "." in name else name
-        if name.lower().endswith((".tgz", ".tbz2", ".txz", ".tzst")):
+        if name.lower().endswith((".tgz", ".tbz", ".tbz2", ".txz", ".tzst")):
             inner += ".tar"
-        prefix = body[: self.policy.inspected_bytes]
-        is_tar = inner.lower().endswith(".tar") or body[257:262] == b"ustar"
-        seq = len(self.rows)
-        self.row(level, depth, None if is_tar else inner, len(body), len(data), len(data), prefix=prefix, kind=None if is_tar else kind_of(inner, prefix), codec=kind)
-        if not is_tar:
-            self.nested(inner, body, prefix, level, depth, seq)
-        elif len(body) <= limit:
-            self.tar(io.BytesIO(body), f"{level}/{seq}", depth)
-
-
-def _no_body(name: str) -> bool:
-    return False
-
-
-def archive_entries(df: DataFrame, policy: Policy = Policy(), keep=_no_body) -> DataFrame:
+        source = expanded()
+        head = b""
+        while len(head) < policy.inspected_bytes and (piece := source.read(policy.inspected_bytes - len(head))):
+            head += piece
+        if inner.lower().endswith(".tar") or head[257:262] == b"ustar":
+            yield self.row(level, depth, None, 0, size, size, prefix=head, codec=kind)
+            yield from self.tar(_Joined(head, source), f"{level}/{self.seq - 1}", depth)
+            return
+        count = len(head)
+        error = None
+        while piece := source.read(_STEP):
+            count += len(piece)
+            # the checks of the guard name the limit; here reading only ends
+            if count > min(policy.max_entry_bytes, policy.max_total_bytes, policy.max_probe_bytes) or (size and count / size > policy.max_ratio):
+                break
+            if self.late:
+                error = "archive_inspection_timeout"
+                break
+        yield self.row(level, depth, inner, count, size, size, prefix=head, kind=kind_of(inner, head), error=error, codec=kind)
+        if not error:
+            yield from self.nested(inner, head, expanded, count, level, depth)
+
+
+class _Joined(io.RawIOBase):
+    """Bytes that were read already and the rest of their source."""
+
+    def __init__(self, head: bytes, rest):
+        self.head, self.rest = head, rest
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        if not self.head:
+            return self.rest.read(n)
+        out, self.head = (self.head, b"") if n < 0 else (self.head[:n], self.head[n:])
+        return out
+
+
+class _Zstd(io.RawIOBase):
+    """A zstd stream that knows whether it came to its end; so little is taken in at once that what comes out is bounded."""
+
+    def __init__(self, source):
+        import zstandard
+
+        self.new, self.error = zstandard.ZstdDecompressor().decompressobj, zstandard.ZstdError
+        self.source, self.engine, self.held = source, self.new(), b""
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        out = []
+        while n < 0 or sum(map(len, out)) < n:
+            if not self.held and not self._more():
+                break
+            take = len(self.held) if n < 0 else n - sum(map(len, out))
+            out.append(self.held[:take])
+            self.held = self.held[take:]
+        return b"".join(out)
+
+    def _more(self) -> bool:
+        while not self.held:
+            left = self.engine.unused_data if self.engine.eof else b""
+            piece = left or self.source.read(512)
+            if not piece:
+                if not self.engine.eof:
+                    raise EOFError("a zstd frame has no end")
+                return False
+            if self.engine.eof:  # another frame follows
+                self.engine = self.new()
+            try:
+                self.held = self.engine.decompress(piece)
+            except self.error as e:
+                raise OSError(str(e)) from e
+        return True
+
+
+def archive_entries(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """One row for each entry of each archive, nested ones too, in the order they are met.
 
-    `keep` says by name which zip entries' bodies to return. Expansion stops at
-    the policy's limits, so no archive fills an executor; what cannot be read
-    gives one row with `archive_unsupported_method`.
+    Takes object_key, original_name, archive_kind and content. Rows are handed on
+    while an archive is read, and reading stops at the policy's limits, so that no archive
+    fills a task: what is held is the object itself and, at each level, one nested zip or entry
+    of a tar that is an archive. What cannot be read gives a row with `archive_unsupported_method`, an archive that
+    takes more than `max_inspection_ms` of work one with `archive_inspection_timeout`.
     """
-    schema = pa.schema([("object_key", pa.string()), ("level", pa.string()), ("depth", pa.int32()), ("seq", pa.int64()), ("name", pa.string()), *((n, pa.int64()) for n in ("size", "compressed_size", "archive_size")), *((n, pa.bool_()) for n in ("is_dir", "is_link", "is_special", "encrypted")), ("prefix", pa.binary()), ("kind", pa.string()), ("body", pa.binary()), ("error", pa.string()), ("codec", pa.string())])
+    words, whole, flag = pa.string(), pa.int64(), pa.bool_()
+    kinds = [words, words, pa.int32(), whole, words, whole, whole, whole, flag, flag, flag, flag, pa.binary(), flag, words, words, words]
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _FIELDS)
 
     def run(batches):
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(4))):
                 key, name, kind, content = (x.as_py() for x in row)
-                u = _Unpacker(key, policy, keep)
-                u.unpack(kind, content or b"", "", 1, name or "")
-                if u.rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*u.rows), schema)], schema=schema)
+                held, data = [], content or b""
+                for found in _Expansion(key, policy).expand(kind, lambda data=data: io.BytesIO(data), len(data), "", 1, name or ""):
+                    held.append(found)
+                    if len(held) == _ROWS:
+                        yield made(held)
+                        held = []
+                if held:
+                    yield made(held)
 
     return df.select("object_key", "original_name", "archive_kind", "content").mapInArrow(run, ENTRY_SCHEMA)
 
@@ -259,37 +410,67 @@ def media_chunks(df: DataFrame) -> DataFrame:
     return df.select("object_key", "content").mapInArrow(run, CHUNK_SCHEMA)
 
 
-#: Rows handed on at once by `unpacked`.
-_ROWS = 4096
+# Parts of a package that name what it is, and the bytes of them that are read at most.
+_NAMING = ("[content_types].xml", "mimetype", "meta-inf/manifest.xml")
+NAMING_BYTES = 1 << 20
 
 
-def _unpacked_rows(key: str, part: str, data: bytes, ooxml, odf, policy: Policy, keep):
+def _holds(source, markers: tuple[bytes, ...]) -> bool:
+    """Whether a stream holds one of the markers, in any case; read piece by piece."""
+    overlap, tail = max(map(len, markers)) - 1, b""
+    while piece := source.read(_STEP):
+        seen = tail + piece.lower()
+        if any(m in seen for m in markers):
+            return True
+        tail = seen[-overlap:]
+    return False
+
+
+def _package(data: bytes, markers: tuple[bytes, ...], suffixes: tuple[str, ...], policy: Policy):
+    """(name, error, size, body, marked) of each entry of a package; bodies of the naming parts only."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for n, info in enumerate(z.infolist()):
+                low, size = info.filename.lower(), 0 if info.is_dir() else info.file_size
+                body = marked = None
+                if n > policy.max_entries:
+                    return
+                if not info.is_dir() and not info.flag_bits & 1 and size <= policy.max_part_bytes:
+                    if low in _NAMING:
+                        with z.open(info) as f:
+                            body = f.read(NAMING_BYTES + 1)
+                    if low.endswith(suffixes):
+                        with z.open(info) as f:
+                            marked = _holds(f, markers)
+                yield info.filename, None, size, body, marked
+    except UNREADABLE:
+        yield None, "archive_unsupported_method", None, None, None
+
+
+def _unpacked_rows(key: str, part: str, data: bytes, ooxml, odf, policy: Policy, markers):
     """Rows of `UNPACKED_SCHEMA` of one object, as one part of a screening needs them."""
     if part == "media":
         for i, (kind, _, _, crc_ok, body, error) in enumerate(_chunks(data)):
             # sizes stand in the head of a chunk
-            yield (key, part, i, None, error, kind, crc_ok, body and body[:64], *(None,) * 5)
+            yield (key, part, i, None, error, kind, crc_ok, body and body[:64], *(None,) * 6)
     elif part == "package":
-        u = _Unpacker(key, policy, keep)
-        u.unpack("zip", data, "", 1, "")
-        for row in u.rows:
-            at = dict(zip(_FIELDS, row))
-            if at["depth"] == 1:
-                yield (key, part, at["seq"], at["name"], at["error"], *(None,) * 4, at["size"], at["body"], ooxml, odf)
+        for i, (name, error, size, body, marked) in enumerate(_package(data, *markers["ooxml" if ooxml else "odf"], policy)):
+            yield (key, part, i, name, error, *(None,) * 4, size, body, marked, ooxml, odf)
     else:
         code, root, size = judged(part, data, policy)
-        yield (key, part, 0, root, code, None, None, None, list(size.items()), *(None,) * 4)
+        yield (key, part, 0, root, code, None, None, None, list(size.items()), *(None,) * 5)
 
 
-def unpacked(df: DataFrame, policy: Policy = Policy(), keep=_no_body) -> DataFrame:
+def unpacked(df: DataFrame, policy: Policy, markers: dict[str, tuple[tuple[bytes, ...], tuple[str, ...]]]) -> DataFrame:
     """All rows a screening needs of (object_key, parts, ooxml, odf, content) rows, in one pass over the contents.
 
     `parts` lists what an object is read as: `media` (chunks), `svg` or `xml`
     (one row: the first rule broken in `error`, the root and its size)
-    and `package` (zip entries, of bodies those that `keep` names).
+    and `package` (zip entries; `marked` tells whether one holds a marker). `markers` gives for
+    `ooxml` and `odf` packages what to look for, and the suffixes of entries to look in.
     """
     words, whole, raw = pa.string(), pa.int64(), pa.binary()
-    kinds = [words, words, whole, words, words, words, pa.bool_(), raw, pa.map_(words, words), whole, raw, words, words]
+    kinds = [words, words, whole, words, words, words, pa.bool_(), raw, pa.map_(words, words), whole, raw, pa.bool_(), words, words]
     names = [f.split()[0] for f in UNPACKED_SCHEMA.replace("map<string,string>", "map").split(",")]
 
     def made(rows):
@@ -301,7 +482,7 @@ def unpacked(df: DataFrame, policy: Policy = Policy(), keep=_no_body) -> DataFra
                 key, parts, ooxml, odf, content = (x.as_py() for x in row)
                 held = []
                 for part in parts:
-                    for found in _unpacked_rows(key, part, content or b"", ooxml, odf, policy, keep):
+                    for found in _unpacked_rows(key, part, content or b"", ooxml, odf, policy, markers):
                         held.append(found)
                         if len(held) == _ROWS:
                             yield made(held)

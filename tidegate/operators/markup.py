@@ -57,11 +57,13 @@ class _Reader:
     def end(self) -> None: ...
 
     def read(self, data: bytes):
-        """Parse to the end, pausing after each step; False is the last value if the document is malformed."""
-        view = memoryview(data)
+        """Parse bytes to their end, pausing after each step; False is the last value if the document is malformed."""
+        yield from self.parse(data[at : at + _STEP] for at in range(0, len(data), _STEP))
+
+    def parse(self, pieces):
         try:
-            for at in range(0, len(view), _STEP):
-                self.parser.Parse(bytes(view[at : at + _STEP]), False)
+            for piece in pieces:
+                self.parser.Parse(piece, False)
                 yield True
             self.parser.Parse(b"", True)
             yield True
@@ -146,6 +148,27 @@ def judged(kind: str, data: bytes, policy: Policy) -> tuple[str | None, str | No
     return reader.code, reader.root, {k: v for k, v in reader.size.items() if k in ("width", "height", "viewbox")}
 
 
+class Texts(_Reader):
+    """Texts between markup, without white space around them."""
+
+    def __init__(self):
+        super().__init__()
+        self.said: list[str] = []
+        self.parts: list[str] = []
+        self.parser.CharacterDataHandler = self.parts.append
+        self.parser.CommentHandler = self.parser.ProcessingInstructionHandler = lambda *_: self.end()
+        self.parser.StartCdataSectionHandler = self.parser.EndCdataSectionHandler = lambda: self.end()
+
+    def _start(self, name: str, attributes: dict) -> None:
+        self.end()
+        super()._start(name, attributes)
+
+    def end(self) -> None:
+        if text := "".join(self.parts).strip():
+            self.said.append(text)
+        self.parts.clear()
+
+
 class _Nodes(_Reader):
     def __init__(self):
         super().__init__()

@@ -25,7 +25,7 @@ from tidegate.functions.classify import (
     script_allowed,
     svg_dimensions,
 )
-from tidegate.operators.jobs import unpacked
+from tidegate.operators.jobs import NAMING_BYTES, unpacked
 from tidegate.policy import DOCX, ODP, ODS, ODT, PPTX, XLSX, Policy, expand_types, file_types
 
 
@@ -274,8 +274,8 @@ _MAIN_PARTS = (("docx", DOCX), ("xlsx", XLSX), ("pptx", PPTX))
 _ODF_TYPES = (("odt", ODT), ("ods", ODS), ("odp", ODP))
 
 
-def keep_package_part(name: str) -> bool:
-    return name.lower().endswith((".xml", ".rels")) or name.lower() == "mimetype"
+#: What to look for in the entries of a package, and in which.
+_MARKERS = {k: (tuple(m.encode() for m in markers), suffixes) for k, markers, suffixes in (("ooxml", _OOXML_MARKERS, (".xml", ".rels")), ("odf", _ODF_MARKERS, (".xml",)))}
 
 
 def _kind(options, mime: Column, name: Column) -> Column:
@@ -284,7 +284,7 @@ def _kind(options, mime: Column, name: Column) -> Column:
 
 def package_aggregates(policy: Policy = Policy()) -> dict[str, Column]:
     """What `package_code` needs of an OOXML or ODF package's entries, which have the type it should be in `ooxml` or `odf`."""
-    name, text = F.lower("name"), F.lower(latin1(F.col("body")))
+    name = F.lower("name")
     own = F.col("part") == "package"
     # the main part named for this type by the content types, as text between quotes
     override = F.filter(
@@ -297,16 +297,15 @@ def package_aggregates(policy: Policy = Policy()) -> dict[str, Column]:
         lambda t: (F.regexp_extract(t, r"(?is)\bfull-path\s*=\s*[\"']\s*([^\"']*?)\s*[\"']", 1) == "/") & (F.regexp_extract(t, r"(?is)\bmedia-type\s*=\s*[\"']\s*([^\"']*?)\s*[\"']", 1) == F.col("odf")),
     )
     over = F.col("size") > policy.max_part_bytes
-    xml = name.endswith(".xml")
-    bad_part = F.when(F.col("ooxml").isNotNull(), contains_any(name, _OOXML_PARTS) | ((xml | name.endswith(".rels")) & contains_any(text, _OOXML_MARKERS))).otherwise(
-        contains_any(name, _ODF_PARTS) | name.endswith(".bas") | (xml & contains_any(text, _ODF_MARKERS))
-    )
+    parts = F.when(F.col("ooxml").isNotNull(), contains_any(name, _OOXML_PARTS)).otherwise(contains_any(name, _ODF_PARTS) | name.endswith(".bas"))
+    bad_part = parts | F.coalesce("marked", F.lit(False))
     bad = own & F.coalesce(over | bad_part, F.lit(False))
     return {
         "as_ooxml": F.max(F.when(own, F.col("ooxml"))),
         "as_odf": F.max(F.when(own, F.col("odf"))),
         "entries": F.count(F.when(own, F.col("name"))),
         "broken": F.bool_or(own & F.col("error").isNotNull()),
+        "unnamed": F.bool_or(own & (F.octet_length("body") > NAMING_BYTES)),
         "main": F.max(F.when(own & (name == "[content_types].xml"), F.coalesce(main, F.lit("")))),
         "names": F.collect_set(F.when(own, F.ltrim(name, F.lit("/")))),
         "mimetype": F.max(F.when(own & (name == "mimetype"), F.trim(latin1(F.col("body"))))),
@@ -326,7 +325,7 @@ def package_code(policy: Policy = Policy()) -> Column:
     bad_odf = F.col("as_odf").isNotNull() & (F.coalesce(F.col("mimetype") != F.col("as_odf"), F.lit(True)) | ~F.coalesce("root", F.lit(False)) | ~has("content.xml"))
     return F.coalesce(
         F.when(F.col("broken"), "structural_validation_failed"),
-        F.when(F.col("entries") > policy.max_entries, "resource_limit_exceeded"),
+        F.when((F.col("entries") > policy.max_entries) | F.col("unnamed"), "resource_limit_exceeded"),
         F.when(bad_ooxml | bad_odf, "structural_validation_failed"),
         F.col("content"),
     )
@@ -371,7 +370,7 @@ def inside(objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
         )
     )
     wanted = _typed(objects.select("object_key", "original_name", "declared_type", "content"), policy).where("_on").withColumn("parts", parts).where("size(parts) > 0")
-    rows = unpacked(wanted.withColumns({"ooxml": _kind(_MAIN_PARTS, mime, name), "odf": _kind(_ODF_TYPES, mime, name)}), policy, keep_package_part)
+    rows = unpacked(wanted.withColumns({"ooxml": _kind(_MAIN_PARTS, mime, name), "odf": _kind(_ODF_TYPES, mime, name)}), policy, _MARKERS)
     made = {**media_aggregates(), "svg_code": svg_code(policy), "xml_code": xml_code(), **package_aggregates(policy)}
     summary = rows.groupBy("object_key").agg(*[c.alias(n) for n, c in made.items()])
     return summary.select("object_key", "png_ok", "has_metadata", "width", "height", "svg_code", "xml_code", package_code(policy).alias("package_code"))
