@@ -294,6 +294,26 @@ def test_language_id_edges(edges, frame):
     assert {r.lang_pred for r in language_id.identify(edges, None).collect()} == {"und"}
 
 
+def test_few_labels_still_reject_what_is_no_language(spark, data, frame):
+    """Three dozen labelled texts, 12 of them in one language: its own texts pass, nonsense does not."""
+    docs = read(spark, data.replace("0.001", "0.01"), "documents").where("length(text) > 200")
+    counts = {r.lang: r["count"] for r in docs.where("lang is not null").groupBy("lang").count().collect()}
+    rare = min(counts)
+    ids = [r.doc_id for r in docs.where(F.col("lang") == rare).orderBy("doc_id").limit(12).collect()]
+    other = next(x for x in sorted(counts) if x != rare)
+    ids += [r.doc_id for r in docs.where(F.col("lang") == other).orderBy("doc_id").limit(200).collect()]
+    trained = language_id.train(docs.where(F.col("doc_id").isin(ids)), F.lit(True))
+    assert np.isfinite(trained[1]).all()
+    rng = np.random.default_rng(4)
+    noise = frame([(i, " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(60))) for i in range(20)])
+    judged = language_id.identify(noise, trained).collect()
+    assert not any(r.accepted for r in judged) and {r.lang_pred for r in judged} <= {rare, other}
+    own = language_id.identify(docs.where(F.col("lang").isin(rare, other)), trained).collect()
+    assert np.mean([r.accepted for r in own]) > 0.95
+    one = language_id.train(docs.where(F.col("lang") == rare).limit(3), F.lit(True))
+    assert not any(r.accepted for r in language_id.identify(noise, one).collect())
+
+
 def test_toxicity_held_out(spark, data):
     """Labels of one half teach; the other half's marked words are found, clean texts left alone."""
     big = data.replace("0.001", "0.01")
@@ -459,6 +479,25 @@ def test_url_filter_reads_attributes(spark):
     assert len(got) == len(rows) and {r.page_id for r in got if r.verdict == "block"} == {5, 6, 7}
 
 
+def test_url_filter_takes_tags_of_any_length(spark):
+    """10,000 attributes, values and names of a million signs, and tags that never end."""
+    many = " ".join(f"a{i}='{i}'" for i in range(10_000))
+    end = 'rel="canonical" href="http://x.com/de/'
+    rows = [
+        (1, "http://a.net/1", f'<link {many} {end}1">'),
+        (2, "http://a.net/2", f'<link title="{"x>y " * 250_000}" {end}2">'),
+        (3, "http://a.net/3", f'<link {"y" * 1_000_000} {end}3">'),
+        (4, "http://a.net/4", f"<link canonical {'z ' * 500_000}"),
+        (5, "http://a.net/5", f"{'<link canonical ' * 60_000} <link {end}5'>"),
+        (6, "http://a.net/6", f"{'<link canonical ' * 60_000} <link {end}6\">"),
+        (7, "http://a.net/7", f"<meta http-equiv='refresh' {many} content='0; url=http://x.com/de/7'>"),
+        (8, "http://a.net/8", f"<link {many} title='{end}8' rel=next href='http://x.com/de/8'>"),
+        (9, "http://a.net/9", f"<link canonical '{'q' * 1_000_000}"),
+    ]
+    got = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == {1, 2, 3, 6, 7} and len(got) == len(rows)
+
+
 def test_url_filter_of_many_links(spark):
     """Chains, a hot target and conflicting rules over thousands of pages, against plain union-find."""
     rng = np.random.default_rng(12)

@@ -24,6 +24,8 @@ SAMPLE, CALIBRATION = 400, 100
 MOST_LETTERS = 65_000
 #: Rejection: so many times the spread of held-back texts above their mean.
 SPREADS = 6.0
+#: A language with fewer held-back texts than this has no spread of its own to go by.
+FEW = 10
 UNKNOWN = "und"
 _SALTS = 64
 
@@ -166,7 +168,9 @@ def train(docs: DataFrame, where: Column):
     """The model and, per language, (mean, spread between texts, spread per letter) of held-back texts.
 
     Spark counts the n-grams; what reaches the driver is the count table of the
-    bounded sample. Returns None if no labelled text has a letter.
+    bounded sample. A language with under FEW held-back texts is accepted up to halfway
+    between its labelled texts' middle entropy and that of letters drawn at random.
+    Returns None if no labelled text has a letter.
     """
     rows = labelled_sample(docs, where).persist()
     try:
@@ -211,18 +215,29 @@ def train(docs: DataFrame, where: Column):
             counts[order] = (codes, grid)
         model = Model(languages, alphabet, counts)
         held = rows.where("held").select("lang", "text").toArrow()
-        limits = np.tile(np.array([[np.inf, 0.0, 0.0]]), (len(languages), 1))
-        if held.num_rows:
-            entropy, count_ = model.entropies(held.column("text").combine_chunks())
-            own = np.array([index[x] for x in held.column("lang").to_pylist()])
-            value = entropy[np.arange(len(own)), own]
-            for x in range(len(languages)):
-                mine = (own == x) & (count_ > 0)
-                if mine.sum() >= 10:
-                    mean = np.median(value[mine])
-                    off, size = np.abs(value[mine] - mean), count_[mine]
-                    long = size >= np.median(size)
-                    limits[x] = mean, max(np.quantile(off[long], 0.9), 0.02), np.quantile(off * np.sqrt(size), 0.9)
+
+        def own_values(table):
+            """(language, entropy under its own model, letters) of the texts that have letters."""
+            if not table.num_rows:
+                return np.zeros(0, int), np.zeros(0), np.zeros(0)
+            entropy, size = model.entropies(table.column("text").combine_chunks())
+            own = np.array([index[x] for x in table.column("lang").to_pylist()])
+            return own[size > 0], entropy[np.arange(len(own)), own][size > 0], size[size > 0]
+
+        limits = np.zeros((len(languages), 3))
+        own, value, count_ = own_values(held)
+        few = [x for x in range(len(languages)) if (own == x).sum() < FEW]
+        for x in set(range(len(languages))) - set(few):
+            mine = own == x
+            mean = np.median(value[mine])
+            off, size = np.abs(value[mine] - mean), count_[mine]
+            long = size >= np.median(size)
+            limits[x] = mean, max(np.quantile(off[long], 0.9), 0.02), np.quantile(off * np.sqrt(size), 0.9)
+        if few:  # less than FEW * (SAMPLE + CALIBRATION) / CALIBRATION texts each
+            own, value, _ = own_values(rows.where(F.col("lang").isin([languages[x] for x in few])).select("lang", "text").toArrow())
+            for x in few:
+                mean = np.median(value[own == x]) if (own == x).any() else 0.0
+                limits[x] = mean, max((-float(model.uniform) - mean) / 2, 0.02) / SPREADS, 0.0
         return model, limits
     finally:
         rows.unpersist()

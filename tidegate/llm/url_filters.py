@@ -83,19 +83,27 @@ def resolved(link: Column, base: Column) -> Column:
     )
 
 
+# One match takes one sign or one whole attribute and gives nothing back, so that no tag is too long for it.
+_TAG = r"(?is)<(?:link|meta)\b(?:\"[^\"]*+\"|'[^']*+'|[^<>\"']++)*+>"
+_ATTRIBUTE = r"(?is)[\s/][^\s=>\"'/]++\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"']++)"
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's attribute, in double, single or no quotes; empty if it has none. A name only counts where an attribute may begin."""
-    before = r"(?is)^<[a-z]+(?:\s+[^\s=>\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?|/)*?"
-    value = lambda quoted: F.regexp_extract(tag, before + rf"\s+{name}\s*=\s*{quoted}", 1)
-    return F.coalesce(*[F.nullif(value(q), F.lit("")) for q in (r'"([^"]*)"', r"'([^']*)'", r"([^\s>\"']+)")], F.lit(""))
+    """The value of a tag's first attribute of a name, in double, single or no quotes; empty if it has none. What stands inside another's value is no attribute."""
+    named = F.filter(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), 0), lambda a: F.lower(F.regexp_extract(a, r"(?s)^.([^\s=]++)", 1)) == name)
+    value = F.regexp_extract(F.get(named, F.lit(0)), r"(?s)^[^=]*+=\s*+(.*)$", 1)
+    quoted = value.startswith('"') | value.startswith("'")
+    return F.coalesce(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value), F.lit(""))
 
 
 def link_targets(html: Column, base: Column) -> Column:
     """Targets of canonical links and refresh redirects in the page at `base`, made absolute.
 
+    A tag ends at the first > outside quotes; a < outside quotes before it makes it none, and so does an unclosed quote. A
+    tag may be of any length.
     A link counts if `canonical` is a word of its rel, a meta tag if its http-equiv is `refresh`; its address stands in content behind `url=`.
     """
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>"), 0)
+    tags = F.regexp_extract_all(html, F.lit(_TAG), 0)
     tags = F.filter(tags, lambda t: t.rlike("(?i)canonical|refresh"))
     canonical = lambda t: t.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical")
     refresh = lambda t: t.rlike("(?i)^<meta") & (F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh")
