@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,34 @@ def in_list(df: DataFrame, mime: str, listed: DataFrame, equivalent: DataFrame,
 
 
 def marker_scan(df: DataFrame, text: str, needles: DataFrame) -> DataFrame:
-    """(row, needle) for each needle in the lower-cased text. The needles are a policy table of a few rows, so they are broadcast."""
-    low = F.lower(F.col(text))
-    return df.join(F.broadcast(needles), low.contains(F.col("needle")))
+    """(row without the text, needle) for each needle in the lower-cased text; null texts hold none, and an empty needle is in every other.
+
+    All needles are looked for in one pass over a text, by an automaton that each task builds from them: time grows with
+    the texts, not with texts times needles. The needles are a policy table; some ten thousand make a few MB.
+    """
+    listed = sorted({r[0] for r in needles.select("needle").where("needle is not null").collect()})
+    shared = df.sparkSession.sparkContext.broadcast(listed)
+    names = [c for c in df.columns if c != text]
+
+    def run(batches):
+        machine, always = ahocorasick.Automaton(), [n for n in shared.value if not n]
+        for n in shared.value:
+            if n:
+                machine.add_word(n, n)
+        machine.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for i, value in enumerate(batch.column("_low").to_pylist()):
+                if value is None:
+                    continue
+                hits = sorted({n for _, n in machine.iter(value)}) if len(machine) else []
+                rows += [i] * (len(hits) + len(always))
+                found += always + hits
+            taken = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in names), pa.array(found, pa.string())], [*names, "needle"])
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes if n != text), "needle string"])
+    return df.withColumn("_low", F.lower(F.col(text))).drop(text).mapInArrow(run, schema)
 
 
 def policy_matrix(spark, policy: Policy) -> DataFrame:

@@ -9,7 +9,8 @@ from tidegate.operators import catalog as K
 from tidegate.plans.registry import query, sql_in, sql_list, table
 from tidegate.plans.screening import UPLOADS_SQL, uploads
 from tidegate.policy import EXECUTABLES, Policy, file_types, policy_tables
-from tidegate.sources.objects import parse_control_records
+from tidegate.sources.objects import object_heads, object_ranges, parse_control_records, scan_objects
+from tidegate.sources.work import work_path
 
 AS_OF = "1996-06-01 00:00:00"
 _STATUS = "case o_orderstatus when 'P' then 'key_created' when 'O' then 'uploading' else 'uploaded' end"
@@ -249,3 +250,36 @@ def slide_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slide parts sort as text: 10 before 2."""
     names = F.array(*[F.concat(F.lit(f"ppt/slides/slide{i}.xml"), "lang") for i in (2, 10, 1, 11)])
     return table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", F.to_json(F.array_sort(names)).alias("slides"))
+
+
+@query("select doc_id, sha256(text) text_sha256 from documents where text is not null")
+def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts put into a store, a folder for each language, and read back from the objects under a prefix."""
+    path = _stored(spark, sf_dir)
+    lines = scan_objects(spark, path, "lang=").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    return _digested(lines)
+
+
+@query("select doc_id, sha256(text) text_sha256 from documents where text is not null")
+def object_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same store read in ranges of 10,000 bytes that its heads ask for, and put together again."""
+    path = _stored(spark, sf_dir)
+    heads = object_heads(spark, path, "lang=").where("size > 0")
+    wanted = heads.select("object_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(10_000).cast("long"))).alias("start")).withColumn("end", F.col("start") + 9_999)
+    pieces = object_ranges(spark, path, wanted)
+    whole = pieces.groupBy("object_key").agg(F.array_sort(F.collect_list(F.struct("start", F.decode("piece", "UTF-8").alias("piece")))).alias("pieces"))
+    text = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
+    return _digested(whole.select(F.explode(F.split(text, "\n")).alias("line")).where("line <> ''"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """A store of the texts, one to a line, in objects of a thousand at most."""
+    path = work_path(spark, "store")
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", ""))
+    table(spark, sf_dir, "documents").where("text is not null").select(line.alias("value"), "lang").write.partitionBy("lang").option("maxRecordsPerFile", 1000).text(path)
+    return path
+
+
+def _digested(lines: DataFrame) -> DataFrame:
+    text = F.unbase64(F.substring_index("line", " ", -1))
+    return lines.select(F.substring_index("line", " ", 1).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.classify import blank_to_null, task_key
 from tidegate.operators.catalog import latest_state
 from tidegate.policy import Policy
+from tidegate.sources.listing import no_objects, opened, read_objects, read_ranges, spark_listing
 
 CONTROL = {
     "upload": "upload_key string, object_key string, temp_object_key string, owner_token_hash string, upload_start_deadline string, upload_finish_deadline string, status string",
@@ -18,9 +19,13 @@ CATALOG = "id string, name string, key string, content_type string, size long, c
 
 
 def scan_objects(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """All objects under a path whose key starts with `prefix`: key, length, modificationTime, content."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return rows.withColumn("object_key", object_key(F.col("path"), path)).where(F.col("object_key").startswith(prefix))
+    """All objects under a path whose key starts with `prefix`: object_key, size, last_modified, content; no other is listed or opened."""
+    if opened(path):
+        return read_objects(spark, path, prefix)
+    rows = spark_listing(spark, path, prefix)
+    if rows is None:
+        return no_objects(spark)
+    return rows.select(object_key(F.col("path"), path).alias("object_key"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), "content")
 
 
 def object_key(full: Column, root: str) -> Column:
@@ -30,8 +35,16 @@ def object_key(full: Column, root: str) -> Column:
 
 
 def object_heads(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """As `scan_objects` without the bodies, which are then not read."""
-    return scan_objects(spark, path, prefix).select("object_key", F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+    """As `scan_objects` without the bodies: no object is opened."""
+    return (read_objects(spark, path, prefix, False) if opened(path) else scan_objects(spark, path, prefix)).select("object_key", "size", "last_modified")
+
+
+def object_ranges(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """`wanted` (object_key, start, end and others) with `piece`, those bytes of the object; read by seeking where the store allows."""
+    if opened(path):
+        return read_ranges(wanted, path)
+    bodies = scan_objects(spark, path).select("object_key", "content")
+    return wanted.join(bodies, "object_key", "left").withColumn("piece", byte_range(F.col("content"), F.col("start"), F.col("end"))).drop("content").select(*wanted.columns, "piece")
 
 
 def byte_range(content: Column, start: Column | int, end: Column | int) -> Column:

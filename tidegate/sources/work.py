@@ -54,9 +54,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of an address, as Spark reaches it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete the files of tables that `stage` returned and no later step reads."""
     for df in tables:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        fs, target = file_system(df.sparkSession, df.staged_at)
+        fs.delete(target, True)

@@ -1,8 +1,9 @@
 """Upload lifecycles as streams: state per key, deadlines, quotas, progress, watches, screening, derived work.
 
 Event streams have upload_key, action (create, progress, upload, complete, fail,
-cancel), owner, bytes, size and an event time `ts`. State is dropped once a key
-has been quiet beyond its deadline; a watermark on `ts` bounds lateness.
+cancel), owner, bytes, size and an event time `ts`. A watermark on `ts` bounds lateness. Every
+state has a time at which it ends, and an event behind that time finds none, whether or not
+the timer has fired: results do not hang on how events fall into batches.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegate.functions.classify import TERMINAL, displayed_bytes
-from tidegate.operators.catalog import latest_state
+from tidegate.operators.catalog import latest_state, sweep
 from tidegate.operators.extract import extract
 from tidegate.operators.screen import screen
 from tidegate.policy import Policy
 from tidegate.sources.objects import extracted_bodies
+from tidegate.sources.publish import publish
 
 STATE = "status string, created double, uploaded long, size long, owner string"
 OUTPUT = "upload_key string, status string, uploaded_bytes long, size_bytes long, ts timestamp, error string"
@@ -130,28 +132,43 @@ def _step(status, action: str):
     return status, {"canceled": "upload_canceled", "uploaded": "upload_already_completed", None: "upload_key_not_found"}.get(status, "illegal_transition")
 
 
+#: Statuses of an upload whose deadlines still count: a failed one may be tried again until then.
+LIVE = ("key_created", "uploading", "failed")
+
+
+def _timed(seconds: float) -> pd.Timestamp:
+    return pd.Timestamp(round(seconds * 1e6), unit="us")
+
+
 def upload_state(events: DataFrame, policy: Policy = Policy(), watermark: str = "1 minute") -> DataFrame:
-    """Per event the upload's state behind it, or the error of an action it does not allow; and `expired` rows by timer.
+    """Per event the upload's state behind it, or the error of an action it does not allow; and an `expired` row where a deadline passes.
 
-    A failed upload may be tried again. Both deadlines count from creation: one
-    not started in time, or not finished in time, expires at the event-time
-    timer. Events of a key are taken in order of time, and one at a time.
+    Both deadlines count from creation, whatever has begun since: a live upload (created, uploading or failed)
+    expires at the earlier one. An expired upload is gone, and so is an ended one once its finish deadline is past: the
+    key may be created anew. Events of a key are taken in order of time, and one at a time.
     """
     start, finish = policy.start_seconds, policy.finish_seconds
+    columns = ["upload_key", "status", "uploaded_bytes", "size_bytes", "ts", "error"]
+
+    def ends(status: str, created: float) -> float:
+        return created + (min(start, finish) if status in LIVE else finish)
 
     def fold(key, batches, state: GroupState):
         status, created, uploaded, size, owner = state.get if state.exists else (None, None, 0, None, None)
-        columns = ["upload_key", "status", "uploaded_bytes", "size_bytes", "ts", "error"]
+
+        def ended():
+            return [(key[0], "expired", uploaded, size, _timed(ends(status, created)), None)] if status in LIVE else []
+
         if state.hasTimedOut:
-            rows = []
-            if status not in TERMINAL:
-                rows.append((key[0], "expired", uploaded, size, pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms"), None))
+            yield pd.DataFrame(ended(), columns=columns)
             state.remove()
-            yield pd.DataFrame(rows, columns=columns)
             return
         for frame in in_order(batches, ["ts", "seq"]):
             rows = []
             for x in frame.itertuples(index=False):
+                if status is not None and x.ts.timestamp() > ends(status, created):
+                    rows += ended()
+                    status, created, uploaded, size, owner = None, None, 0, None, None
                 status, error = _step(status, x.action)
                 if error is None and x.action == "create":
                     created, owner, size = x.ts.timestamp(), x.owner, None if pd.isna(x.size) else int(x.size)
@@ -160,10 +177,11 @@ def upload_state(events: DataFrame, policy: Policy = Policy(), watermark: str =
                 rows.append((key[0], status, uploaded, size, x.ts, error))
             yield pd.DataFrame(rows, columns=columns)
         if status is None:
+            if state.exists:
+                state.remove()
             return  # a key that nobody created has no state and no deadline
         state.update((status, created, uploaded, size, owner))
-        late = (created or rows[-1][4].timestamp()) + (start if status == "key_created" else finish)
-        state.setTimeoutTimestamp(max(int(late * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(ends(status, created) * 1000), state.getCurrentWatermarkMs() + 1))
 
     rows = events.select("upload_key", "action", "owner", F.col("bytes").cast("double"), F.col("size").cast("double"), F.col("ts").cast("timestamp"), "seq")
     return rows.withWatermark("ts", watermark).groupBy("upload_key").applyInPandasWithState(fold, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -177,30 +195,86 @@ def progress(events: DataFrame, watermark: str = "1 minute") -> DataFrame:
     return sums.select("upload_key", "bytes", "size", displayed_bytes(F.col("bytes"), F.col("size"), F.col("held")).alias("shown"))
 
 
-def quota_stream(events: DataFrame, limit: int, watermark: str = "1 minute") -> DataFrame:
-    """Per creation: how many keys the owner has active, and a refusal at the limit; other actions free the key they end."""
+def quota_stream(events: DataFrame, limit: int, policy: Policy = Policy(), watermark: str = "1 minute") -> DataFrame:
+    """Per creation: how many keys the owner has active, and a refusal at the limit; other actions free the key they end, and so do deadlines.
+
+    What is kept of an owner is the keys that are active, `limit` at most, with the time at which each expires; an
+    owner whose last key has expired has no state. Blank owners have no limit, and their keys no state.
+    """
+    lasts = min(policy.start_seconds, policy.finish_seconds)
 
     def fold(key, batches, state: GroupState):
-        active = set(state.get[0]) if state.exists else set()
+        active = dict(zip(*state.get)) if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            return
         for frame in in_order(batches, ["ts", "seq"]):
             rows = []
             for x in frame.itertuples(index=False):
                 if x.action == "create":
-                    refused = bool(key[0]) and len(active) >= limit
+                    now = x.ts.timestamp()
+                    active = {k: end for k, end in active.items() if end >= now}
+                    refused = len(active) >= limit
                     if not refused:
-                        active.add(x.upload_key)
+                        active[x.upload_key] = now + lasts
                     rows.append((key[0], x.upload_key, len(active), x.ts, "too_many_upload_keys" if refused else None))
                 elif x.action in ("complete", "fail", "cancel"):
-                    active.discard(x.upload_key)
+                    active.pop(x.upload_key, None)
             yield pd.DataFrame(rows, columns=["owner", "upload_key", "active", "ts", "code"])
         if active:
-            state.update((sorted(active),))
+            state.update((list(active), list(active.values())))
+            state.setTimeoutTimestamp(max(int(max(active.values()) * 1000), state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
 
-    rows = events.select("owner", "upload_key", "action", F.col("ts").cast("timestamp"), "seq")
+    rows = events.select("owner", "upload_key", "action", F.col("ts").cast("timestamp"), "seq").where("owner <> ''")
     return rows.withWatermark("ts", watermark).groupBy("owner").applyInPandasWithState(
-        fold, "owner string, upload_key string, active long, ts timestamp, code string", "active array<string>", "append", GroupStateTimeout.NoTimeout
+        fold, "owner string, upload_key string, active long, ts timestamp, code string", "keys array<string>, ends array<double>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+WATCH_OUTPUT = "client string, upload_key string, type string, status string, message string, ts timestamp, seq long"
+
+
+def watch_stream(rows: DataFrame, quiet_seconds: float, watermark: str = "1 minute") -> DataFrame:
+    """Messages to the clients that watch an upload, from one stream of requests and updates.
+
+    `rows` has upload_key, kind (`watch` or `unwatch` of a `client`; `update` with a `status`), ts and seq. A watch is answered by a
+    snapshot, or an error where the key had no update yet; it counts from then on all the same, once for each client. An
+    update goes to every client that watches then. A key that was quiet for `quiet_seconds` has no state.
+    """
+    columns = ["client", "upload_key", "type", "status", "message", "ts", "seq"]
+
+    def fold(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, clients, last = state.get if state.exists else (None, [], None)
+        clients = dict.fromkeys(clients)
+        for frame in in_order(batches, ["ts", "seq"]):
+            out = []
+            for x in frame.itertuples(index=False):
+                now = x.ts.timestamp()
+                if last is not None and now > last + quiet_seconds:
+                    status, clients = None, {}
+                last = now
+                if x.kind == "watch":
+                    clients[x.client] = None
+                    known = status is not None
+                    out.append((x.client, key[0], "snapshot" if known else "error", status, None if known else "upload key not found", x.ts, x.seq))
+                elif x.kind == "unwatch":
+                    clients.pop(x.client, None)
+                elif x.kind == "update":
+                    status = x.status
+                    out += [(c, key[0], "update", status, None, x.ts, x.seq) for c in clients]
+            yield pd.DataFrame(out, columns=columns)
+        if last is not None:
+            state.update((status, list(clients), last))
+            state.setTimeoutTimestamp(max(int((last + quiet_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+
+    rows = rows.select("upload_key", "kind", "client", "status", F.col("ts").cast("timestamp"), F.col("seq").cast("long"))
+    return rows.withWatermark("ts", watermark).groupBy("upload_key").applyInPandasWithState(
+        fold, WATCH_OUTPUT, "status string, clients array<string>, last double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -229,11 +303,12 @@ def screen_stream(spark: SparkSession, path: str, accepted: str, quarantine: str
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path)
     objects = files.select(F.col("path").alias("object_key"), F.regexp_extract("path", "([^/]*)$", 1).alias("original_name"), F.lit("").alias("declared_type"), "content")
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         rows = batch.join(screen(batch, policy).drop("original_name", "declared_type"), "object_key").persist()
-        rows.where("verdict is null").drop("verdict").write.mode("append").parquet(accepted)
-        rows.where("verdict is not null").write.mode("append").parquet(quarantine)
-        rows.unpersist()
+        try:
+            publish(number, {accepted: rows.where("verdict is null").drop("verdict"), quarantine: rows.where("verdict is not null")}, f"{checkpoint}/published")
+        finally:
+            rows.unpersist()
 
     return run_available(objects, each, checkpoint, every=every)
 
@@ -244,9 +319,10 @@ def derive_stream(accepted: DataFrame, artifacts: str, tasks: str, checkpoint: s
     def each(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("content_type", F.col("detected"))
         mark = lambda status: rows.select("object_key", F.lit("text").alias("kind"), F.lit(status).alias("status"), F.lit(number).alias("batch"))
-        mark("pending").write.mode("append").parquet(tasks)
-        extracted_bodies(extract(rows.select("object_key", "content_type", "content"), policy), policy).write.mode("append").parquet(artifacts)
-        mark("done").write.mode("append").parquet(tasks)
+        # what is pending shows at once; texts and what is done show together
+        publish(number, {f"{tasks}/pending": mark("pending")})
+        texts = extracted_bodies(extract(rows.select("object_key", "content_type", "content"), policy), policy)
+        publish(number, {artifacts: texts, f"{tasks}/done": mark("done")}, f"{checkpoint}/published")
 
     return run_available(accepted, each, checkpoint, every=every)
 
@@ -257,6 +333,22 @@ def pending_tasks(tasks: DataFrame) -> DataFrame:
     return tasks.where("status = 'pending'").join(done, ["object_key", "kind", "batch"], "left_anti")
 
 
+def sweep_stream(spark: SparkSession, markers: Callable[[], DataFrame], each: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 minute"):
+    """Look through the upload markers every so often, and hand those whose deadline has passed to `each`.
+
+    A clock stream gives the beat; `markers` reads the records anew each time, so what was deleted since is not
+    seen again. A look that fails is taken again with the same number.
+    """
+    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def look(ticks: DataFrame, number: int) -> None:
+        now = ticks.agg(F.max("timestamp")).first()[0]
+        if now is not None:
+            each(sweep(markers(), now)[0], number)
+
+    return beat.writeStream.option("checkpointLocation", checkpoint).foreachBatch(look).trigger(processingTime=every).start()
+
+
 def action_of(event_type: Column) -> Column:
     """Lifecycle actions of a click stream's event types."""
     names = {"signup": "create", "view": "progress", "click": "upload", "purchase": "complete", "error": "fail"}
