@@ -50,14 +50,19 @@ def unescape_pdf(value: Column) -> Column:
     return F.array_join(F.transform(pairs, plain), "\\")
 
 
-# possessive, so that a literal of any length is matched without recursion
+def first_matches(text: Column, pattern: str, n: int, group: int = 0) -> Column:
+    """The first n matches of a pattern, or of a group of it, in order."""
+    return F.slice(F.regexp_extract_all(text, F.lit(pattern), group), 1, n)
+
+
+# Patterns of a PDF's literals and information; possessive, so that a literal of any length is matched without recursion
 _LITERAL = r"\(((?:\\.|[^\\)])*+)\)"
 
 
 def pdf_literal_text(content: Column, most: int) -> Column:
     """(text, warnings) of the parenthesised literals of a PDF, at most 10000, one per line."""
     raw = F.decode(content, "ISO-8859-1")
-    literals = F.slice(F.regexp_extract_all(raw, F.lit("(?s)" + _LITERAL), 1), 1, 10_000)
+    literals = first_matches(raw, "(?s)" + _LITERAL, 10_000, 1)
     parts = F.filter(F.transform(literals, unescape_pdf), lambda x: F.trim(x) != "")
     made = normalize_text(F.encode(F.array_join(parts, "\n"), "ISO-8859-1"), most)
     return F.struct(made["text"].alias("text"), F.concat(made["warnings"], F.when(made["text"] == "", F.array(F.lit("no_literal_pdf_text_found"))).otherwise(F.array().cast("array<string>"))).alias("warnings"))
@@ -66,7 +71,7 @@ def pdf_literal_text(content: Column, most: int) -> Column:
 def pdf_info(content: Column) -> Column:
     """(title, description): Title and Subject, the last of each; Keywords or Author only where there is no description yet."""
     raw = F.decode(content, "ISO-8859-1")
-    found = F.slice(F.regexp_extract_all(raw, F.lit(r"(?s)/(?:Title|Subject|Keywords|Author)\s*\((?:\\.|[^\\)])*+\)"), 0), 1, 100)
+    found = first_matches(raw, r"(?s)/(?:Title|Subject|Keywords|Author)\s*\((?:\\.|[^\\)])*+\)", 100)
     empty = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"))
 
     def take(s: Column, m: Column) -> Column:

@@ -256,7 +256,7 @@ def slide_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts put into a store, a folder for each language, and read back from the objects under a prefix."""
     path = _stored(spark, sf_dir)
-    lines = scan_objects(spark, path, "lang=").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
+    lines = scan_objects(spark, path, "lang=").where(F.col("object_key").endswith(".txt")).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line <> ''")
     return _digested(lines)
 
 
@@ -264,7 +264,7 @@ def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def object_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same store read in ranges of 10,000 bytes that its heads ask for, and put together again."""
     path = _stored(spark, sf_dir)
-    heads = object_heads(spark, path, "lang=").where("size > 0")
+    heads = object_heads(spark, path, "lang=").where("size > 0 and object_key like '%.txt'")
     wanted = heads.select("object_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(10_000).cast("long"))).alias("start")).withColumn("end", F.col("start") + 9_999)
     pieces = object_ranges(spark, path, wanted)
     whole = pieces.groupBy("object_key").agg(F.array_sort(F.collect_list(F.struct("start", F.decode("piece", "UTF-8").alias("piece")))).alias("pieces"))

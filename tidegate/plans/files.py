@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import io
+import lzma
+import tarfile
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegate.operators.archive import inspect
+from tidegate.operators.extract import extract, with_extractor, with_ocr, with_scanner
 from tidegate.operators.screen import screen
 from tidegate.plans.registry import query
 from tidegate.plans.texts import LETTERS, made_bytes, number_bytes, plain_texts, png_chunk, stored_zip
 from tidegate.policy import DOCX, ODT, Policy
-from tidegate.sources.work import stage
+from tidegate.sources.objects import write_extracted
+from tidegate.sources.publish import published
+from tidegate.sources.work import stage, work_path
 
 _ROWS = f"texts as (select doc_id, {LETTERS} c from documents where lang is not null and text is not null)"
 
@@ -197,3 +207,103 @@ def screen_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = screen(stage(rows, "markup"), Policy(max_objects=_MOST, max_xml_depth=2))
     return found.select(F.col("object_key").cast("long").alias("doc_id"), "verdict")
+
+
+def _packed(number: int, text: bytes) -> tuple[str, bytes]:
+    """The text as an entry of a tar, plain or within a codec, or as a single stream: (name, file)."""
+    import zstandard
+
+    codecs = {"gz": gzip.compress, "bz2": bz2.compress, "xz": lambda b: lzma.compress(b, preset=0), "zst": zstandard.ZstdCompressor().compress}
+    if number % 8 > 4:
+        codec = ("bz2", "xz", "zst")[number % 8 - 5]
+        return f"a.txt.{codec}", codecs[codec](text)
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for name, body in (("a.txt", text), ("b/c.txt", b"more")):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            t.addfile(info, io.BytesIO(body))
+    if number % 8 == 0:
+        return "a.tar", out.getvalue()
+    codec = ("gz", "bz2", "xz", "zst")[number % 8 - 1]
+    return f"a.tar.{codec}", codecs[codec](out.getvalue())
+
+
+def _packed_texts(batches):
+    for batch in batches:
+        made = [_packed(n, t.encode()) for n, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t")))]
+        columns = [[str(n) for n in batch.column("doc_id").to_pylist()], [n for n, _ in made], [""] * len(made), [b for _, b in made]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.binary()))], ["object_key", "original_name", "declared_type", "content"])
+
+
+@query(
+    """select doc_id, case when n > 4000 then 'archive_too_large' when doc_id % 8 > 4 and n > 2000 then 'archive_inspection_timeout' end code
+  from (select doc_id, strlen('text ' || coalesce(text, '')) n from documents)"""
+)
+def archive_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in tars, tars within four codecs, and single streams of three, against the limits of an entry and of what is probed."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("text "), F.coalesce("text", F.lit(""))).alias("t"))
+    objects = stage(texts.mapInArrow(_packed_texts, "object_key string, original_name string, declared_type string, content binary"), "archives")
+    found = inspect(objects, Policy(max_entry_bytes=4000, max_probe_bytes=2000, max_ratio=1e9))
+    return found.select(F.col("object_key").cast("long").alias("doc_id"), "code")
+
+
+@query(
+    """select doc_id, case when n > 3000 then 'resource_limit_exceeded' when doc_id % 3 = 0 then 'sanitizer_unavailable' when doc_id % 3 = 1 then 'legacy_document_rejected' end verdict
+  from (select doc_id, strlen('{\\rtf1 ' || coalesce(text, '')) n from documents)"""
+)
+def screen_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as pages, old documents and plain files, under a size limit and a mode that has no sanitizer."""
+    k = F.col("doc_id") % 3
+    content = F.encode(F.concat(F.when(k == 0, "<html> ").when(k == 1, "{\\rtf1 ").otherwise("plain: "), F.coalesce("text", F.lit(""))), "UTF-8")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").cast("string").alias("object_key"), F.when(k == 0, "a.html").when(k == 1, "a.rtf").otherwise("a.txt").alias("original_name"),
+        F.when(k == 0, "text/html").when(k == 1, "application/rtf").otherwise("text/plain").alias("declared_type"), content.alias("content"),
+    )
+    found = screen(rows, Policy(max_file_bytes=3000, markup_mode="sanitize_when_supported"))
+    return found.select(F.col("object_key").cast("long").alias("doc_id"), "verdict")
+
+
+def _objects_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as plain files, images, and files of a type nothing is known of."""
+    k = F.col("doc_id") % 3
+    kind = F.when(k == 0, "text/plain").when(k == 1, "image/png").otherwise("application/x-unknown")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("object_key"), kind.alias("content_type"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+def _shout(body: bytes, mime: str) -> str:
+    return str(len(body)) + ":" + body.decode()[:5]
+
+
+def _see(body: bytes, mime: str) -> str:
+    if len(body) > 5000:
+        raise TimeoutError
+    return "seen " + str(len(body))
+
+
+@query(
+    """select doc_id, case when k = 2 then n || ':' || left(t, 5) when k = 0 then null end extracted, case when k = 2 then 'generated' when k = 1 then 'skipped' when trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g')) = '' then 'skipped' else 'generated' end status,
+  case when k = 1 and n <= 5000 then 'seen ' || n end ocr, case when k = 1 and n > 5000 then 'timeout' end ocr_error, case when contains(t, 'the') then 'malware_detected' end code
+  from (select doc_id, doc_id % 3 k, coalesce(text, '') t, strlen(coalesce(text, '')) n from documents)"""
+)
+def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extractor for unknown types, a reader of images that may time out, and a scanner of all files, each a function of the user."""
+    objects = stage(_objects_of_texts(spark, sf_dir), "objects")
+    made = with_extractor(objects, _shout).select("object_key", F.col("content.texts")["extracted"].alias("extracted"), "status")
+    seen = with_ocr(objects, _see)
+    scanned = with_scanner(objects, lambda body, mime: "stream: X FOUND" if b"the" in body else "stream: OK").select("object_key", "code")
+    return made.join(seen, "object_key", "left").join(scanned, "object_key").select(F.col("object_key").cast("long").alias("doc_id"), "extracted", "status", "ocr", "ocr_error", "code")
+
+
+@query(
+    """select doc_id, case when strlen(t) > 3000 then 'failed' when k = 0 and trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g')) <> '' then 'generated' else 'skipped' end status,
+  case when strlen(t) > 3000 then 'input_too_large' end error_code, k = 0 and strlen(t) <= 3000 and trim(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g')) <> '' has_body
+  from (select doc_id, doc_id % 3 k, coalesce(text, '') t from documents)"""
+)
+def written_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was extracted, published and read again: a status for every file, a body for those that gave one."""
+    path, policy = work_path(spark, "extracted"), Policy(max_extract_bytes=3000)
+    write_extracted(extract(_objects_of_texts(spark, sf_dir), policy), path, 0, policy)
+    status = published(spark, f"{path}/status", "object_key string, status string, error_code string", f"{path}/_batches")
+    bodies = published(spark, f"{path}/texts", "object_key string, text_key string, body string", f"{path}/_batches").select("object_key", F.lit(True).alias("has_body"))
+    return status.join(bodies, "object_key", "left").select(F.col("object_key").cast("long").alias("doc_id"), "status", "error_code", F.coalesce("has_body", F.lit(False)).alias("has_body"))

@@ -130,7 +130,7 @@ def content_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, least(10, len(regexp_extract_all(text, '[A-Za-z]+'))) n, array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:10], ' ') words from documents where text is not null")
 def first_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten matches of a pattern in each text."""
-    found = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), 1, 10)
+    found = T.first_matches(F.col("text"), "[A-Za-z]+", 10)
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(found).cast("long").alias("n"), F.array_join(found, " ").alias("words"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidegate.functions.classify import blank_to_null, task_key
 from tidegate.operators.catalog import latest_state
 from tidegate.policy import Policy
+from tidegate.sources.publish import publish
 from tidegate.sources.listing import no_objects, opened, read_objects, read_ranges, spark_listing
 
 CONTROL = {
@@ -126,5 +127,10 @@ def extracted_bodies(extracted: DataFrame, policy: Policy = Policy()) -> DataFra
     return rows.select("object_key", "text_key", F.when(~over, F.col("body")).alias("body"), F.when(over, "failed").otherwise("generated").alias("status"), F.when(over, "output_too_large").alias("error_code"))
 
 
-def write_extracted(extracted: DataFrame, path: str, policy: Policy = Policy()) -> None:
-    extracted_bodies(extracted, policy).where("status = 'generated'").select("text_key", "body").write.mode("append").parquet(path)
+def write_extracted(extracted: DataFrame, path: str, number: int = 0, policy: Policy = Policy()) -> None:
+    """Publish what was extracted as batch `number`: bodies under `texts`, the status of every object, failed and skipped ones too, under `status`."""
+    made = extracted_bodies(extracted, policy).select("object_key", "text_key", "body", F.col("status").alias("made"), F.col("error_code").alias("made_error"))
+    every = extracted.select("object_key", "status", "error_code").join(made, "object_key", "left")
+    status = every.select("object_key", F.coalesce("made", "status").alias("status"), F.coalesce("made_error", "error_code").alias("error_code"))
+    texts = every.where("made = 'generated'").select("object_key", "text_key", "body")
+    publish(number, {f"{path}/texts": texts, f"{path}/status": status}, f"{path}/_batches")
