@@ -67,7 +67,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "repeats")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
