@@ -169,7 +169,8 @@ def train(docs: DataFrame, where: Column):
 
     Spark counts the n-grams; what reaches the driver is the count table of the
     bounded sample. A language with under FEW held-back texts is accepted up to halfway
-    between its labelled texts' middle entropy and that of letters drawn at random.
+    between its labelled texts' middle entropy and that of letters drawn at random, or up to
+    the highest of its labelled texts if that is more.
     Returns None if no labelled text has a letter.
     """
     rows = labelled_sample(docs, where).persist()
@@ -236,8 +237,9 @@ def train(docs: DataFrame, where: Column):
         if few:  # less than FEW * (SAMPLE + CALIBRATION) / CALIBRATION texts each
             own, value, _ = own_values(rows.where(F.col("lang").isin([languages[x] for x in few])).select("lang", "text").toArrow())
             for x in few:
-                mean = np.median(value[own == x]) if (own == x).any() else 0.0
-                limits[x] = mean, max((-float(model.uniform) - mean) / 2, 0.02) / SPREADS, 0.0
+                mine = value[own == x] if (own == x).any() else np.zeros(1)
+                mean = np.median(mine)
+                limits[x] = mean, max((-float(model.uniform) - mean) / 2, mine.max() - mean, 0.02) / SPREADS, 0.0
         return model, limits
     finally:
         rows.unpersist()
