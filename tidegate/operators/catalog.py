@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegate.functions.classify import TERMINAL, blank_to_null, extraction_route, family_mode, file_extension, thumbnail_eligible
-from tidegate.policy import Policy, file_types, policy_tables
+from tidegate.policy import EXECUTABLES, Policy, expand_types, file_types, policy_tables
 
 TASK_KINDS = ("text", "metadata", "ocr")
 DEFAULT_TASK = "image_thumbnail"
@@ -68,16 +68,40 @@ def marker_scan(df: DataFrame, text: str, needles: DataFrame) -> DataFrame:
     return df.withColumn("_low", F.lower(F.col(text))).drop(text).mapInArrow(run, schema)
 
 
+# Script types by file type, and what each mode does to a file.
+_SCRIPTS = {"sh": "shell", "py": "python", "js": "node"}
+_ACTIONS = {
+    "accept_as_is": "ok", "sanitize_metadata": "sanitize_metadata", "sanitize_when_supported": "sanitize_metadata", "reject": "reject", "reject_active_content": "reject_active_content",
+    "reject_active_or_external_content": "reject_active_or_external_content", "reject_on_sensitive_metadata": "reject_sensitive_metadata",
+}
+
+
+def policy_action(policy: Policy) -> Column:
+    """What becomes of files of a (file_type, mime, mode): refused as script, by the deny list or for want of a place in the allow list; else by mode."""
+    mime = F.col("mime")
+    allowed = expand_types(policy.allow_mime_types, policy.allow_file_types)
+    denied = expand_types(policy.deny_mime_types, policy.deny_file_types)
+    scripts = [t for t, kind in _SCRIPTS.items() if kind not in policy.allowed_script_types and t not in policy.allowed_script_extensions]
+    by_mode = F.coalesce(*[F.when(F.col("mode") == m, a) for m, a in _ACTIONS.items()], F.when(F.col("mode") == "secure_default", F.when(mime.startswith("image/") | mime.startswith("video/"), "sanitize_metadata").otherwise("ok")), F.lit("unknown"))
+    return (
+        F.when(F.lit(policy.reject_scripts) & F.col("file_type").isin(*scripts), "reject_script")
+        .when(mime.isin(*denied), "reject")
+        .when(F.lit(bool(allowed)) & ~mime.isin(*allowed), "reject_not_allowed")
+        .when(mime.isin(*EXECUTABLES), "reject")
+        .when(F.lit(not policy.sanitize), "ok")
+        .otherwise(by_mode)
+    )
+
+
 def policy_matrix(spark, policy: Policy) -> DataFrame:
-    """Per file type: MIME types, resolved mode, action, and whether thumbnails and text are made."""
+    """Per file type and MIME type: resolved mode, action, whether thumbnails are made, and the way texts are extracted."""
     rows = spark.createDataFrame([(t, m) for t, mimes in file_types().items() for m in mimes], "file_type string, mime string")
-    modes = policy_tables(spark, policy)["modes"].withColumnsRenamed({"name": "file_type", "mode": "override"})
-    own = family_mode(F.col("mime"), F.concat(F.lit("x."), "file_type"), policy)
-    mode = F.coalesce("override", own)
-    action = F.when(mode == "accept_as_is", "accept").when(mode.startswith("reject"), "inspect").when(mode == "sanitize_metadata", "strip_metadata").when(mode == "sanitize_when_supported", "refuse").otherwise("inspect")
-    return rows.join(F.broadcast(modes), "file_type", "left").select(
-        "file_type", "mime", mode.alias("mode"), action.alias("action"), thumbnail_eligible(F.col("mime")).alias("thumbnail"), extraction_route(F.col("mime")).alias("extraction")
-    )
+    modes = policy_tables(spark, policy)["modes"]
+    by_mime, by_type = modes.toDF("mime", "by_mime"), modes.select(F.ltrim("name", F.lit(".")).alias("file_type"), F.col("mode").alias("by_type")).groupBy("file_type").agg(F.max("by_type").alias("by_type"))
+    rows = rows.join(F.broadcast(by_mime), "mime", "left").join(F.broadcast(by_type), "file_type", "left")
+    mode = F.coalesce("by_mime", "by_type", family_mode(F.col("mime"), F.concat(F.lit("x."), "file_type"), policy))
+    rows = rows.withColumn("mode", mode)
+    return rows.select("file_type", "mime", "mode", policy_action(policy).alias("action"), thumbnail_eligible(F.col("mime")).alias("thumbnail"), extraction_route(F.col("mime")).alias("extraction"))
 
 
 # --- state -------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegate.functions.classify import file_extension
 from tidegate.operators import catalog as K
 from tidegate.plans.registry import query, sql_in, sql_list, table
 from tidegate.plans.screening import UPLOADS_SQL, uploads
@@ -177,13 +178,25 @@ def expanded_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {UPLOADS_SQL} select ext file_type, count(*) n from typed where ext in {sql_in(['txt', 'jpg', 'md', 'csv', 'html', 'pdf'])} group by ext")
 def uploads_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads of every file type of the policy matrix that has a resolved mode."""
-    from tidegate.functions.classify import file_extension
-
     matrix = K.policy_matrix(spark, Policy()).where("mode is not null and action <> ''").select("file_type").distinct()
     rows = uploads(spark, sf_dir).groupBy(file_extension(F.col("original_name")).alias("file_type")).agg(F.count("*").alias("n"))
     return rows.join(F.broadcast(matrix), "file_type", "left_semi")
 
 
+@query(
+    f"""with {UPLOADS_SQL} select object_key, case ext when 'csv' then 'reject' when 'md' then 'ok' when 'html' then 'reject_active_or_external_content' when 'pdf' then 'sanitize_metadata'
+  when 'jpg' then 'sanitize_metadata' when 'txt' then 'ok' end action, ext in ('jpg', 'pdf') thumbnail, case ext when 'jpg' then 'image' when 'pdf' then 'pdf' else 'text' end extraction
+from typed where ext in ('csv', 'md', 'html', 'pdf', 'jpg', 'txt')"""
+)
+def policy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the policy does to every upload of a known type, and what is derived from it."""
+    policy = Policy(per_type={"md": "accept_as_is", "application/pdf": "sanitize_when_supported"}, deny_mime_types=("text/csv",))
+    matrix = K.policy_matrix(spark, policy).groupBy("file_type").agg(F.min_by(F.struct("action", "thumbnail", "extraction"), "mime").alias("at"))
+    rows = uploads(spark, sf_dir).select("object_key", file_extension(F.col("original_name")).alias("file_type"))
+    known = rows.where(F.col("file_type").isin("csv", "md", "html", "pdf", "jpg", "txt"))
+    return known.join(F.broadcast(matrix), "file_type").select("object_key", "at.action", "at.thumbnail", "at.extraction")
+
+
 @query("select conv_id, to_json(list_distinct_keep) roles from (select conv_id, list(role order by first) list_distinct_keep from (select conv_id, role, min(turn) first from conversations group by all) group by conv_id)")
 def roles_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered distinct: the roles of a conversation in the order they first speak."""
