@@ -1,11 +1,18 @@
 """What a row's expensive steps cost: each is worked out once, in time that follows the text's length."""
 
+import io
 import random
+import zipfile
 
 from pyspark.sql import functions as F
 
 from tidegate.functions import text as T
+from tidegate.operators.extract import extract
 from tidegate.plans import texts
+from tidegate.policy import PPTX
+
+from .test_extract import SLIDE
+from .test_screen import png, text_chunk, zipped
 
 
 def optimized(df) -> str:
@@ -30,3 +37,22 @@ def test_white_space_as_line_by_line(spark):
 def test_pdf_escapes_with_and_without_backslashes(spark):
     body = rb"(plain) (a\(b\)) (\\n\n) (\\) () ( ) (x\)y\\\))"
     assert spark.createDataFrame([(body,)], "b binary").select(T.pdf_literal_text(F.col("b"), 100)["text"]).first()[0] == "plain\na(b)\n\\n\n\n\\\nx)y\\)"
+
+
+def test_a_package_takes_each_content_once(spark):
+    rows = spark.createDataFrame([(1, b"a" * 70_000), (2, b"")], "n long, b binary")
+    made = rows.select("n", texts.stored_zip([("x", F.concat("b", F.lit(b"1"))), (F.concat(F.lit("y"), F.col("n").cast("string")), F.col("b")), ("z", F.lit(b""))]).alias("z"))
+    assert optimized(made).count("crc32(") == 1
+    for n, data in made.collect():
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            body = b"a" * 70_000 if n == 1 else b""
+            assert z.testzip() is None and [(i.filename, z.read(i)) for i in z.infolist()] == [("x", body + b"1"), (f"y{n}", body), ("z", b"")]
+
+
+def test_only_images_are_joined(spark):
+    """Texts of packages do not go through an exchange; each row of a repeated key keeps its own."""
+    made = [("k", PPTX, zipped({"ppt/slides/slide1.xml": SLIDE.format(f"s{i}")})) for i in range(5)] + [("k", "image/png", png(2, 1, text_chunk(b"Title", b"pic"))), ("t", "text/plain", b"t"), ("n", None, None)]
+    found = extract(spark.createDataFrame(made, "object_key string, content_type string, content binary"))
+    got = sorted((r.object_key, sorted(r.content.texts.items())) for r in found.collect())
+    assert got == [("k", [("extracted", f"s{i}")]) for i in range(5)] + [("k", [("title", "pic")]), ("n", []), ("t", [("text", "t")])]
+    assert "Union" in optimized(found).split("Join")[0]

@@ -61,7 +61,11 @@ def extract(objects: DataFrame, policy: Policy = Policy()) -> DataFrame:
     rows = rows.withColumns({
         "plain": F.when(is_("text") & ~F.col("too_large"), plain), "pdf": F.when(is_("pdf") & ~F.col("too_large"), pdf), "info": F.when(is_("pdf"), pdf_info(F.col("content"))),
         "xmp": F.when(F.col("mime").isin("image/jpeg", "image/pjpeg"), xmp_metadata(F.col("content"))),
-    }).drop("content").join(png, "object_key", "left")
+    }).drop("content")
+    # texts stay where they were made: no other row than an image has anything to fetch
+    is_image = F.coalesce(F.col("route") == "image", F.lit(False))
+    unsaid = [F.lit(None).cast("string").alias(c) for c in ("png_title", "png_description")]
+    rows = rows.where(is_image).join(png, "object_key", "left").unionByName(rows.where(~is_image).select("*", *unsaid))
     plain, pdf, info, xmp = F.col("plain"), F.col("pdf"), F.col("info"), F.col("xmp")
     text = F.when(is_("text"), plain["text"]).when(is_("pdf"), pdf["text"]).when(is_("ooxml"), F.col("office_text"))
     warnings = F.when(is_("text"), F.coalesce(plain["warnings"], none)).when(is_("pdf"), F.concat(F.array(F.lit("pdftotext_unavailable")), F.coalesce(pdf["warnings"], none))).when(is_("ooxml"), F.coalesce("office_warnings", none)).when(is_("other"), F.array(F.lit("unsupported_content_type"))).otherwise(none)
