@@ -4,9 +4,12 @@ import io
 import random
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidegate.functions import text as T
+from tidegate.operators import jobs
+from tidegate.operators.archive import inspect
 from tidegate.operators.extract import extract
 from tidegate.plans import texts
 from tidegate.policy import PPTX
@@ -56,3 +59,20 @@ def test_only_images_are_joined(spark):
     got = sorted((r.object_key, sorted(r.content.texts.items())) for r in found.collect())
     assert got == [("k", [("extracted", f"s{i}")]) for i in range(5)] + [("k", [("title", "pic")]), ("n", []), ("t", [("text", "t")])]
     assert "Union" in optimized(found).split("Join")[0]
+
+
+def test_rows_of_many_objects_are_one_batch():
+    kinds, names = [pa.string(), pa.binary()], ["k", "b"]
+    small = list(jobs._batches(((str(i), b"x") for i in range(10_000)), kinds, names, 1))
+    assert [b.num_rows for b in small] == [4096, 4096, 1808] and pa.Table.from_batches(small).column("k").to_pylist() == [str(i) for i in range(10_000)]
+    large = list(jobs._batches(((str(i), bytes(1 << 21)) for i in range(5)), kinds, names, 1))
+    assert [b.num_rows for b in large] == [2, 2, 1] and list(jobs._batches(iter(()), kinds, names, 1)) == []
+
+
+def test_first_bytes_stay_out_of_the_windows(spark):
+    rows = spark.createDataFrame([("k", "a.zip", "application/zip", zipped({"a.txt": "text", "run.sh": "echo"}))], "object_key string, original_name string, declared_type string, content binary")
+    found = inspect(rows)
+    assert tuple(found.first()) == ("k", "archive_entry_script_rejected", "run.sh")
+    windows = [line for line in optimized(found).split("\n") if "Window [" in line]
+    above = optimized(found).split("Window [")
+    assert windows and not any("prefix" in part.split("\n")[0] for part in above) and all("prefix#" not in part for part in above[:-1])

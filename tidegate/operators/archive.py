@@ -103,7 +103,8 @@ CHECKS = ("name", "path", "duplicate", "encrypted", "link", "special", "entry_si
 
 def guard(entries: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Entries with all checks and `code`, the first one that fails."""
-    rows = nesting_depth(entry_type_screen(stream_probe(compression_ratio(archive_budget(duplicate_paths(entry_checks(entries, policy)), policy), policy), policy), policy), policy)
+    # types first: what an entry begins with need not go through the windows
+    rows = nesting_depth(stream_probe(compression_ratio(archive_budget(duplicate_paths(entry_checks(entry_type_screen(entries, policy), policy)), policy), policy), policy), policy)
     return rows.withColumn("code", F.coalesce(F.col("error"), *[F.col(f"check_{c}") for c in CHECKS]))
 
 
