@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidegate.functions import text as T
+from tidegate.functions.classify import detect_mime
 from tidegate.operators import jobs
 from tidegate.operators.archive import inspect
 from tidegate.operators.extract import extract
@@ -76,3 +77,9 @@ def test_first_bytes_stay_out_of_the_windows(spark):
     windows = [line for line in optimized(found).split("\n") if "Window [" in line]
     above = optimized(found).split("Window [")
     assert windows and not any("prefix" in part.split("\n")[0] for part in above) and all("prefix#" not in part for part in above[:-1])
+
+
+def test_detection_takes_the_head_once(spark):
+    made = spark.range(1).select(F.encode(F.concat(F.lit("<?xml "), F.col("id").cast("string")), "UTF-8").alias("b")).select(detect_mime(F.col("b")))
+    assert optimized(spark.createDataFrame([(b"<?xml ",)], "b binary").select(detect_mime(F.col("b")))).count("decode(") <= 2
+    assert made.first()[0] == "text/xml"

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegate.functions.text import let
 from tidegate.policy import DOCX, ODP, ODS, ODT, PPTX, XLSX, Policy
 
 OCTETS = "application/octet-stream"
@@ -138,23 +139,26 @@ def detect_mime(content: Column, policy: Policy = Policy(), is_json: Column | No
     Types without a signature here are `text/plain` if no byte is a control
     sign, else `application/octet-stream`.
     """
-    head = F.substring(F.coalesce(content, F.lit(b"")), 1, policy.inspected_bytes)
-    options = [F.when(F.substring(head, at + 1, len(sig) // 2) == F.lit(bytes.fromhex(sig)), mime) for at, sig, mime in _SIGNATURES]
-    text = F.decode(head, "ISO-8859-1")
-    # one pattern for each look at the text, as every use of a made column in a branch is worked out anew
+    most = policy.inspected_bytes
+    # a signature takes its own bytes from the content, and the looks at the text share one
+    options = [F.when(F.substring(content, at + 1, max(0, min(len(sig) // 2, most - at))) == F.lit(bytes.fromhex(sig)), mime) for at, sig, mime in _SIGNATURES]
     start = r"^(?:ï»¿)?[\t\n\f\r ]*"
     html = "|".join(re.escape(x) for x in _HTML_STARTS)
-    json = text.rlike(start + r"[{\[]") & F.try_parse_json(F.decode(content, "ISO-8859-1")).isNotNull() if is_json is None else is_json
-    options += [
-        F.when(text.rlike(f"{start}(?i:{html})"), "text/html"),
-        F.when(text.rlike(rf"(?s){start}(?i:<svg|<\?xml.*<svg)"), "image/svg+xml"),
-        F.when(text.rlike(rf"{start}(?i:<\?xml)"), "text/xml"),
-        F.when(
-            ~text.rlike(r"[\x00-\x08\x0B\x0E-\x1A\x1C-\x1F]"),
-            F.when(json, "application/json").when(text.rlike(r"^#![^\n]*python"), "text/x-python").otherwise("text/plain"),
-        ),
-    ]
-    return F.when(F.octet_length(head) == 0, "").otherwise(F.coalesce(*options, F.lit(OCTETS)))
+
+    def by_text(text: Column) -> Column:
+        json = text.rlike(start + r"[{\[]") & F.try_parse_json(F.decode(content, "ISO-8859-1")).isNotNull() if is_json is None else is_json
+        return F.coalesce(
+            F.when(text.rlike(f"{start}(?i:{html})"), "text/html"),
+            F.when(text.rlike(rf"(?s){start}(?i:<svg|<\?xml.*<svg)"), "image/svg+xml"),
+            F.when(text.rlike(rf"{start}(?i:<\?xml)"), "text/xml"),
+            F.when(
+                ~text.rlike(r"[\x00-\x08\x0B\x0E-\x1A\x1C-\x1F]"),
+                F.when(json, "application/json").when(text.rlike(r"^#![^\n]*python"), "text/x-python").otherwise("text/plain"),
+            ),
+        )
+
+    options.append(let(F.decode(F.substring(content, 1, most), "ISO-8859-1"), by_text))
+    return F.when(F.coalesce(F.octet_length(F.substring(content, 1, most)), F.lit(0)) == 0, "").otherwise(F.coalesce(*options, F.lit(OCTETS)))
 
 
 # Name suffixes, MIME types and first bytes of archive kinds.
